@@ -34,13 +34,16 @@ def lookup_join(
     how: str = "left",
     hot_rows: int = HOT_ROWS,
     spread: Column | None = None,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Joins many left rows to a lookup table with salt on the hot left keys.
 
     Rows of a hot key are spread over ``SALTS`` tasks and the matching lookup
     rows are repeated as often; every other key is shuffled once, unsalted.
+    ``counted`` names the frame to count keys on when ``left`` is itself the
+    result of a join, so that the join is not run again for the counts.
     """
-    hot = F.broadcast(hot_keys(left, keys, hot_rows))
+    hot = F.broadcast(hot_keys(left if counted is None else counted, keys, hot_rows))
     spread = spread if spread is not None else F.xxhash64(*[F.col(c) for c in left.columns])
     salted_left = left.join(hot, keys, "left").withColumn(
         "_salt",
@@ -57,6 +60,29 @@ def lookup_join(
     return salted_left.join(salted_right, [*keys, "_salt"], how).drop("_salt")
 
 
+REQUEST_ROWS = 100_000
+
+
+def request_join(
+    left: DataFrame, requests: DataFrame, keys: list[str], spread: Column | None = None
+) -> DataFrame:
+    """Inner join of a corpus to a table of requests.
+
+    The request table is counted first, up to a bound. Within the bound it is
+    broadcast and the corpus is not shuffled at all. Beyond it, all left rows
+    are salted: counting the keys of a whole corpus would cost a second pass.
+    """
+    small = requests.limit(REQUEST_ROWS + 1).count() <= REQUEST_ROWS
+    if small:
+        return left.join(F.broadcast(requests), keys)
+    spread = spread if spread is not None else F.xxhash64(*[F.col(c) for c in left.columns])
+    salts = 16
+    return left.withColumn("_salt", F.pmod(spread, F.lit(salts)).cast("int")).join(
+        requests.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))),
+        [*keys, "_salt"],
+    ).drop("_salt")
+
+
 def first_rows(df: DataFrame, keys: list, order: list, n: int, rank: str = "rank") -> DataFrame:
     """First ``n`` rows per key.
 

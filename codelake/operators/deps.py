@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codelake import fixed_values as fv
 from codelake.functions.columns import path_key
-from codelake.functions.skew import HOT_ROWS, first_rows, lookup_join
+from codelake.functions.skew import HOT_ROWS, first_rows, lookup_join, request_join
 from codelake.operators.resolve import is_hard, resolution_method
 
 
@@ -116,7 +116,7 @@ def dependencies(
     )
     return lookup_join(
         out, _other_end(symbols, "target_symbol_id"), ["root", "target_symbol_id"],
-        hot_rows=hot_rows, spread=F.xxhash64("edge_id"),
+        hot_rows=hot_rows, spread=F.xxhash64("edge_id"), counted=edges,
     ).withColumn("method", resolution_method())
 
 
@@ -132,7 +132,7 @@ def dependents(
     )
     return lookup_join(
         into, _other_end(symbols, "source_symbol_id"), ["root", "source_symbol_id"],
-        hot_rows=hot_rows, spread=F.xxhash64("edge_id"),
+        hot_rows=hot_rows, spread=F.xxhash64("edge_id"), counted=edges,
     ).withColumn("method", resolution_method())
 
 
@@ -150,7 +150,7 @@ def _file_pairs(
     )
     return lookup_join(
         sourced, targets, ["root", "target_symbol_id"], "inner", hot_rows,
-        F.xxhash64("edge_id"),
+        F.xxhash64("edge_id"), counted=edges,
     ).filter(F.col("source_file_id") != F.col("target_file_id"))
 
 
@@ -263,12 +263,12 @@ def call_graph(
 ) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) around each centre of ``ids(root, symbol_id)``."""
     centres = ids.select("root", "symbol_id").distinct()
-    nodes = lookup_join(
+    nodes = request_join(
         symbols.filter(F.col("parent_symbol_id").isNotNull()).select(
             "root", F.col("parent_symbol_id").alias("symbol_id"),
             F.col("symbol_id").alias("node_symbol_id"), "name", "kind",
         ),
-        centres, ["root", "symbol_id"], "inner",
+        centres, ["root", "symbol_id"],
     )
     both = edges.select(
         "root", "edge_id",
@@ -285,5 +285,5 @@ def call_graph(
         F.coalesce("target_symbol_id", F.lit("")).alias("to_symbol_id"),
     ).select("root", "edge_id", "end.symbol_id", F.col("end.d").alias("direction"),
              "from_symbol_id", "to_symbol_id")
-    graph_edges = lookup_join(both, centres, ["root", "symbol_id"], "inner")
+    graph_edges = request_join(both, centres, ["root", "symbol_id"])
     return nodes, graph_edges

@@ -310,6 +310,9 @@ def _node(
     return F.struct(
         _node_id(line, name).alias("node_id"),
         F.when(parent.isNotNull(), _node_id(parent["n"], parent["name"])).alias("parent_node_id"),
+        F.when(parent["is_ns"], F.lit("Container"))
+        .when(parent.isNotNull(), F.lit("Declaration"))
+        .alias("parent_kind"),
         kind.alias("kind"),
         subkind.alias("subkind"),
         F.lit("csharp").alias("language"),

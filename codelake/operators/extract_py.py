@@ -108,7 +108,9 @@ def _with_open_scopes(files: DataFrame) -> DataFrame:
                         F.slice(F.col("_decls"), F.lit(1), k),
                         lambda o: o["scope_end"] >= d["n"],
                     ),
-                    lambda o: F.struct(o["n"].alias("n"), o["name"].alias("name")),
+                    lambda o: F.struct(
+                        o["n"].alias("n"), o["name"].alias("name"), o["is_class"].alias("is_class")
+                    ),
                 ).alias("outer"),
             ),
         ),
@@ -134,6 +136,9 @@ def _node(x: Column) -> Column:
     return F.struct(
         _node_id(d["n"], d["name"]).alias("node_id"),
         F.when(nested, _node_id(parent["n"], parent["name"])).alias("parent_node_id"),
+        F.when(parent["is_class"], F.lit("Declaration"))
+        .when(nested, F.lit("Callable"))
+        .alias("parent_kind"),
         F.when(d["is_class"], F.lit("Declaration")).otherwise(F.lit("Callable")).alias("kind"),
         F.when(d["is_class"], F.lit("class"))
         .when(nested, F.lit("method"))

@@ -106,22 +106,23 @@ def resolve_references(
     sourced = resolve_sources(hints, symbols, hot_rows).withColumn(
         "target_key", F.lower("target_name")
     )
+    pair = ["root", "file_id", "target_key"]
     targeted = lookup_join(
         sourced, _targets(symbols), ["root", "target_key"], hot_rows=hot_rows,
         spread=F.xxhash64("file_id", "hint_no"),
+        counted=hints.select("root", F.lower("target_name").alias("target_key")),
     )
     settled = F.col("exact_id").isNotNull() | F.col("only_id").isNotNull()
-    open_pairs = (
-        lookup_join(
-            hints.select("root", "file_id", F.lower("target_name").alias("target_key")).distinct(),
-            _targets(symbols), ["root", "target_key"], hot_rows=hot_rows,
-            spread=F.xxhash64("file_id"),
-        )
-        .filter(~settled)
-        .select("root", "file_id", "target_key")
+    # Only what the two indexes leave open meets the imports of its file.
+    undecided = targeted.filter(~settled)
+    imported = resolve_via_imports(
+        undecided.select(*pair).distinct(), imports, symbols, hot_rows
+    )
+    rows = (
+        targeted.filter(settled)
+        .withColumn("import_id", F.lit(None).cast("string"))
+        .unionByName(undecided.join(imported, pair, "left"))
     )
-    imported = resolve_via_imports(open_pairs, imports, symbols, hot_rows)
-    rows = targeted.join(imported, ["root", "file_id", "target_key"], "left")
     resolution = (
         F.when(F.col("exact_id").isNotNull(), "ExactBound")
         .when(F.col("only_id").isNotNull(), "ScopedBound")

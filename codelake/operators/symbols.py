@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codelake import fixed_values as fv
 from codelake.functions.columns import any_of, col, lookup, repo_scope
-from codelake.functions.skew import lookup_join
+from codelake.functions.skew import lookup_join, request_join
 
 
 def symbol_kind(language="language", kind="kind", subkind="subkind") -> Column:
@@ -60,32 +60,32 @@ def _identified(nodes: DataFrame) -> DataFrame:
 def _parent_symbol() -> Column:
     """Symbol id of the parent node.
 
-    The parent path is the qualified path without the own name, and only the
-    category of the parent is open: it is looked up from the parent node.
+    Its path is the own path without the own name; its category follows from
+    the kind the parser noted, so no self join is needed.
     """
     parent_path = F.left(
         F.col("qualified_path"), F.length("qualified_path") - F.length("name") - 1
     )
+    category = (
+        F.when((F.col("parent_kind") == "Container") & (F.col("language") == "csharp"), "ns")
+        .when(F.col("parent_kind") == "Container", "mod")
+        .when(F.col("parent_kind") == "Declaration", "type")
+        .when(F.col("parent_kind") == "Callable", "callable")
+    )
     return F.when(
-        F.col("parent_category").isNotNull(),
-        symbol_id("language", "scope", "parent_category", parent_path),
+        category.isNotNull(),
+        symbol_id("language", "scope", category, parent_path),
     )
 
 
 def symbol_candidates(nodes: DataFrame) -> DataFrame:
     """One row per declaring node, before declarations of one id are merged."""
     found = _identified(nodes)
-    parents = found.select(
-        "file_id", F.col("node_id").alias("parent_node_id"),
-        F.col("category").alias("parent_category"),
-    )
-    # Parent and child share the file, so both sides shuffle on the file only.
-    joined = found.join(parents, ["file_id", "parent_node_id"], "left")
     parts = F.split("qualified_path", r"\.", -1)
     plain = F.filter("modifiers", lambda m: ~m.isin(fv.VISIBILITY_WORDS))
     is_cs = F.col("language") == "csharp"
     none = F.array().cast("array<string>")
-    return joined.select(
+    return found.select(
         "root",
         "symbol_id",
         symbol_key("language", "scope", "category", "qualified_path").alias("symbol_key"),
@@ -233,7 +233,7 @@ def symbol_occurrence_list(
     if roles:
         occurrences = occurrences.filter(F.col("role").isin(roles))
     wanted = requests.select("root", "symbol_id").distinct()
-    return lookup_join(occurrences, wanted, ["root", "symbol_id"], "inner")
+    return request_join(occurrences, wanted, ["root", "symbol_id"])
 
 
 def symbol_children(

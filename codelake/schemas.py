@@ -3,7 +3,7 @@
 SPAN = "struct<start_line:int,start_col:int,end_line:int,end_col:int>"
 
 NODE = (
-    "node_id:string,parent_node_id:string,kind:string,subkind:string,language:string,"
+    "node_id:string,parent_node_id:string,parent_kind:string,kind:string,subkind:string,language:string,"
     "name:string,display_name:string,qualified_path:string,"
     f"span:{SPAN},modifiers:array<string>,visibility:string,"
     "depth:int,inside_container:boolean,has_children:boolean,confidence:double"
