@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LINE_BREAK = r"\r\n|\n|\r"
@@ -128,3 +128,23 @@ def repo_scope(root="root") -> Column:
     trimmed = F.regexp_replace(col(root), r"[/\\]+$", "")
     last = F.regexp_extract(trimmed, r"([^/\\]*)$", 1)
     return F.btrim(F.regexp_replace(F.lower(last), r"[^\p{L}\p{Nd}]", "-"), F.lit("-"))
+
+
+def unnest(df: DataFrame, keep: list, array: Column, present: str) -> DataFrame:
+    """``inline`` without the optimizer's extra filter on the array size.
+
+    Spark adds ``size(array) > 0`` below a plain generator and pushes it down
+    by substitution, which evaluates a derived array twice and copies its whole
+    expression tree. The outer form has no such filter; ``present`` names a
+    field that is never null, to drop the row of an empty array.
+    """
+    return df.select(*keep, F.inline_outer(array)).filter(F.col(present).isNotNull())
+
+
+def unnest_values(df: DataFrame, keep: list, array: Column, name: str, pos: str | None = None) -> DataFrame:
+    """``explode`` / ``posexplode`` in the same manner, for arrays without nulls."""
+    if pos is None:
+        return df.select(*keep, F.explode_outer(array).alias(name)).filter(F.col(name).isNotNull())
+    return df.select(*keep, F.posexplode_outer(array).alias(pos, name)).filter(
+        F.col(pos).isNotNull()
+    )

@@ -87,9 +87,25 @@ def simple_type(text: Column) -> Column:
     )
 
 
+def _clean(text: Column) -> Column:
+    """Code without strings and comments; most lines have neither."""
+    suspect = text.contains('"') | text.contains("'") | text.contains("/")
+    return F.when(suspect, F.regexp_replace(text, NOISE, "")).otherwise(text)
+
+
+# What a line says about where a declaration opens.
+NOTHING, SEMICOLON, BRACE = 0, 1, 2
+
+
 def _with_lines(files: DataFrame) -> DataFrame:
     lines = F.col("_lines")
-    code = F.transform(lines, lambda t: F.regexp_replace(t, NOISE, ""))
+    code = F.transform(lines, _clean)
+    mark = F.transform(
+        F.col("_code"),
+        lambda t: F.when(t.contains("{"), BRACE)
+        .when(F.rtrim(t).endswith(";"), SEMICOLON)
+        .otherwise(NOTHING),
+    )
     net = F.transform(
         F.col("_code"),
         lambda t: (
@@ -100,6 +116,7 @@ def _with_lines(files: DataFrame) -> DataFrame:
     return (
         files.withColumn("_lines", physical_line_array())
         .withColumn("_code", code)
+        .withColumn("_mark", mark)
         .withColumn("_net", net)
         .withColumn("_after", running_sum(blocks(F.col("_net"))))
         .withColumn("_after_min", block_minima(F.col("_after")))
@@ -112,26 +129,23 @@ def _depth_before(n: Column) -> Column:
     ).cast("int")
 
 
-def _opening_line(n: Column) -> Column:
-    """First line at or after ``n`` with a brace or a closing semicolon."""
+def _opening(n: Column) -> Column:
+    """Line and mark of the first brace or closing semicolon at or after ``n``."""
     near = F.filter(
         F.transform(
-            F.slice(F.col("_code"), n, F.lit(HEAD_LINES)),
-            lambda t, i: F.when(
-                t.contains("{") | t.rlike(r";\s*$"),
-                F.struct((n + i).alias("n"), t.contains("{").alias("braced")),
-            ),
+            F.slice(F.col("_mark"), n, F.lit(HEAD_LINES)),
+            lambda m, i: F.struct((n + i).alias("n"), m.alias("mark")),
         ),
-        lambda x: x.isNotNull(),
+        lambda x: x["mark"] != NOTHING,
     )
     return F.try_element_at(near, F.lit(1))
 
 
-def _end_line(n: Column, depth: Column) -> Column:
-    opening = _opening_line(n)
+def _end_line(n: Column, depth: Column, opening: Column) -> Column:
+    """Last line of a declaration, from where it opens (see ``_opening``)."""
     closed = first_at_most(F.col("_after"), F.col("_after_min"), opening["n"], depth)
     return F.coalesce(
-        F.when(opening["braced"], F.coalesce(closed, F.size("_code"))), opening["n"], n
+        F.when(opening["mark"] == BRACE, F.coalesce(closed, F.size("_code"))), opening["n"], n
     )
 
 
@@ -142,6 +156,11 @@ def _with_containers(files: DataFrame) -> DataFrame:
         lambda x: x["t"].rlike(r"\b(?:namespace|class|struct|interface|enum|record)\s")
         & (x["t"].rlike(NAMESPACE) | x["t"].rlike(TYPE_HEAD)),
     )
+    # Fixed in a column of its own, so it is worked out once per head.
+    opened = F.transform(
+        heads,
+        lambda x: F.struct(x["n"].alias("n"), x["t"].alias("t"), _opening(x["n"]).alias("open")),
+    )
 
     def describe(x: Column) -> Column:
         t, n = x["t"], x["n"]
@@ -153,7 +172,7 @@ def _with_containers(files: DataFrame) -> DataFrame:
             n.cast("int").alias("n"),
             F.when(open_ended, F.lit(OPEN_ENDED)).otherwise(_depth_before(n)).cast("int").alias("depth"),
             F.when(open_ended, F.size("_code"))
-            .otherwise(_end_line(n, _depth_before(n)))
+            .otherwise(_end_line(n, _depth_before(n), x["open"]))
             .cast("int")
             .alias("end"),
             is_ns.alias("is_ns"),
@@ -167,7 +186,9 @@ def _with_containers(files: DataFrame) -> DataFrame:
             F.when(is_ns | (word == "enum"), F.lit("")).otherwise(_strip(bases)).alias("bases"),
         )
 
-    return files.withColumn("_box", F.transform(heads, describe))
+    return files.withColumn("_opened", opened).withColumn(
+        "_box", F.transform(F.col("_opened"), describe)
+    )
 
 
 def _outer_of(n: Column) -> Column:
@@ -222,6 +243,7 @@ def _with_members(files: DataFrame) -> DataFrame:
             x["t"].alias("t"),
             x["depth"].alias("depth"),
             F.when(owner["is_ns"] & (kind != "delegate"), F.lit(None)).otherwise(kind).alias("kind"),
+            _opening(x["n"]).alias("open"),
         )
 
     def describe(x: Column) -> Column:
@@ -269,7 +291,7 @@ def _with_members(files: DataFrame) -> DataFrame:
                 F.transform(F.split(params, TYPE_COMMA, -1), _strip), lambda p: p != ""
             ).alias("params"),
             F.when(kind == "field", x["n"])
-            .otherwise(_end_line(x["n"], x["depth"]))
+            .otherwise(_end_line(x["n"], x["depth"], x["open"]))
             .cast("int")
             .alias("end"),
             _outer_of(x["n"]).alias("outer"),
@@ -654,7 +676,7 @@ def cs_declarations(files: DataFrame) -> DataFrame:
 def cs_imports(files: DataFrame) -> DataFrame:
     base = files.select(
         "root", "path", file_id().alias("file_id"),
-        F.transform(physical_line_array(), lambda t: F.regexp_replace(t, NOISE, "")).alias("_code"),
+        F.transform(physical_line_array(), _clean).alias("_code"),
         F.lit("csharp").alias("language"),
     )
     return inline_imports(base.withColumn("imports", _imports()))

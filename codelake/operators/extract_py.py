@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from codelake import fixed_values as fv
 from codelake.functions.arrays import block_minima, first_at_most
-from codelake.functions.columns import file_id, lf_lines, span
+from codelake.functions.columns import file_id, lf_lines, span, unnest
 
 # Larger than any indent: such lines never close a block.
 NEVER = 1 << 30
@@ -255,15 +255,15 @@ def parse_python(files: DataFrame) -> DataFrame:
 
 
 def inline_nodes(parsed: DataFrame) -> DataFrame:
-    return parsed.select("root", "path", "file_id", F.inline("nodes"))
+    return unnest(parsed, ["root", "path", "file_id"], F.col("nodes"), "node_id")
 
 
 def inline_imports(parsed: DataFrame) -> DataFrame:
-    return parsed.select("root", "path", "file_id", "language", F.inline("imports"))
+    return unnest(parsed, ["root", "path", "file_id", "language"], F.col("imports"), "kind")
 
 
 def inline_hints(parsed: DataFrame) -> DataFrame:
-    return parsed.select("root", "path", "file_id", "language", F.inline("hints"))
+    return unnest(parsed, ["root", "path", "file_id", "language"], F.col("hints"), "hint_no")
 
 
 def py_declarations(files: DataFrame) -> DataFrame:
@@ -281,10 +281,8 @@ def py_block_span(files: DataFrame) -> DataFrame:
 
 def py_imports(files: DataFrame) -> DataFrame:
     base = files.select("root", "path", file_id().alias("file_id"), lf_lines().alias("_lines"))
-    return base.select(
-        "root", "path", "file_id", F.lit("python").alias("language"),
-        F.inline(_imports(F.col("_lines"))),
-    )
+    keep = ["root", "path", "file_id", F.lit("python").alias("language")]
+    return unnest(base, keep, _imports(F.col("_lines")), "kind")
 
 
 def py_base_hints(files: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codelake import fixed_values as fv
 from codelake.functions.arrays import blocks, running_sum
-from codelake.functions.columns import lf_lines, lookup
+from codelake.functions.columns import lf_lines, lookup, unnest_values
 from codelake.functions.sequences import CHUNK, carry_last
 
 FIELD = "\u001f"
@@ -198,7 +198,7 @@ def _blocks(diffs: DataFrame) -> DataFrame:
         lambda b: F.substring_index(b, "\n", 1).rlike(r"^diff --git a/.+ b/.+$"),
     )
     return (
-        diffs.select("diff_id", F.posexplode(pieces).alias("_no", "_block"))
+        unnest_values(diffs, ["diff_id"], pieces, "_block", "_no")
         .withColumn("file_no", F.col("_no") + 1)
         .withColumn("_parts", F.split("_block", AT_HUNK, -1))
         .withColumn(
@@ -249,8 +249,9 @@ def parse_diff_lines(diffs: DataFrame) -> DataFrame:
     """Lines of every hunk with their old and new line numbers."""
     columns = [c.alias(n) for n, c in _file_columns().items()]
     hunks = (
-        _blocks(diffs)
-        .select("diff_id", "file_no", *columns, F.posexplode("_hunks").alias("_h", "_hunk"))
+        unnest_values(
+            _blocks(diffs), ["diff_id", "file_no", *columns], F.col("_hunks"), "_hunk", "_h"
+        )
         .withColumn("_lines", lf_lines("_hunk"))
         .withColumn("header", _strip(F.element_at("_lines", 1)))
     )
@@ -269,16 +270,16 @@ def parse_diff_lines(diffs: DataFrame) -> DataFrame:
             )
         )
 
-    numbered = (
+    numbered = unnest_values(
         hunks.withColumn("_kept", kept)
         .withColumn("_old", counts("-", " "))
-        .withColumn("_new", counts("+", " "))
-        .select(
+        .withColumn("_new", counts("+", " ")),
+        [
             "diff_id", "file_no", "path", "old_path", "change_type",
             (F.col("_h") + 1).alias("hunk"), "header",
             start(1).alias("_os"), start(3).alias("_ns"),
-            F.posexplode(F.arrays_zip("_kept", "_old", "_new")).alias("_pos", "_z"),
-        )
+        ],
+        F.arrays_zip("_kept", "_old", "_new"), "_z", "_pos",
     )
     sign = F.left(F.col("_z._kept"), F.lit(1))
     return numbered.select(

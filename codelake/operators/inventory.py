@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from codelake import fixed_values as fv
 from codelake.functions.columns import (
-    any_of, base_name, col, extension, glob_regex, lookup, wildcard_regex,
+    any_of, base_name, col, extension, glob_regex, lookup, unnest_values, wildcard_regex,
 )
 from codelake.functions.skew import first_rows
 
@@ -328,10 +328,11 @@ def search_file_names(
     hits = F.filter(
         F.array(*[F.when(test(p), F.lit(p)) for p in patterns]), lambda x: x.isNotNull()
     )
-    return files.select(
+    keep = [
         "root", "path", base_name("path").alias("name"), extension("path").alias("extension"),
-        "size_bytes", F.explode(hits).alias("pattern"),
-    )
+        "size_bytes",
+    ]
+    return unnest_values(files, keep, hits, "pattern")
 
 
 def normal_extensions(exts: list[str]) -> list[str]:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from codelake import fixed_values as fv
 from codelake.functions.columns import (
     any_of, base_name, extension, file_id, parent_path, path_key, physical_line_array,
+    unnest, unnest_values,
 )
 from codelake.operators.extract_cs import NOISE
 from codelake.operators.inventory import is_blocked
@@ -61,11 +62,12 @@ def code_structure(files: DataFrame) -> DataFrame:
             F.when(member, x["is_static"]).alias("is_static"),
         )
 
-    return (
+    rows = (
         files.select("root", "path", found.alias("_s"))
         .withColumn("_scopes", scopes)
-        .select("root", "path", F.inline(F.transform("_s", placed)))
-        .filter((F.col("kind") != "method") | F.col("type_name").isNotNull())
+    )
+    return unnest(rows, ["root", "path"], F.transform("_s", placed), "line").filter(
+        (F.col("kind") != "method") | F.col("type_name").isNotNull()
     )
 
 
@@ -94,8 +96,10 @@ def solution_projects(files: DataFrame) -> DataFrame:
         F.regexp_extract_all("content", F.lit(fv.SOLUTION_PROJECT), F.lit(2)).alias("rel"),
     )
     wanted = (
-        files.filter(extension() == ".sln")
-        .select("root", F.col("path").alias("solution"), F.explode(named).alias("_p"))
+        unnest_values(
+            files.filter(extension() == ".sln"),
+            ["root", F.col("path").alias("solution")], named, "_p",
+        )
         .select(
             "root", "solution", F.col("_p.name").alias("name"),
             _resolved(parent_path("solution"), F.col("_p.rel")).alias("project_path"),
@@ -170,8 +174,8 @@ def config_files(files: DataFrame) -> DataFrame:
         ),
         lambda c: c.isNotNull(),
     )
-    return files.filter(~is_blocked(extensions=[])).select(
-        "root", "path", F.explode(classes).alias("config_class")
+    return unnest_values(
+        files.filter(~is_blocked(extensions=[])), ["root", "path"], classes, "config_class"
     )
 
 

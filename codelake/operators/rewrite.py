@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codelake.functions.columns import (
-    escape_regex, physical_line_array,
+    escape_regex, physical_line_array, unnest,
 )
 
 
@@ -167,7 +167,7 @@ def preview_changes(before: DataFrame, after: DataFrame) -> DataFrame:
         ),
     )
     per_line = (
-        changed.select("root", "path", F.inline(signed))
+        unnest(changed, ["root", "path"], signed, "d")
         .groupBy("root", "path", "text")
         .agg(F.sum("d").alias("d"))
     )

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from codelake import fixed_values as fv
 from codelake.functions.arrays import blocks, running_sum
-from codelake.functions.columns import escape_regex, extension, file_id, physical_lines
+from codelake.functions.columns import (
+    escape_regex, extension, file_id, physical_lines, unnest, unnest_values,
+)
 from codelake.functions.skew import first_rows, request_join
 from codelake.operators.inventory import glob_filter, normal_extensions
 
@@ -23,14 +25,11 @@ MARK, OTHER_MARK = "\u0001", "﷐"
 
 def explode_lines(files: DataFrame) -> DataFrame:
     """``(root, path, file_id, line, text)``; breaks on CRLF, LF and CR."""
-    return (
-        files.filter(F.col("content") != "")
-        .select(
-            "root", "path", file_id().alias("file_id"),
-            F.posexplode(physical_lines()).alias("_pos", "text"),
-        )
-        .select("root", "path", "file_id", (F.col("_pos") + 1).alias("line"), "text")
+    lines = unnest_values(
+        files.filter(F.col("content") != ""),
+        ["root", "path", file_id().alias("file_id")], physical_lines(), "text", "_pos",
     )
+    return lines.select("root", "path", "file_id", (F.col("_pos") + 1).alias("line"), "text")
 
 
 def _matches(lines: DataFrame, pattern: str) -> DataFrame:
@@ -58,10 +57,7 @@ def _matches(lines: DataFrame, pattern: str) -> DataFrame:
             F.element_at(F.col("_p"), i + 1).alias("match"),
         ),
     )
-    return cut.withColumn("_m", F.explode(found)).select(
-        *lines.columns, F.col("_m.column").cast("int").alias("column"),
-        F.col("_m.match").alias("match"),
-    )
+    return unnest(cut, lines.columns, found, "column")
 
 
 # A group that repeats and holds a repetition itself: (a+)+, (?:x*)*, (\w+\s?)* ...

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codelake import fixed_values as fv
-from codelake.functions.columns import base_name, parent_path
+from codelake.functions.columns import base_name, parent_path, unnest_values
 from codelake.functions.skew import first_rows, lookup_join
 from codelake.operators.symbols import container_counts
 
@@ -43,7 +43,7 @@ def dir_tree(
         rows = rows.filter(~F.arrays_overlap(F.split(F.lower("path"), "/", -1), blocked))
     # Folders of one file are short; distinct combines before the shuffle.
     folders = (
-        rows.select("root", F.explode(_ancestors()).alias("path"))
+        unnest_values(rows, ["root"], _ancestors(), "path")
         .distinct()
         .select(
             "root", "path", F.lit("directory").alias("kind"),
@@ -77,18 +77,16 @@ def tree_totals(files: DataFrame) -> DataFrame:
     """Files, directories and bytes in the subtree of every directory; '' is the root."""
     with_root = F.concat(F.array(F.lit("")), _ancestors())
     per_dir = (
-        files.select("root", "size_bytes", F.explode(with_root).alias("directory"))
+        unnest_values(files, ["root", "size_bytes"], with_root, "directory")
         .groupBy("root", "directory")
         .agg(
             F.count(F.lit(1)).alias("file_count"),
             F.sum("size_bytes").cast("bigint").alias("total_bytes"),
         )
     )
-    folders = files.select("root", F.explode(_ancestors()).alias("path")).distinct()
+    folders = unnest_values(files, ["root"], _ancestors(), "path").distinct()
     below = (
-        folders.select(
-            "root", F.explode(F.concat(F.array(F.lit("")), _ancestors())).alias("directory")
-        )
+        unnest_values(folders, ["root"], with_root, "directory")
         .groupBy("root", "directory")
         .agg(F.count(F.lit(1)).alias("directory_count"))
     )
@@ -167,7 +165,7 @@ def namespace_tree(
     ).dropDuplicates(["root", "ancestor_key"])
     # A name has few dots, so this is one look-up per prefix, not a tree walk.
     above = lookup_join(
-        boxes.select("root", "container_key", F.explode(prefixes).alias("ancestor_key")),
+        unnest_values(boxes, ["root", "container_key"], prefixes, "ancestor_key"),
         present, ["root", "ancestor_key"], "inner",
     ).groupBy("root", "container_key").agg(
         F.max_by("ancestor", F.length("ancestor_key")).alias("parent"),

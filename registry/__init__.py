@@ -1,0 +1,7 @@
+"""Registered queries, one module per area."""
+
+
+def all_registries():
+    from registry import code
+
+    return [code.R_]
