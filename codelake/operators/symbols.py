@@ -30,7 +30,7 @@ def symbol_key(language, scope, category, qualified) -> Column:
 def generic_params(display="display_name") -> Column:
     """Parameters between the first '<' and the last '>' of a display name."""
     inner = F.regexp_extract(col(display), "(?s)<(.*)>", 1)
-    return F.filter(F.transform(F.split(inner, ",", -1), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(inner, ",", -1), lambda p: F.trim(p)), lambda p: p != "")
 
 
 def is_type(kind="kind") -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from codelake.operators.inventory import encoding_label, eligibility, looks_binary
 
@@ -40,7 +41,7 @@ def scan_files(
     return files
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _utf16(raw: pd.Series, codec: pd.Series) -> pd.Series:
     """Bytes after the BOM; broken code units become U+FFFD instead of an error."""
     return pd.Series(

@@ -2,6 +2,6 @@
 
 
 def all_registries():
-    from registry import code
+    from registry import code, files, records, text
 
-    return [code.R_]
+    return [code.R_, files.R_, text.R_, records.R_]
