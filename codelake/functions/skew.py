@@ -27,6 +27,13 @@ def hot_keys(left: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> Data
     )
 
 
+def fits_broadcast(df: DataFrame) -> bool:
+    """Whether Spark itself would broadcast ``df``, by its own size estimate."""
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(size)) <= limit
+
+
 def lookup_join(
     left: DataFrame,
     right: DataFrame,
@@ -38,11 +45,14 @@ def lookup_join(
 ) -> DataFrame:
     """Joins many left rows to a lookup table with salt on the hot left keys.
 
-    Rows of a hot key are spread over ``SALTS`` tasks and the matching lookup
+    A lookup table that Spark estimates below its broadcast threshold is left
+    to Spark: no shuffle, so no skew. Otherwise, rows of a hot key are spread over ``SALTS`` tasks and the matching lookup
     rows are repeated as often; every other key is shuffled once, unsalted.
     ``counted`` names the frame to count keys on when ``left`` is itself the
     result of a join, so that the join is not run again for the counts.
     """
+    if fits_broadcast(right):
+        return left.join(right, keys, how)
     hot = F.broadcast(hot_keys(left if counted is None else counted, keys, hot_rows))
     spread = spread if spread is not None else F.xxhash64(*[F.col(c) for c in left.columns])
     salted_left = left.join(hot, keys, "left").withColumn(

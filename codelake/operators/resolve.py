@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from codelake import fixed_values as fv
 from codelake.functions.columns import lookup
 from codelake.functions.skew import HOT_ROWS, lookup_join
+from codelake.functions.storage import stored
 from codelake.operators.symbols import name_index, qualified_index
 
 
@@ -107,10 +108,15 @@ def resolve_references(
         "target_key", F.lower("target_name")
     )
     pair = ["root", "file_id", "target_key"]
-    targeted = lookup_join(
-        sourced, _targets(symbols), ["root", "target_key"], hot_rows=hot_rows,
-        spread=F.xxhash64("file_id", "hint_no"),
-        counted=hints.select("root", F.lower("target_name").alias("target_key")),
+    # Written once: the settled rows, the undecided rows and their distinct
+    # pairs would each run both joins again.
+    targeted = stored(
+        lookup_join(
+            sourced, _targets(symbols), ["root", "target_key"], hot_rows=hot_rows,
+            spread=F.xxhash64("file_id", "hint_no"),
+            counted=hints.select("root", F.lower("target_name").alias("target_key")),
+        ),
+        "targeted",
     )
     settled = F.col("exact_id").isNotNull() | F.col("only_id").isNotNull()
     # Only what the two indexes leave open meets the imports of its file.

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codelake import fixed_values as fv
@@ -38,26 +38,29 @@ def _matches(lines: DataFrame, pattern: str) -> DataFrame:
     Each match is put between marks and the line is cut at the marks, so the
     pieces alternate between gaps and matches and columns are running lengths.
     """
-    mark = F.when(F.col("text").contains(MARK), OTHER_MARK).otherwise(MARK)
-    marked = F.regexp_replace(
-        F.col("text"), F.lit(pattern), F.concat(mark, F.lit("$0"), mark)
-    )
-    pieces = F.split(marked, mark, -1)
-    cut = (
-        lines.filter(F.col("text").rlike(pattern))
-        .withColumn("_p", pieces)
-        .withColumn(
-            "_end", running_sum(blocks(F.transform("_p", lambda x: F.length(x).cast("int"))))
-        )
+    def cut_at(mark: str) -> Column:
+        marked = F.regexp_replace("text", pattern, f"{mark}$0{mark}")
+        return F.split(marked, mark, -1)
+
+    # Both marks are literals, so Spark compiles each pattern once per task.
+    pieces = F.when(F.col("text").contains(MARK), cut_at(OTHER_MARK)).otherwise(cut_at(MARK))
+    cut = lines.filter(F.col("text").rlike(pattern)).withColumn("_p", pieces)
+    return _positions(cut, lines.columns)
+
+
+def _positions(cut: DataFrame, keep: list[str]) -> DataFrame:
+    """Pieces ``_p`` (gap, match, gap, ...) to one row per match with its column."""
+    cut = cut.withColumn(
+        "_end", running_sum(blocks(F.transform("_p", lambda x: F.length(x).cast("int"))))
     )
     found = F.transform(
         F.sequence(F.lit(1), F.size("_p") - 1, F.lit(2)),
         lambda i: F.struct(
-            F.element_at(F.col("_end"), i).alias("column"),
+            F.element_at(F.col("_end"), i).cast("int").alias("column"),
             F.element_at(F.col("_p"), i + 1).alias("match"),
         ),
     )
-    return unnest(cut, lines.columns, found, "column")
+    return unnest(cut, keep, found, "column")
 
 
 # A group that repeats and holds a repetition itself: (a+)+, (?:x*)*, (\w+\s?)* ...
@@ -115,6 +118,10 @@ def search_extension_scope(
     return files
 
 
+WORD = r"(?U)\w+"
+# Up to here a list of names is carried in the plan, beyond it is a join side.
+FEW_NAMES = 1_000
+
 SYMBOL_SHAPES = {
     "class": (r"\bclass\s+", r"\b"),
     "interface": (r"\binterface\s+", r"\b"),
@@ -145,7 +152,33 @@ def find_references_text(
     files: DataFrame, names: DataFrame, ignore_case: bool = False
 ) -> DataFrame:
     """Whole-word uses of many identifiers ``names(name)``."""
-    found = _matches(explode_lines(files), r"(?U)\w+").withColumn("_word", F.col("match"))
+    few = [r[0] for r in names.select("name").distinct().limit(FEW_NAMES + 1).collect()]
+    lines = explode_lines(files)
+    if len(few) > FEW_NAMES:
+        found = _matches(lines, WORD).withColumn("_word", F.col("match"))
+        return _join_names(found, names, ignore_case)
+    # A short list of names becomes a literal set: words are dropped inside the
+    # row, and lines without a hit never get as far as computing columns.
+    def fold(c: Column) -> Column:
+        return F.lower(c) if ignore_case else c
+
+    keys = sorted({n.lower() if ignore_case else n for n in few})
+    cut = lines.withColumn(
+        "_p", F.regexp_extract_all("text", F.lit(f"{WORD}|[^\\w]+"), F.lit(0))
+    ).filter(F.exists("_p", lambda w: fold(w).isin(keys)))
+    cut = cut.withColumn(
+        "_end", running_sum(blocks(F.transform("_p", lambda x: F.length(x).cast("int"))))
+    )
+    hits = F.filter(
+        F.transform(
+            F.arrays_zip(F.col("_p").alias("w"), F.col("_end").alias("e")),
+            lambda z: F.struct(
+                (z["e"] - F.length(z["w"])).cast("int").alias("column"), z["w"].alias("match")
+            ),
+        ),
+        lambda m: fold(m["match"]).isin(keys),
+    )
+    found = unnest(cut, lines.columns, hits, "column").withColumn("_word", F.col("match"))
     return _join_names(found, names, ignore_case)
 
 

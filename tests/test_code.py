@@ -189,10 +189,17 @@ def test_file_records(orders):
     assert [(r.path, r.code) for r in orders["diagnostics"].collect()] == [("broken.cs", "CS1513")]
 
 
-def test_salted_resolution_gives_the_same_edges(orders):
+def test_salted_resolution_gives_the_same_edges(orders, spark):
     want = sorted(map(repr, orders["edges"].collect()))
-    again = resolve_references(orders["hints"], orders["symbols"], orders["imports"], hot_rows=0)
-    assert sorted(map(repr, again.collect())) == want
+    deps = sorted(map(repr, D.file_dependencies(orders["edges"], orders["symbols"]).collect()))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        again = resolve_references(orders["hints"], orders["symbols"], orders["imports"], hot_rows=0)
+        assert sorted(map(repr, again.collect())) == want
+        salted = D.file_dependencies(orders["edges"], orders["symbols"], hot_rows=0)
+        assert sorted(map(repr, salted.collect())) == deps
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_roots_do_not_mix(spark):

@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from codelake.functions.arrays import block_minima, blocks, first_at_most, running_sum
@@ -47,7 +48,14 @@ def test_carry_last_in_small_chunks(spark):
                     assert got[(k, o)] == last
 
 
-def test_lookup_join_with_hot_keys(spark):
+@pytest.fixture
+def no_broadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_lookup_join_with_hot_keys(spark, no_broadcast):
     left = spark.range(1000).select(
         F.when(F.col("id") < 400, "hot").otherwise(F.col("id").cast("string")).alias("k"), "id"
     )
@@ -61,19 +69,24 @@ def test_lookup_join_with_hot_keys(spark):
         assert got == want
 
 
-def test_lookup_join_spreads_the_hot_key(spark):
+def test_lookup_join_spreads_the_hot_key(spark, no_broadcast):
     left = spark.range(1000).select(F.lit("hot").alias("k"), "id")
     right = spark.createDataFrame([("hot", 1)], "k string, v int")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
         joined = lookup_join(left, right, ["k"], hot_rows=10)
         assert joined.select(F.spark_partition_id().alias("p")).distinct().count() > 4
     finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.enabled")
 
 
+def test_small_lookup_is_not_shuffled(spark):
+    left = spark.range(1000).select((F.col("id") % 7).alias("k"), "id")
+    joined = lookup_join(left, spark.range(5).select(F.col("id").alias("k")), ["k"], "inner")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_request_join_beyond_the_bound(spark, monkeypatch):
     from codelake.functions import skew
 
