@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from codelake.functions.storage import stored
+
 CHUNK = 50_000
 
 
@@ -19,13 +21,17 @@ def carry_last(
     """Adds ``out``: the latest non-null ``value`` at or before each row.
 
     ``order`` is a unique whole number per key. The chunk table holds one row
-    per ``chunk`` order values; its window is itself chunked once more.
+    per ``chunk`` order values and is written, so the rows are read twice in
+    all; its window is itself chunked once more.
     """
-    parts = df.withColumn("_chunk", F.floor(F.col(order) / chunk))
-    heads = parts.groupBy(*keys, "_chunk").agg(
-        F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order))).alias("_last")
-    )
-    coarse = heads.withColumn("_super", F.floor(F.col("_chunk") / chunk))
+    parts = df.withColumn("_chunk", F.expr(f"`{order}` div {chunk}"))
+    heads = stored(
+        parts.groupBy(*keys, "_chunk").agg(
+            F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order))).alias("_last")
+        ),
+        "chunks",
+    )
+    coarse = heads.withColumn("_super", F.expr(f"_chunk div {chunk}"))
     tops = coarse.groupBy(*keys, "_super").agg(
         F.max_by("_last", F.when(F.col("_last").isNotNull(), F.col("_chunk"))).alias("_top")
     )

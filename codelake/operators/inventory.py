@@ -11,7 +11,7 @@ from codelake import fixed_values as fv
 from codelake.functions.columns import (
     any_of, base_name, col, extension, glob_regex, lookup, unnest_values, wildcard_regex,
 )
-from codelake.functions.skew import first_rows
+from codelake.functions.skew import first_rows, lookup_join
 
 
 def _folders(path: Column) -> Column:
@@ -285,7 +285,7 @@ def pattern_kind(patterns: DataFrame) -> DataFrame:
         .withColumn("_ok", compiles("pattern"))
     )
     return (
-        patterns.join(checked, "pattern", "left")
+        lookup_join(patterns, checked, ["pattern"])
         .withColumn(
             "pattern_kind",
             F.when(F.col("_ok"), "regex")
@@ -441,7 +441,8 @@ def list_directory(
     """
     rows = tree
     if directories is not None:
-        rows = rows.join(directories.select("root", "parent").distinct(), ["root", "parent"])
+        wanted = directories.select("root", "parent").distinct()
+        rows = lookup_join(rows, wanted, ["root", "parent"], "inner")
     totals = rows.groupBy("root", "parent").agg(F.count(F.lit(1)).alias("total_count"))
     blocked = F.arrays_overlap(
         F.split(F.lower("path"), "/", -1),

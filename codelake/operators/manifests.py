@@ -10,6 +10,7 @@ from codelake.functions.columns import (
     any_of, base_name, extension, file_id, parent_path, path_key, physical_line_array,
     unnest, unnest_values,
 )
+from codelake.functions.skew import lookup_join
 from codelake.operators.extract_cs import NOISE
 from codelake.operators.inventory import is_blocked
 
@@ -108,7 +109,9 @@ def solution_projects(files: DataFrame) -> DataFrame:
         .withColumn("_key", path_key("project_path"))
     )
     existing = files.select("root", path_key().alias("_key"), F.col("path"))
-    return wanted.join(existing, ["root", "_key"]).select("root", "solution", "name", "path")
+    return lookup_join(wanted, existing, ["root", "_key"], "inner").select(
+        "root", "solution", "name", "path"
+    )
 
 
 def project_manifests(files: DataFrame) -> DataFrame:

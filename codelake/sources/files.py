@@ -7,16 +7,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from codelake import fixed_values as fv
 from codelake.operators.inventory import encoding_label, eligibility, looks_binary
 
 
 def scan_files(
-    spark: SparkSession, root: str, glob: str | None = None, eligible_only: bool = False
+    spark: SparkSession, root: str, glob: str | None = None, eligible_only: bool = False,
+    max_bytes: int = fv.MAX_FILE_BYTES,
 ) -> DataFrame:
     """``(root, path, size_bytes, modified_at, raw)`` of every file below ``root``.
 
     The bytes are a column of their own: plans that do not use ``raw`` never
-    open the files. ``eligible_only`` drops what the eligibility ladder drops.
+    open the files. Files above ``max_bytes`` are listed without bytes; the
+    length test is pushed into the reader, so they are never opened. ``eligible_only`` drops what the eligibility ladder drops.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if glob:
@@ -24,12 +27,19 @@ def scan_files(
     base = root.rstrip("/")
     folder = base.split("://", 1)[-1] if "://" in base else base.removeprefix("file:")
     at = F.instr("_p", folder + "/")
-    found = reader.load(base).select(
-        F.lit(base).alias("root"),
-        F.col("path").alias("_p"),
-        F.col("length").alias("size_bytes"),
-        F.col("modificationTime").alias("modified_at"),
-        F.col("content").alias("raw"),
+
+    def listed(rows: DataFrame, raw) -> DataFrame:
+        return rows.select(
+            F.lit(base).alias("root"),
+            F.col("path").alias("_p"),
+            F.col("length").alias("size_bytes"),
+            F.col("modificationTime").alias("modified_at"),
+            raw.alias("raw"),
+        )
+
+    tree = reader.load(base)
+    found = listed(tree.filter(F.col("length") <= max_bytes), F.col("content")).unionByName(
+        listed(tree.filter(F.col("length") > max_bytes), F.lit(None).cast("binary"))
     )
     files = found.select(
         "root",

@@ -44,6 +44,8 @@ def test_scan_and_decode(spark, tmp_path):
     assert rows["e.txt"].content == "bad � byte"
     assert rows["sub/f.txt"].content.startswith("h�")
     assert rows["a.txt"].size_bytes == len(files["a.txt"])
+    listed = {r.path: r.raw for r in scan_files(spark, str(tmp_path), max_bytes=7).collect()}
+    assert len(listed) == len(files) and listed["a.txt"] is None and listed["g.dat"] == b"a\x00b"
     kept = scan_files(spark, str(tmp_path), eligible_only=True)
     assert "g.dat" not in [r.path for r in kept.select("path").collect()]
 
