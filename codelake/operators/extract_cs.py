@@ -87,10 +87,26 @@ def simple_type(text: Column) -> Column:
     )
 
 
-def _clean(text: Column) -> Column:
+# Java matches a repeated alternative by recursion, one level per character, so a
+# very long string literal would overflow the stack of the task.
+LONG_LINE = 2_000
+
+
+def _clean_long(text: Column) -> Column:
+    """As NOISE, in steps that need no recursion: escapes, strings, comments."""
+    for pattern in (r"\\.", r'"[^"]*"', r"'[^']{1,8}'", r"//.*", r"/\*.*?\*/"):
+        text = F.regexp_replace(text, pattern, "")
+    return text
+
+
+def clean_code(text: Column) -> Column:
     """Code without strings and comments; most lines have neither."""
     suspect = text.contains('"') | text.contains("'") | text.contains("/")
-    return F.when(suspect, F.regexp_replace(text, NOISE, "")).otherwise(text)
+    return (
+        F.when(suspect & (F.length(text) > LONG_LINE), _clean_long(text))
+        .when(suspect, F.regexp_replace(text, NOISE, ""))
+        .otherwise(text)
+    )
 
 
 # What a line says about where a declaration opens.
@@ -99,7 +115,7 @@ NOTHING, SEMICOLON, BRACE = 0, 1, 2
 
 def _with_lines(files: DataFrame) -> DataFrame:
     lines = F.col("_lines")
-    code = F.transform(lines, _clean)
+    code = F.transform(lines, clean_code)
     mark = F.transform(
         F.col("_code"),
         lambda t: F.when(t.contains("{"), BRACE)
@@ -676,7 +692,7 @@ def cs_declarations(files: DataFrame) -> DataFrame:
 def cs_imports(files: DataFrame) -> DataFrame:
     base = files.select(
         "root", "path", file_id().alias("file_id"),
-        F.transform(physical_line_array(), _clean).alias("_code"),
+        F.transform(physical_line_array(), clean_code).alias("_code"),
         F.lit("csharp").alias("language"),
     )
     return inline_imports(base.withColumn("imports", _imports()))

@@ -257,7 +257,7 @@ def parse_diff_lines(diffs: DataFrame) -> DataFrame:
     )
 
     def start(group: int) -> Column:
-        return F.regexp_extract("header", fv.HUNK_HEADER, group).cast("int")
+        return F.regexp_extract("header", fv.HUNK_HEADER, group).try_cast("int")
 
     kept = F.filter(
         F.slice("_lines", F.lit(2), F.size("_lines")), lambda x: x.rlike(r"^[+\- ]")

@@ -17,8 +17,8 @@ def build_diagnostics(lines: DataFrame) -> DataFrame:
     return lines.filter(F.col("line").rlike(fv.BUILD_DIAGNOSTIC)).select(
         "run_id", "ord",
         F.trim(group(1)).alias("file"),
-        group(2).cast("int").alias("line_no"),
-        group(3).cast("int").alias("column_no"),
+        group(2).try_cast("int").alias("line_no"),
+        group(3).try_cast("int").alias("column_no"),
         F.lower(group(4)).alias("severity"),
         group(5).alias("code"),
         F.btrim(group(6), F.lit(" \t\r")).alias("message"),

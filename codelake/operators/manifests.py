@@ -11,7 +11,7 @@ from codelake.functions.columns import (
     unnest, unnest_values,
 )
 from codelake.functions.skew import lookup_join
-from codelake.operators.extract_cs import NOISE
+from codelake.operators.extract_cs import clean_code
 from codelake.operators.inventory import is_blocked
 
 
@@ -188,7 +188,7 @@ def parse_diagnostics(files: DataFrame) -> DataFrame:
     Missing content is a read error. Braces of a C#-like file that do not pair
     up make it partial; the code tells which side is missing.
     """
-    code = F.regexp_replace("content", f"(?m){NOISE}", "")
+    code = F.array_join(F.transform(physical_line_array(), clean_code), "")
     surplus = F.length(F.replace(code, F.lit("}"), F.lit(""))) - F.length(
         F.replace(code, F.lit("{"), F.lit(""))
     )

@@ -1,5 +1,7 @@
 """Extraction, symbols and resolution on small sources with known answers."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,6 +128,59 @@ def test_python_imports_and_hints(corpus):
     ]
 
 
+def brute_force_scopes(text):
+    """The same reading with a stack, line by line."""
+    import re
+
+    head = re.compile(r"^([ \t]*)(class|def)\s+(\w+)\s*(?:\(\))?\s*:")
+    lines, stack, out = text.split("\n"), [], []
+
+    def indent(t):
+        lead = re.match(r"[ \t]*", t).group()
+        return len(lead) + 3 * lead.count("\t")
+
+    for i, t in enumerate(lines):
+        if not t.strip() or t.strip().startswith("#"):
+            continue
+        while stack and stack[-1][0] >= indent(t):
+            stack.pop()
+        m = head.match(t)
+        if m:
+            end = next(
+                (j for j in range(i + 1, len(lines)) if lines[j].strip() and indent(lines[j]) <= indent(t)),
+                len(lines),
+            )
+            stack.append((indent(t), m.group(3)))
+            out.append((i + 1, end, ".".join(n for _, n in stack)))
+    return out
+
+
+def test_python_scopes_against_brute_force(spark):
+    rnd = random.Random(11)
+    texts = []
+    for size in (1, 10, 64, 65, 130, 400):
+        for _ in range(3):
+            lines = []
+            for n in range(size):
+                pad = rnd.choice(["", "  ", "    ", "\t", "      ", "        "])
+                lines.append(pad + rnd.choice([f"class C{n}:", f"def f{n}():", "x = 1", "# note", "", "pass"]))
+            texts.append("\n".join(lines))
+    df = spark.createDataFrame(
+        [("r", f"{i}.py", t) for i, t in enumerate(texts)], "root string, path string, content string"
+    )
+    got = {}
+    for r in PY.py_declarations(df).collect():
+        got.setdefault(r.path, []).append((r.span.start_line, r.span.end_line, r.qualified_path))
+    for i, t in enumerate(texts):
+        assert got.get(f"{i}.py", []) == brute_force_scopes(t)
+
+
+def test_csharp_very_long_line(corpus):
+    text = 'class A\n{\n    string s = "' + 'x{\\"' * 20000 + '"; // {\n    void F() { }\n}\n'
+    names = [(r.qualified_path, r.span.end_line) for r in CS.cs_declarations(corpus({"a.cs": text})).collect()]
+    assert names == [("A", 5), ("A.s", 3), ("A.F", 4)]
+
+
 def test_csharp_shapes(corpus):
     parsed = CS.parse_csharp(corpus({"s.cs": SHAPES})).cache()
     nodes = {(r.qualified_path, r.subkind): r for r in PY.inline_nodes(parsed).collect()}
