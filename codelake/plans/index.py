@@ -35,10 +35,13 @@ def inventory(files: DataFrame) -> DataFrame:
     if "encoding" not in rows.columns:
         rows = rows.withColumn("encoding", F.lit("utf-8"))
     status = eligibility()
+    # A file that was not read changes when its size or time does.
+    seen = ["size_bytes", *(c for c in ("modified_at",) if c in rows.columns)]
+    unread = F.sha2(F.concat_ws("|", F.lit("unread"), *[F.col(c).cast("string") for c in seen]), 256)
     parsed = F.col("language").isin(list(PARSERS))
     return rows.withColumn("eligibility", status).select(
         "root", "path", file_id().alias("file_id"), "language",
-        F.sha2(F.col("content").cast("binary"), 256).alias("content_hash"),
+        F.coalesce(F.sha2(F.col("content").cast("binary"), 256), unread).alias("content_hash"),
         "size_bytes", "encoding", "eligibility",
         F.when((F.col("eligibility") != "Eligible") | ~parsed, "Skipped")
         .when(F.col("content").isNull(), "Failed")

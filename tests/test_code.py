@@ -11,6 +11,7 @@ from codelake.operators import extract_py as PY
 from codelake.operators.resolve import resolve_references
 from codelake.operators.trees import file_outline
 from codelake.plans.index import build_index
+from codelake.plans.refresh import incremental_update
 
 ANIMALS = """import os
 import sys as system
@@ -291,3 +292,19 @@ def test_ambiguous_name_needs_an_import(corpus):
         "c.cs": ("ImportBound", "csharp:repo:type:P.A.Item", 0.95),
         "d.cs": ("Ambiguous", None, 0.7), "e.cs": ("Ambiguous", None, 0.7),
     }
+
+
+def test_refresh_with_unread_and_changed_files(spark):
+    def files(rows):
+        return spark.createDataFrame(rows, "root string, path string, content string, size_bytes long")
+
+    old_rows = [("r", "a.py", "class A:\n    pass\n", 1), ("r", "big.py", None, 9 << 20), ("r", "b.py", "class B(A):\n    pass\n", 1)]
+    old = build_index(files(old_rows))
+    now = [("r", "A.py", "class A2:\n    pass\n", 1), old_rows[1], old_rows[2]]
+    tables, changes = incremental_update(old, files(now))
+    assert {(r.path, r.change) for r in changes.collect()} == {
+        ("A.py", "modified"), ("big.py", "unchanged"), ("b.py", "unchanged"),
+    }
+    assert {r.name for r in tables["symbols"].collect()} == {"A2", "B"}
+    assert [r.resolution for r in tables["edges"].collect()] == ["Unknown"]
+    assert tables["files"].count() == 3
