@@ -5,11 +5,13 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from registry import all_registries
 from registry.check import compare, connect
 
 SF_DIR = os.environ.get("CHECK_SF_DIR", "/root/testdata/sf0.001")
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES = {name: q for r in all_registries() for name, q in r.queries.items()}
+SQL = {name: sql for r in all_registries() for name, sql in r.sql.items()}
 
 
 @pytest.fixture(scope="module")
@@ -28,5 +30,10 @@ def test_query(spark, con, name):
     assert rows > 0
 
 
+def test_entry_lists_them_all():
+    assert set(QUERIES) <= set(entry.queries())
+    assert set(SQL) <= set(entry.oracle_sql())
+
+
 def test_entry(spark):
     assert entry.entry(spark).limit(1).count() == 1
