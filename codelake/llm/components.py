@@ -12,6 +12,10 @@ def _both(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
+def _digest(links: DataFrame) -> tuple:
+    return tuple(links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a").bitwiseAND(F.lit(0xFFFFFF)))).first())
+
+
 def components(edges: DataFrame, store: Stored) -> DataFrame:
     """Columns ``node`` and ``label``, the least node of its component.
 
@@ -21,25 +25,24 @@ def components(edges: DataFrame, store: Stored) -> DataFrame:
     least neighbour is a sum that combines before the shuffle. Every round is a
     table in the shared folder.
     """
-    current = store.table(edges.where("a <> b").distinct(), "links")
+    current = store.table(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    known = _digest(current)
     while True:
         both = _both(current)
         # Each node's larger neighbours go to the least of its neighbourhood.
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        large = store.table(large.where("a <> b").distinct(), "links")
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
         # Each node and its smaller neighbours go to the least of them.
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = down.groupBy("a").agg(F.min("b").alias("low"))
+        least = large.groupBy("a").agg(F.min("b").alias("low"))
         small = (
-            down.join(least, "a")
+            large.join(least, "a")
             .select(F.col("b").alias("a"), F.col("low").alias("b"))
             .unionByName(least.select("a", F.col("low").alias("b")))
         )
-        small = store.table(small.where("a <> b").distinct(), "links")
-        settled = small.select("a", "b").exceptAll(current.select("a", "b")).isEmpty() and small.count() == current.count()
-        current = small
-        if settled:
+        current = store.table(small.where("a <> b").distinct(), "links")
+        now = _digest(current)
+        if now == known:
             break
+        known = now
     tops = current.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("label"))
     return current.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(tops)

@@ -10,12 +10,13 @@ L / (n + m - L) >= 0.8. Such texts differ by at most (n + m) / 9 insertions and
 deletions, so that band width loses nothing.
 
 Equal texts are one node. In each bucket of a band all texts are aligned with
-one leader, the text with most company over all bands. If two texts are linked
-but one of them is not linked to their leader, then both must share a
-difference to that leader: a shingle it lacks or a shingle they lack. So the
-texts not yet linked form the buckets of the next round, by leader and
-difference, until no bucket spans two classes. No round emits pairs within a
-group, and no candidate is dropped.
+one leader, the text with most company over all bands. The texts that a leader
+was aligned with are its group, and in rounds further texts of a group lead,
+twice as many in each round, until a group lies in one class or is used up. A
+text leaves its group if its differences to the leader prove that it has no
+partner left there: linked texts share most of their differences, so those that
+a text alone has keep it apart from all others. No candidate is dropped
+otherwise, and texts in one class are not compared any further.
 
 A null or empty text, or one without words, is equal only to texts with the
 same bytes (null and empty count as equal). A text of fewer than five words has
@@ -31,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelake.functions.storage import Stored
@@ -44,6 +45,8 @@ SIMILARITY = 0.8
 BANDS = 16
 SKETCHES_A_BAND = 2
 BITS = 24
+#: Leaders of a group in the second round.
+LEADERS = 32
 
 
 def shingles(block: Block) -> tuple[np.ndarray, np.ndarray]:
@@ -160,31 +163,27 @@ class Leader:
         self.order = np.argsort(sequence)
         self.ordered = sequence[self.order]
 
-    def compare(self, other: np.ndarray) -> tuple[float, np.ndarray]:
-        """Similarity, and the differences: the shingles that only one of the two has."""
+    def compare(self, other: np.ndarray) -> tuple[float, int, np.ndarray]:
+        """Similarity, number of differences, and the first of them.
+
+        Differences are the shingles that only one of the two texts has. Linked
+        texts differ from one another by at most a quarter of their own
+        shingles, so if a text alone has that many differences, and one more,
+        nobody is linked to it, and no further ones need be told.
+        """
         n, m = len(self.sequence), len(other)
         slot = np.minimum(np.searchsorted(self.ordered, other), n - 1)
         both = self.ordered[slot] == other
         place, here = self.order[slot[both]], np.flatnonzero(both)
         near = np.abs(place - here) <= (n + m) // 9
         aligned = increasing(place[near])
-        kept = np.ones(n, bool)
-        kept[place] = False
-        return aligned / (n + m - aligned), np.concatenate([self.sequence[kept], other[~both]])
-
-    def keys(self, other: np.ndarray, differences: np.ndarray) -> np.ndarray:
-        """The differences by which a text meets those it may still be linked to.
-
-        Linked texts differ from one another by at most a quarter of their own
-        shingles, so of the differences in the order of their hashes that many,
-        and one more, must hold a common one.
-        """
-        take = len(other) // 4 + 1
-        ordered = np.sort(mix(differences))
-        return ordered[:take] if len(ordered) else np.zeros(1, np.uint64)
+        missing = np.ones(n, bool)
+        missing[place] = False
+        keys = np.concatenate([np.sort(mix(other[~both])), np.sort(mix(self.sequence[missing]))])
+        return aligned / (n + m - aligned), len(keys), keys[: m // 4 + 1]
 
 
-_COMPARED = "leader binary, node binary, similarity double, keys array<long>"
+_COMPARED = "leader binary, node binary, n long, apart long, similarity double, differences array<long>"
 
 
 def _compare_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,20 +191,22 @@ def _compare_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         names, nodes = batch.column("leader").to_pylist(), batch.column("node").to_pylist()
         ours, theirs = batch.column("leader_seq"), batch.column("seq")
-        similarity, keys = [], []
+        size, apart, similarity, keys = [], [], [], []
         for i, name in enumerate(names):
             if name != last:
                 last, leader = name, Leader(np.frombuffer(ours[i].as_py(), np.uint64))
             other = np.frombuffer(theirs[i].as_py(), np.uint64)
-            value, differences = leader.compare(other)
+            value, number, differences = leader.compare(other)
+            size.append(len(other))
+            apart.append(number)
             similarity.append(value)
-            keys.append(signed(leader.keys(other, differences)))
+            keys.append(signed(differences))
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(names, pa.binary()), pa.array(nodes, pa.binary()), pa.array(similarity, pa.float64()),
+                pa.array(names, pa.binary()), pa.array(nodes, pa.binary()), pa.array(size, pa.int64()), pa.array(apart, pa.int64()), pa.array(similarity, pa.float64()),
                 lists(np.concatenate(keys) if keys else np.zeros(0, np.int64), np.array([len(k) for k in keys], np.int64), pa.int64()),
             ],
-            names=["leader", "node", "similarity", "keys"],
+            names=["leader", "node", "n", "apart", "similarity", "differences"],
         )
 
 
@@ -220,56 +221,69 @@ def _tag(key: str):
     return F.xxhash64(key)
 
 
+def _compared(pairs: DataFrame, sequences: DataFrame, store: Stored) -> DataFrame:
+    both = pairs.join(sequences.withColumnRenamed("key", "node"), "node").join(
+        sequences.select(F.col("key").alias("leader"), F.col("seq").alias("leader_seq")), "leader"
+    )
+    return store.table(both.mapInArrow(_compare_rows, _COMPARED), "compared")
+
+
+def _edges(compared: DataFrame) -> DataFrame:
+    return compared.where(F.col("similarity") >= SIMILARITY).select(F.col("leader").alias("a"), F.col("node").alias("b"))
+
+
+def _room(compared: DataFrame) -> DataFrame:
+    """Groups (``bucket``, the leader) with the room that each text has for differences to others, beyond its own."""
+    flat = compared.select("leader", "node", F.explode("differences").alias("difference"))
+    alone = (
+        flat.groupBy("leader", "difference").agg(F.count(F.lit(1)).alias("size"), F.first("node").alias("node"))
+        .where("size = 1").groupBy("leader", "node").agg(F.count(F.lit(1)).alias("alone"))
+    )
+    return compared.join(alone, ["leader", "node"], "left").select(
+        F.col("leader").alias("bucket"), "node", "n", "apart", (F.col("n") / 9 - F.coalesce("alone", F.lit(0))).alias("room")
+    )
+
+
 def links(docs: DataFrame, sketched: DataFrame, store: Stored) -> DataFrame:
     """Verified links ``a``, ``b`` between different texts, enough to join every class."""
-    spark = docs.sparkSession
     texts = sketched.where("n > 0").groupBy("key").agg(F.first("bands").alias("bands"))
     member = texts.select(F.posexplode("bands").alias("band", "value"), "key").select(
         F.xxhash64("band", "value").alias("bucket"), F.col("key").alias("node")
     )
     sizes = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     member = store.table(member.join(sizes, "bucket"), "buckets")
-    # This order never changes, and those led by a text come after it: the rounds end.
-    central = store.table(member.groupBy("node").agg(F.sum("size").alias("company")), "company")
-    member = member.select("bucket", "node")
-    sequences = None
-    compared = None  # leader, node, similarity, keys of all rounds
+    company = member.groupBy("node").agg(F.sum("size").alias("company"))
+    ranked = member.join(company, "node")
+    leaders = ranked.groupBy("bucket").agg(F.max(F.struct("company", "node"))["node"].alias("leader"))
+    pairs = store.table(member.join(leaders, "bucket").where("node <> leader").select("leader", "node").distinct(), "pairs")
+    involved = pairs.select(F.explode(F.array("leader", "node")).alias("key")).distinct().withColumn("tag", _tag("key"))
+    bits = bitmap(involved, "tag", BITS)
+    sequences = store.table(
+        _keyed(docs).withColumn("tag", _tag("key")).mapInArrow(_sequence_rows(bits), "key binary, seq binary").dropDuplicates(["key"]),
+        "sequences",
+    )
+    compared = _compared(pairs, sequences, store)
+    group = store.table(_room(compared), "room")
+    lead = LEADERS
     while True:
-        scored = member.join(central, "node")
-        leaders = scored.groupBy("bucket").agg(F.max(F.struct("company", "node"))["node"].alias("leader"))
-        led = store.table(member.join(leaders, "bucket").where("node <> leader").select("bucket", "leader", "node"), "led")
-        wanted = led.select("leader", "node").distinct()
-        if compared is not None:
-            wanted = wanted.join(compared.select("leader", "node"), ["leader", "node"], "left_anti")
-        wanted = store.table(wanted, "wanted")
-        if not wanted.isEmpty():
-            if sequences is None:
-                involved = wanted.select(F.explode(F.array("leader", "node")).alias("key")).distinct().withColumn("tag", _tag("key"))
-                bits = bitmap(involved, "tag", BITS)
-                sequences = store.table(
-                    _keyed(docs).withColumn("tag", _tag("key")).mapInArrow(_sequence_rows(bits), "key binary, seq binary").dropDuplicates(["key"]),
-                    "sequences",
-                )
-            pairs = wanted.join(sequences.withColumnRenamed("key", "node"), "node").join(
-                sequences.select(F.col("key").alias("leader"), F.col("seq").alias("leader_seq")), "leader"
-            )
-            fresh = store.table(pairs.mapInArrow(_compare_rows, _COMPARED), "compared")
-            compared = fresh if compared is None else compared.unionByName(fresh)
-        if compared is None:
-            return spark.createDataFrame([], "a binary, b binary")
-        edges = compared.where(F.col("similarity") >= SIMILARITY).select(F.col("leader").alias("a"), F.col("node").alias("b"))
-        labels = components(edges, store)
-        # The next buckets: by leader and difference, where one text is not linked to the leader.
-        marked = led.select("leader", "node").distinct().join(compared, ["leader", "node"]).select(
-            F.col("node"), (F.col("similarity") < SIMILARITY).alias("open"), "leader", F.explode("keys").alias("difference")
-        )
-        labelled = marked.join(labels, "node", "left").select(
-            F.xxhash64("leader", "difference").alias("bucket"), "node", "open", F.coalesce("label", "node").alias("label")
-        )
-        live = labelled.groupBy("bucket").agg(F.max("open").alias("open"), F.min("label").alias("low"), F.max("label").alias("high")).where("open and low <> high")
-        member = store.table(labelled.join(live.select("bucket"), "bucket").select("bucket", "node").distinct(), "buckets")
-        if member.isEmpty():
-            return edges
+        labels = components(_edges(compared), store)
+        most = group.groupBy("bucket").agg(F.max("room").alias("most"))
+        able = group.join(most, "bucket").where("room + most >= -1e-9").drop("most")
+        able = able.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        live = able.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
+        order = Window.partitionBy("bucket").orderBy(F.desc("room"), "node")
+        group = store.table(able.join(live, "bucket").withColumn("rank", F.row_number().over(order)), "group")
+        if group.isEmpty():
+            return _edges(compared)
+        first = group.where(F.col("rank") <= lead).select("bucket", *[F.col(c).alias(f"l_{c}") for c in ("node", "n", "apart", "rank", "label")])
+        # The differences to their leader tell how far two texts are apart at least.
+        near = F.abs(F.col("apart") - F.col("l_apart")) * 9 <= F.col("n") + F.col("l_n")
+        met = group.join(first, "bucket").where((F.col("l_rank") < F.col("rank")) & (F.col("label") != F.col("l_label")) & near)
+        pairs = met.select(F.col("l_node").alias("leader"), "node").distinct()
+        pairs = store.table(pairs.join(compared.select("leader", "node"), ["leader", "node"], "left_anti"), "pairs")
+        compared = compared.unionByName(_compared(pairs, sequences, store))
+        group = group.where(F.col("rank") > lead).drop("rank", "label")
+        lead *= 2
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
