@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codelake.llm.spread import bitmap, plain, small_or_spread
+from codelake.functions.storage import Stored
+from codelake.llm.spread import BROADCAST_BYTES, bitmap, plain, small_or_spread
 from codelake.llm.text import bitmap_test, blocks, mix, signed
 
 SPAN = 13
@@ -160,8 +161,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id") -> tuple
     return met, items.select("place", "item_id").distinct()
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """One row per document row: words hit, items found, and whether it counts as contaminated."""
+def _report(docs: DataFrame, benchmark: DataFrame, doc_id: str) -> DataFrame:
     met, items = hits(docs, benchmark, doc_id)
     before = Window.partitionBy("_rid").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
     fresh = F.col("stop") - F.greatest(F.col("start"), F.coalesce(F.max("stop").over(before), F.lit(0)))
@@ -179,11 +179,26 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id")
         F.max("n_words").alias("n_words"), F.max("n_hit").alias("n_hit"), F.sort_array(F.collect_set("item_id")).alias("item_ids")
     )
     return out.select(
-        F.col("id").cast("long").alias("doc_id"),
+        "id",
         "n_words",
         "n_hit",
         F.size("item_ids").cast("long").alias("n_items"),
         F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words"))).alias("contaminated"),
-        "_rid",
     )
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """One row per document row: words hit, items found, and whether it counts as contaminated."""
+    return _report(docs, benchmark, "doc_id").withColumn("id", F.col("id").cast("long")).withColumnRenamed("id", "doc_id")
+
+
+def clean_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with their own columns, that are not contaminated."""
+    key = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
+    texts = docs.select(key.alias("_key"), F.col("text"))
+    found = _report(texts, benchmark, "_key").where("contaminated").select(F.col("id").alias("_key")).distinct()
+    found = Stored(docs.sparkSession).table(found, "contaminated")
+    if found.count() * 80 <= BROADCAST_BYTES:
+        found = F.broadcast(found)
+    return docs.withColumn("_key", key).join(found, "_key", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -31,3 +31,22 @@ select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, c
   coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
 from doc left join hit using (rid) left join named using (rid)
 """
+
+OP2 = r"""
+with turns as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '</s>[INST] ok [/INST]'
+  union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+),
+escaped as (
+  select *, length(text) + len(regexp_extract_all(text, '[<\\[]\\\\*(?:\\|turn\\|>|\\|says\\|>|\\|done\\|>|INST\\]|/INST\\]|s>|/s>|<SYS>>|</SYS>>|\\|im_start\\|>|\\|im_end\\|>|\\|endoftext\\|>)'))
+    + length(role) + 8 + 8 + 8 as size
+  from turns
+)
+select conv_id, count(*)::bigint as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  sum(size)::bigint as formatted_chars
+from escaped group by conv_id
+""".replace("\\\\", "\\")
