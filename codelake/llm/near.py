@@ -12,11 +12,13 @@ deletions, so that band width loses nothing.
 Equal texts are one node. In each bucket of a band all texts are aligned with
 one leader, the text with most company over all bands. The texts that a leader
 was aligned with are its group, and in rounds further texts of a group lead,
-twice as many in each round, until a group lies in one class or is used up. A
-text leaves its group if its differences to the leader prove that it has no
-partner left there: linked texts share most of their differences, so those that
-a text alone has keep it apart from all others. No candidate is dropped
-otherwise, and texts in one class are not compared any further.
+four times as many in each round up to a bound per round, until a group lies in
+one class or is used up. Each task holds the leaders of a round and a chunk of a
+group, counts common shingles, aligns the pairs that have enough of them, and
+returns links only. A text leaves its group if its differences to the leader
+prove that it has no partner left there: linked texts share most of their
+differences, so those that a text alone has keep it apart from all others. No
+candidate is dropped otherwise, and texts in one class are not compared again.
 
 A null or empty text, or one without words, is equal only to texts with the
 same bytes (null and empty count as equal). A text of fewer than five words has
@@ -31,6 +33,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,8 +48,8 @@ SIMILARITY = 0.8
 BANDS = 16
 SKETCHES_A_BAND = 2
 BITS = 24
-#: Leaders of a group in the second round.
-LEADERS = 32
+#: Leaders of a group in the second round, and at most; texts of a group in one task.
+LEADERS, MOST_LEADERS, CHUNK = 256, 4096, 1000
 
 
 def shingles(block: Block) -> tuple[np.ndarray, np.ndarray]:
@@ -163,13 +166,13 @@ class Leader:
         self.order = np.argsort(sequence)
         self.ordered = sequence[self.order]
 
-    def compare(self, other: np.ndarray) -> tuple[float, int, np.ndarray]:
-        """Similarity, number of differences, and the first of them.
+    def compare(self, other: np.ndarray) -> tuple[float, np.ndarray]:
+        """Similarity, and the first of the differences.
 
         Differences are the shingles that only one of the two texts has. Linked
         texts differ from one another by at most a quarter of their own
-        shingles, so if a text alone has that many differences, and one more,
-        nobody is linked to it, and no further ones need be told.
+        shingles, so a text that alone has more than that is linked to nobody;
+        half as many as it has shingles are told, as some are shared.
         """
         n, m = len(self.sequence), len(other)
         slot = np.minimum(np.searchsorted(self.ordered, other), n - 1)
@@ -180,10 +183,10 @@ class Leader:
         missing = np.ones(n, bool)
         missing[place] = False
         keys = np.concatenate([np.sort(mix(other[~both])), np.sort(mix(self.sequence[missing]))])
-        return aligned / (n + m - aligned), len(keys), keys[: m // 4 + 1]
+        return aligned / (n + m - aligned), keys[: m // 2 + 1]
 
 
-_COMPARED = "leader binary, node binary, n long, apart long, similarity double, differences array<long>"
+_COMPARED = "leader binary, node binary, n long, similarity double, differences array<long>"
 
 
 def _compare_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,25 +194,55 @@ def _compare_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         names, nodes = batch.column("leader").to_pylist(), batch.column("node").to_pylist()
         ours, theirs = batch.column("leader_seq"), batch.column("seq")
-        size, apart, similarity, keys = [], [], [], []
+        size, similarity, keys = [], [], []
         for i, name in enumerate(names):
             if name != last:
                 last, leader = name, Leader(np.frombuffer(ours[i].as_py(), np.uint64))
             other = np.frombuffer(theirs[i].as_py(), np.uint64)
-            value, number, differences = leader.compare(other)
+            value, differences = leader.compare(other)
             size.append(len(other))
-            apart.append(number)
             similarity.append(value)
             keys.append(signed(differences))
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(names, pa.binary()), pa.array(nodes, pa.binary()), pa.array(size, pa.int64()), pa.array(apart, pa.int64()), pa.array(similarity, pa.float64()),
+                pa.array(names, pa.binary()), pa.array(nodes, pa.binary()), pa.array(size, pa.int64()), pa.array(similarity, pa.float64()),
                 lists(np.concatenate(keys) if keys else np.zeros(0, np.int64), np.array([len(k) for k in keys], np.int64), pa.int64()),
             ],
-            names=["leader", "node", "n", "apart", "similarity", "differences"],
+            names=["leader", "node", "n", "similarity", "differences"],
         )
 
 
+def _meet(members: pd.DataFrame, leaders: pd.DataFrame) -> pd.DataFrame:
+    """Links between a chunk of a group and leaders that rank before them, one for each other class."""
+    links = []
+    if len(members) and len(leaders):
+        sequences = [np.frombuffer(s, np.uint64) for s in leaders["seq"]]
+        sizes = np.array([len(s) for s in sequences])
+        owner = np.repeat(np.arange(len(sequences)), sizes)
+        values = np.concatenate(sequences)
+        order = np.argsort(values)
+        values, owner = values[order], owner[order]
+        ranks, labels = leaders["rank"].to_numpy(), leaders["label"].to_numpy()
+        made: dict[int, Leader] = {}
+        for node, rank, label, raw in zip(members["node"], members["rank"], members["label"], members["seq"], strict=True):
+            own = np.frombuffer(raw, np.uint64)
+            low, high = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
+            count = high - low
+            at = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            common = np.bincount(owner[at], minlength=len(sequences))
+            enough = (common >= SIMILARITY * (sizes + len(own) - common)) & (ranks < rank)
+            done = {label}
+            for i in np.flatnonzero(enough).tolist():
+                if labels[i] in done:
+                    continue
+                if i not in made:
+                    made[i] = Leader(sequences[i])
+                if made[i].compare(own)[0] >= SIMILARITY:
+                    links.append((leaders["node"].iat[i], node))
+                    done.add(labels[i])
+    return pd.DataFrame(links, columns=["a", "b"])
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return plain(docs, "doc_id", "text").select(
@@ -228,10 +261,6 @@ def _compared(pairs: DataFrame, sequences: DataFrame, store: Stored) -> DataFram
     return store.table(both.mapInArrow(_compare_rows, _COMPARED), "compared")
 
 
-def _edges(compared: DataFrame) -> DataFrame:
-    return compared.where(F.col("similarity") >= SIMILARITY).select(F.col("leader").alias("a"), F.col("node").alias("b"))
-
-
 def _room(compared: DataFrame) -> DataFrame:
     """Groups (``bucket``, the leader) with the room that each text has for differences to others, beyond its own."""
     flat = compared.select("leader", "node", F.explode("differences").alias("difference"))
@@ -240,12 +269,12 @@ def _room(compared: DataFrame) -> DataFrame:
         .where("size = 1").groupBy("leader", "node").agg(F.count(F.lit(1)).alias("alone"))
     )
     return compared.join(alone, ["leader", "node"], "left").select(
-        F.col("leader").alias("bucket"), "node", "n", "apart", (F.col("n") / 9 - F.coalesce("alone", F.lit(0))).alias("room")
+        F.col("leader").alias("bucket"), "node", (F.col("n") / 9 - F.coalesce("alone", F.lit(0))).alias("room")
     )
 
 
-def links(docs: DataFrame, sketched: DataFrame, store: Stored) -> DataFrame:
-    """Verified links ``a``, ``b`` between different texts, enough to join every class."""
+def classes_of_texts(docs: DataFrame, sketched: DataFrame, store: Stored) -> DataFrame:
+    """``node`` and ``label`` of every text that is linked to another."""
     texts = sketched.where("n > 0").groupBy("key").agg(F.first("bands").alias("bands"))
     member = texts.select(F.posexplode("bands").alias("band", "value"), "key").select(
         F.xxhash64("band", "value").alias("bucket"), F.col("key").alias("node")
@@ -263,34 +292,46 @@ def links(docs: DataFrame, sketched: DataFrame, store: Stored) -> DataFrame:
         "sequences",
     )
     compared = _compared(pairs, sequences, store)
+    edges = compared.where(F.col("similarity") >= SIMILARITY).select(F.col("leader").alias("a"), F.col("node").alias("b"))
     group = store.table(_room(compared), "room")
     lead = LEADERS
+    labels = components(edges, store)
     while True:
-        labels = components(_edges(compared), store)
         most = group.groupBy("bucket").agg(F.max("room").alias("most"))
         able = group.join(most, "bucket").where("room + most >= -1e-9").drop("most")
         able = able.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        live = able.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
+        live = (
+            able.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size"))
+            .where("low <> high").select("bucket", F.ceil(F.col("size") / CHUNK).alias("chunks"))
+        )
         order = Window.partitionBy("bucket").orderBy(F.desc("room"), "node")
-        group = store.table(able.join(live, "bucket").withColumn("rank", F.row_number().over(order)), "group")
+        ranked = able.join(live, "bucket").withColumn("rank", F.row_number().over(order))
+        group = store.table(ranked.join(sequences.withColumnRenamed("key", "node"), "node"), "group")
         if group.isEmpty():
-            return _edges(compared)
-        first = group.where(F.col("rank") <= lead).select("bucket", *[F.col(c).alias(f"l_{c}") for c in ("node", "n", "apart", "rank", "label")])
-        # The differences to their leader tell how far two texts are apart at least.
-        near = F.abs(F.col("apart") - F.col("l_apart")) * 9 <= F.col("n") + F.col("l_n")
-        met = group.join(first, "bucket").where((F.col("l_rank") < F.col("rank")) & (F.col("label") != F.col("l_label")) & near)
-        pairs = met.select(F.col("l_node").alias("leader"), "node").distinct()
-        pairs = store.table(pairs.join(compared.select("leader", "node"), ["leader", "node"], "left_anti"), "pairs")
-        compared = compared.unionByName(_compared(pairs, sequences, store))
-        group = group.where(F.col("rank") > lead).drop("rank", "label")
-        lead *= 2
+            return labels
+        members = group.withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks"))
+        leaders = group.where(F.col("rank") <= lead).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+        met = members.groupBy("bucket", "chunk").cogroup(leaders.groupBy("bucket", "chunk")).applyInPandas(_meet, "a binary, b binary")
+        met = store.table(met, "met")
+        if not met.isEmpty():
+            # Links are between classes from here on: the labels are joined, and every text follows its label.
+            name = labels.select("node", "label")
+            a, b = name.select(F.col("node").alias("a"), F.col("label").alias("x")), name.select(F.col("node").alias("b"), F.col("label").alias("y"))
+            joined = met.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
+            merged = components(joined, store)
+            up = merged.select(F.col("node").alias("label"), F.col("label").alias("_top"))
+            labels = name.join(up, "label", "left").select("node", F.coalesce("_top", "label").alias("label"))
+            alone = merged.join(name, "node", "left_anti")
+            labels = store.table(labels.unionByName(alone), "labels")
+        group = group.where(F.col("rank") > lead).drop("rank", "label", "chunks", "seq")
+        lead = min(4 * lead, MOST_LEADERS)
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
     """One row per document row: ``doc_id``, ``class_id`` (least id of its class), ``key`` and ``label``."""
     store = Stored(docs.sparkSession)
     sketched = store.table(_keyed(docs).mapInArrow(_sketch_rows, _SKETCHED), "sketches")
-    found = components(links(docs, sketched, store), store)
+    found = classes_of_texts(docs, sketched, store)
     member = sketched.select("key", "doc_id").join(found.withColumnRenamed("node", "key"), "key", "left").select(
         "key", "doc_id", F.coalesce("label", "key").alias("label")
     )
