@@ -110,7 +110,7 @@ def train(docs: DataFrame, learn: Column | None = None) -> Model:
     languages = sorted(r["lang"] for r in rows.select("lang").distinct().limit(1 + (BROADCAST_BYTES >> BITS + 2)).collect())
     if len(languages) << (BITS + 2) > BROADCAST_BYTES:
         raise ValueError("too many languages for one broadcast matrix")
-    counts = rows.mapInArrow(_count_rows, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counts = rows.mapInArrow(_count_rows, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     table = np.zeros((len(languages), (1 << BITS) + 1))
     prior = np.zeros(len(languages))
     for i, name in enumerate(languages):

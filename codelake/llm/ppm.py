@@ -173,8 +173,8 @@ class Table:
     """Sorted keys with a value each, to be broadcast."""
 
     def __init__(self, rows: DataFrame, value: str) -> None:
-        found = rows.select("key", value).toPandas()
-        keys = found["key"].to_numpy(np.int64).view(np.uint64)
+        found = rows.select("key", value).toArrow()
+        keys = found["key"].to_numpy().view(np.uint64)
         order = np.argsort(keys)
         self.keys, self.values = keys[order], found[value].to_numpy()[order]
 
@@ -271,7 +271,7 @@ def scores(docs: DataFrame, held_out: Column, broadcast_bytes: int = BROADCAST_B
     if priced.count() * 16 <= broadcast_bytes:
         shared_costs = spark.sparkContext.broadcast(Table(priced, "cost"))
     # Frequent words: those above the count that at most so many words exceed.
-    room = broadcast_bytes // 16
+    room = broadcast_bytes // 32
     sizes = words.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).limit(room).collect() if distinct > room else []
     least, used = (1, 0) if distinct <= room else (None, 0)
     for size in sizes:

@@ -164,9 +164,10 @@ def train(
     chosen = first(marks.where("quality = 1"), positives, 1).withColumn("positive", F.lit(True)).unionByName(
         first(texts, unlabelled, 2).distinct().withColumn("positive", F.lit(False))
     )
-    sample = texts.join(F.broadcast(chosen), "doc_id").mapInArrow(_feature_rows, "positive boolean, x binary").toPandas()
-    x = np.frombuffer(b"".join(sample["x"]), np.float32).reshape(-1, WIDTH)
-    positive = sample["positive"].to_numpy(bool)
+    sample = texts.join(F.broadcast(chosen), "doc_id").mapInArrow(_feature_rows, "positive boolean, x binary").toArrow()
+    chunks = [np.frombuffer(c.buffers()[2], np.float32)[c.offset * WIDTH :][: len(c) * WIDTH] for c in sample["x"].chunks if len(c)]
+    x = np.concatenate(chunks).reshape(-1, WIDTH) if chunks else np.zeros((0, WIDTH), np.float32)
+    positive = sample["positive"].to_numpy().astype(bool)
     return fit(x[positive], x[~positive], float(share or 0.5))
 
 

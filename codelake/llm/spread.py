@@ -31,10 +31,10 @@ def bitmap(df: DataFrame, key: str, bits: int) -> np.ndarray:
         df.where(F.col(key).isNotNull())
         .groupBy(F.shiftrightunsigned(slot, 6).alias("w"))
         .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))).alias("b"))
-        .toPandas()
+        .toArrow()
     )
     out = np.zeros(words, np.int64)
-    out[rows["w"].to_numpy(np.int64)] = rows["b"].to_numpy(np.int64)
+    out[rows["w"].to_numpy()] = rows["b"].to_numpy()
     return out.view(np.uint64)
 
 
