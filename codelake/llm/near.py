@@ -81,8 +81,10 @@ def shingles(block: Block) -> tuple[np.ndarray, np.ndarray]:
         group = own[order]
         head = np.r_[True, group[1:] != group[:-1]]
         start = np.maximum.accumulate(np.where(head, np.arange(len(group)), 0))
+        number = np.arange(len(group)) - start
+        order, number = order[number > 0], number[number > 0].astype(np.uint64)
         value = value.copy()
-        value[order] = mix(value[order] + (np.arange(len(group)) - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        value[order] = mix(value[order] + number * np.uint64(0x9E3779B97F4A7C15))
     return value, counts
 
 
