@@ -29,7 +29,7 @@ SMOOTHING = 0.5
 #: The score is the posterior as if a text had at most so many n-grams.
 EVIDENCE = 60.0
 UNDETERMINED = "und"
-CHARS = 1 << 20
+CHARS = 1 << 19
 
 _MULTIPLIERS = np.array([2654435761, 2246822519, 3266489917], np.uint32)
 

@@ -29,7 +29,9 @@ from codelake.llm.text import lists
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-CHARS = 1 << 20
+CHARS = 1 << 19
+#: Segments that the tokenizer has in hand at once.
+AT_ONCE = 4096
 MODEL_BYTES = 64 << 20
 
 # Fixed values of the model format: piece types and model types.
@@ -197,7 +199,9 @@ class Codec:
 
     def encode_segments(self, segments: list[str]) -> tuple[list[list[int]], list[bool]]:
         """Ids of each segment, and whether SentencePiece gives the same."""
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(segments, add_special_tokens=False)]
+        ids: list[list[int]] = []
+        for low in range(0, len(segments), AT_ONCE):
+            ids += [e.ids for e in self.tokenizer.encode_batch_fast(segments[low : low + AT_ONCE], add_special_tokens=False)]
         if self.reference is None:
             return ids, [True] * len(ids)
         prefix = self.model.dummy_prefix and self.model.splits
