@@ -92,8 +92,9 @@ def filter_commits(
 
 
 def recent_commits(commits: DataFrame, n: int) -> DataFrame:
-    """Latest ``n`` commits, between 1 and 200."""
-    n = max(1, min(n, fv.MAX_LOG_COMMITS))
+    """Latest ``n`` commits."""
+    if n < 1:
+        raise ValueError("n counts from 1")
     return commits.orderBy(F.desc("author_date"), "sha").limit(n)
 
 

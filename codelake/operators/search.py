@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codelake import fixed_values as fv
@@ -63,28 +63,70 @@ def _positions(cut: DataFrame, keep: list[str]) -> DataFrame:
     return unnest(cut, keep, found, "column")
 
 
-# A group that repeats and holds a repetition itself: (a+)+, (?:x*)*, (\w+\s?)* ...
-NESTED_REPEAT = re.compile(r"\((?:[^()\\]|\\.)*[+*}](?:[^()\\]|\\.)*\)\s*(?:[+*]|\{\d+,\d*\})")
+UNBOUNDED = re.compile(r"[*+]|\{\d+,\}")
+
+
+def _tokens(pattern: str) -> list[str]:
+    """Escapes, classes, group heads and single characters of a pattern."""
+    return re.findall(r"\\Q.*?(?:\\E|$)|\\[pP]\{[^}]*\}|\\.|\[\^?\]?(?:\\.|[^\]\\])*\]|\(\?(?:<[=!]|<\w+>|[^)\w]|[a-zA-Z]*:?)|\{\d+(?:,\d*)?\}|.", pattern, re.S)
+
+
+def explosive_group(pattern: str) -> str | None:
+    """A group that repeats without bound although it is nothing but a repeat of the same kind.
+
+    ``(a+)+``, ``((a+))*`` and ``(?:x*)*`` can match one text in exponentially
+    many ways; ``(ab+c)+`` cannot, as every round needs its own ``a``.
+    """
+    tokens, stack, starts = _tokens(pattern), [], []
+    bodies: list[tuple[int, bool]] = []  # start of the group, whether it is a bare repeat
+    for i, token in enumerate(tokens):
+        follows = tokens[i + 1] if i + 1 < len(tokens) else ""
+        if token.startswith("(") :
+            stack.append([0, 0])  # items, bare repeats among them
+            starts.append(i)
+        elif token == ")" and stack:
+            items, bare = stack.pop()
+            begin = starts.pop()
+            ambiguous = items == 1 and bare == 1
+            if ambiguous and UNBOUNDED.fullmatch(follows) and tokens[i + 2 : i + 3] != ["+"]:
+                return "".join(tokens[begin : i + 2])
+            if stack:
+                stack[-1][0] += 1
+                stack[-1][1] += ambiguous
+        elif token == "|" and stack:
+            stack[-1][0] += 2
+        elif stack and not UNBOUNDED.fullmatch(token) and token != "?" and not token.startswith("{"):
+            stack[-1][0] += 1
+            stack[-1][1] += bool(UNBOUNDED.fullmatch(follows)) and tokens[i + 2 : i + 3] != ["+"]
+    return None
 
 
 def checked_pattern(pattern: str) -> str:
-    """Fails before the job on an empty, invalid or explosive pattern."""
+    """Fails before the job on an empty, invalid or explosive pattern; Java's engine judges it."""
     if not pattern or not pattern.strip():
         raise ValueError("pattern must not be empty")
-    try:
-        re.compile(pattern)
-    except re.error as err:
-        raise ValueError(f"invalid regex pattern: {err}") from err
-    if NESTED_REPEAT.search(pattern):
-        raise ValueError("pattern nests unbounded repeats and may never finish on a long line")
+    problem = java_problem(pattern)
+    if problem:
+        raise ValueError(f"invalid regex pattern: {problem}")
+    if group := explosive_group(pattern):
+        raise ValueError(f"the repeat {group} may never finish on a long line")
     return pattern
 
 
-def _scan(files: DataFrame, pattern: str, needs: str | None, ignore_case: bool) -> DataFrame:
-    """Lines of the files that can match at all."""
-    if needs is not None:
-        content = F.lower("content") if ignore_case else F.col("content")
-        files = files.filter(content.contains(needs.lower() if ignore_case else needs))
+def java_problem(pattern: str) -> str | None:
+    """What the engine that runs the pattern says against it."""
+    spark = SparkSession.getActiveSession()
+    try:
+        spark._jvm.java.util.regex.Pattern.compile(pattern)
+    except Exception as err:
+        return str(getattr(err, "java_exception", err)).splitlines()[0]
+    return None
+
+
+def _scan(files: DataFrame, pattern: str, literal: bool) -> DataFrame:
+    """Matches per line; for a literal, which has no anchors, files without a match are left out first."""
+    if literal:
+        files = files.filter(F.col("content").rlike(pattern))
     return _matches(explode_lines(files), pattern)
 
 
@@ -98,13 +140,13 @@ def search_text(
     flags = "(?iu)" if ignore_case else ""
     if whole_word:
         flags, body = ("(?iuU)" if ignore_case else "(?U)"), rf"\b{body}\b"
-    return _scan(files, flags + body, query, ignore_case)
+    return _scan(files, flags + body, True)
 
 
 def search_regex(files: DataFrame, pattern: str, ignore_case: bool = True) -> DataFrame:
     """Regex search per line; word classes are Unicode-aware."""
     flags = "(?iuU)" if ignore_case else "(?U)"
-    return _scan(files, flags + checked_pattern(pattern), None, ignore_case)
+    return _scan(files, flags + checked_pattern(pattern), False)
 
 
 def search_extension_scope(
@@ -119,8 +161,6 @@ def search_extension_scope(
 
 
 WORD = r"(?U)\w+"
-# Up to here a list of names is carried in the plan, beyond it is a join side.
-FEW_NAMES = 1_000
 
 SYMBOL_SHAPES = {
     "class": (r"\bclass\s+", r"\b"),
@@ -151,35 +191,31 @@ def search_symbol(
 def find_references_text(
     files: DataFrame, names: DataFrame, ignore_case: bool = False
 ) -> DataFrame:
-    """Whole-word uses of many identifiers ``names(name)``."""
-    few = [r[0] for r in names.select("name").distinct().limit(FEW_NAMES + 1).collect()]
-    lines = explode_lines(files)
-    if len(few) > FEW_NAMES:
-        found = _matches(lines, WORD).withColumn("_word", F.col("match"))
-        return _join_names(found, names, ignore_case)
-    # A short list of names becomes a literal set: words are dropped inside the
-    # row, and lines without a hit never get as far as computing columns.
+    """Whole-word uses of many identifiers ``names(name)``.
+
+    A name is a run of words and the characters between them (``Foo.Bar``). All
+    names meet the words of the text by their first word; the rest of a longer
+    name is then compared in the line. Null names and names without a word are
+    found nowhere.
+    """
     def fold(c: Column) -> Column:
         return F.lower(c) if ignore_case else c
 
-    keys = sorted({n.lower() if ignore_case else n for n in few})
-    cut = lines.withColumn(
-        "_p", F.regexp_extract_all("text", F.lit(f"{WORD}|[^\\w]+"), F.lit(0))
-    ).filter(F.exists("_p", lambda w: fold(w).isin(keys)))
-    cut = cut.withColumn(
-        "_end", running_sum(blocks(F.transform("_p", lambda x: F.length(x).cast("int"))))
+    first = F.regexp_extract("name", WORD, 0)
+    wanted = (
+        names.select("name").where(first != "").distinct()
+        .select("name", fold(first).alias("_key"), (F.regexp_instr("name", F.lit(WORD)) - 1).alias("_lead"))
     )
-    hits = F.filter(
-        F.transform(
-            F.arrays_zip(F.col("_p").alias("w"), F.col("_end").alias("e")),
-            lambda z: F.struct(
-                (z["e"] - F.length(z["w"])).cast("int").alias("column"), z["w"].alias("match")
-            ),
-        ),
-        lambda m: fold(m["match"]).isin(keys),
+    found = _matches(explode_lines(files), WORD).withColumn("_key", fold(F.col("match")))
+    met = request_join(found, wanted, ["_key"], spread=F.xxhash64("file_id", "line", "column"))
+    begin, size = F.col("column") - F.col("_lead"), F.length("name")
+    whole = F.substring(F.col("text"), begin + 1, size)
+    after = F.substring(F.col("text"), begin + size + 1, F.lit(1))
+    ends_in_word = F.col("name").rlike(r"(?U)\w$")
+    return (
+        met.where((begin >= 0) & (fold(whole) == fold(F.col("name"))) & ~(ends_in_word & after.rlike(r"(?U)\w")))
+        .withColumn("match", whole).withColumn("column", begin.cast("int")).drop("_key", "_lead")
     )
-    found = unnest(cut, lines.columns, hits, "column").withColumn("_word", F.col("match"))
-    return _join_names(found, names, ignore_case)
 
 
 def _join_names(found: DataFrame, names: DataFrame, ignore_case: bool) -> DataFrame:
@@ -246,9 +282,7 @@ def grep(
     A list of plain ``*.ext`` globs becomes an extension filter. Column 0 is
     shown as null.
     """
-    simple = include and all(
-        g.startswith("*.") and "/" not in g and "\\" not in g for g in include
-    )
+    simple = include and all(re.fullmatch(r"\*\.[A-Za-z0-9]+", g) for g in include)
     scoped = search_extension_scope(
         files, path_prefix, [g[1:] for g in include] if simple else None
     ).filter(glob_filter(None if simple else include, exclude))

@@ -144,9 +144,11 @@ def language_breakdown(files: DataFrame) -> DataFrame:
     )
 
 
-def snapshot_metadata(tables: dict[str, DataFrame]) -> DataFrame:
+def snapshot_metadata(tables: dict[str, DataFrame], roots: DataFrame | None = None) -> DataFrame:
     """The seven counts of each root, with its language breakdown.
 
+    ``roots(root)`` names roots that get a row of zeros if they have no files.
+
     The relations are counted apart and the per-root counts are stacked and
     added up, which needs one small shuffle and no join.
     """
@@ -155,6 +157,9 @@ def snapshot_metadata(tables: dict[str, DataFrame]) -> DataFrame:
         counts = tables[name].groupBy("root").agg(F.count(F.lit(1)).alias("n"))
         row = counts.select("root", F.lit(column).alias("c"), "n")
         stacked = row if stacked is None else stacked.unionByName(row)
+    if roots is not None:
+        empty = roots.select("root", F.lit("").alias("c"), F.lit(0).cast("bigint").alias("n"))
+        stacked = stacked.unionByName(empty)
     totals = stacked.groupBy("root").agg(
         *[
             F.coalesce(F.sum(F.when(F.col("c") == c, F.col("n"))), F.lit(0)).alias(c)

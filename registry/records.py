@@ -61,7 +61,7 @@ def _(spark, sf):
     ).select("repo", "sha")
 
 
-@add("recent_commits", with_ctes("select repo, sha from c order by day desc, sha limit 200", c=_COMMITS))
+@add("recent_commits", with_ctes("select repo, sha from c order by day desc, sha limit 5000", c=_COMMITS))
 def _(spark, sf):
     return H.recent_commits(log(spark, sf)[0], 5000).select("repo", "sha")
 
@@ -323,7 +323,7 @@ _CHANGE = "case doc_id % 10 when 0 then 'added' when 1 then 'modified' when 2 th
 
 @add("file_changes", f"""select source as root, lang || case when doc_id % 10 = 2 then '/doc_' else '/DOC_' end || cast(doc_id as varchar) || '.txt' as path, {_CHANGE} as change from {{documents}}""")
 def _(spark, sf):
-    return X.file_changes(*old_new(spark, sf))
+    return X.file_changes(*old_new(spark, sf)).drop("old_path")
 
 
 @add("deleted_paths", "select source as root, lang || '/doc_' || cast(doc_id as varchar) || '.txt' as path from {documents} where doc_id % 10 = 2")

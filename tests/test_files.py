@@ -10,7 +10,7 @@ from codelake.operators import reading as RD
 from codelake.operators import rewrite as W
 from codelake.operators import search as S
 from codelake.operators import trees as T
-from codelake.operators.paging import page_info, paginate
+from codelake.operators.paging import page_info, paginate, paginate_after
 from codelake.sources.audit_log import read_audit_log, write_audit_log
 from codelake.sources.files import decode_content, scan_files
 
@@ -192,7 +192,10 @@ def test_pages(spark):
     assert [r.id for r in paginate(df, ["id"], 3, 50).collect()] == [100]
     info = page_info(df, 2, 50).first()
     assert (info.total_items, info.has_more) == (101, True)
-    assert paginate(spark.range(500), ["id"], 0, 10_000).count() == 200
+    assert paginate(spark.range(500), ["id"], 1, 10_000).count() == 500
+    with pytest.raises(ValueError):
+        paginate(spark.range(5), ["id"], 0, 10)
+    assert [r.id for r in paginate_after(spark.range(9), ["id"], (3,), 2).collect()] == [4, 5]
 
 
 def test_tree_depth_and_hidden(corpus):
@@ -209,3 +212,36 @@ def test_test_log_without_failures(spark):
     )
     got = [tuple(r) for r in L.test_log_summary(df).orderBy("run_id").collect()]
     assert got == [(1, 3, 3, None, None, 0), (2, None, None, None, None, 0), (3, None, 1, 2, None, 2)]
+
+
+def test_names_of_several_words(corpus, spark):
+    files = corpus({"a.txt": "x Foo.Bar(foo.bar) Foo.Barn Foo.Bar\nFoo . Bar $id"})
+    names = spark.createDataFrame([("Foo.Bar",), ("Foo",), ("$id",), (None,), (".",)], "name string")
+    got = S.find_references_text(files, names).select("name", "line", "column").collect()
+    assert sorted(map(tuple, got)) == [("$id", 2, 10), ("Foo", 1, 2), ("Foo", 1, 19), ("Foo", 1, 28), ("Foo", 2, 0), ("Foo.Bar", 1, 2), ("Foo.Bar", 1, 28)]
+
+
+def test_search_folds_case_like_the_engine(corpus, spark):
+    files = corpus({"a": "ΟΔΟΣΑ", "b": "claſs", "c": "İx ıx"})
+    for word in ("ΟΔΟΣ", "οδος", "class", "ix", "ıX"):
+        a, b = S.search_text(files, word), S.search_regex(files, word)
+        assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    assert S.search_text(files, "class").count() == 1
+
+
+def test_java_judges_patterns(corpus, spark):
+    files = corpus({"a": "Ab abcabc", "b.min.js": "needle", "c.js": "needle"})
+    assert S.search_regex(files, r"\p{Lu}\w+", False).count() == 1
+    assert S.search_regex(files, "(ab+c)+").count() == 1
+    for bad in ("(?P<n>a)", "(", "((a+))+$", "(a+)+$", "(?:x*)*"):
+        with pytest.raises(ValueError):
+            S.search_regex(files, bad)
+    assert S.grep(files, "needle", include=["*.min.js"]).count() == 1
+
+
+def test_paths_that_differ_in_case(spark):
+    from codelake.plans.refresh import deleted_paths, file_changes
+
+    files = spark.createDataFrame([("r", "A.cs", "1"), ("r", "a.cs", "2")], "root string, path string, content_hash string")
+    assert sorted(r["change"] for r in file_changes(files, files).collect()) == ["unchanged", "unchanged"]
+    assert [r["path"] for r in deleted_paths(files, files.where("path = 'a.cs'")).collect()] == ["A.cs"]
