@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,8 @@ MARK = "▁"
 CHARS = 1 << 19
 #: Segments that the tokenizer has in hand at once.
 AT_ONCE = 4096
+#: Segments whose ids are kept for the next block.
+REMEMBERED = 200_000
 MODEL_BYTES = 64 << 20
 
 # Fixed values of the model format: piece types and model types.
@@ -177,6 +180,13 @@ class Codec:
 
             self.reference = sentencepiece.SentencePieceProcessor(model_proto=raw)
 
+        self._forget()
+
+    def _forget(self) -> None:
+        """Ids of segments are kept from block to block, up to a bound."""
+        self.code: dict[str, int] = {}
+        self.size, self.pool, self.parity = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, bool)
+
     def segments(self, text: str) -> list[str]:
         """Markers with the word after them; their sequence is the normalised text."""
         text = self.normalise(text)
@@ -215,7 +225,9 @@ class Codec:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Flat ids, number of ids per text, and parity per text."""
-        code: dict[str, int] = {}
+        if len(self.code) > REMEMBERED:
+            self._forget()
+        code, known = self.code, len(self.code)
         flat, counts = [], []
         for text in texts:
             own = self.segments(text)
@@ -223,17 +235,21 @@ class Codec:
             flat += [code.setdefault(s, len(code)) for s in own]
         if not flat:
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64), np.ones(len(texts), bool)
-        ids, parity = self.encode_segments(list(code))
-        size = np.array([len(x) for x in ids])
+        if len(code) > known:
+            ids, parity = self.encode_segments(list(islice(code, known, None)))
+            size = np.array([len(x) for x in ids])
+            self.size = np.r_[self.size, size]
+            self.pool = np.r_[self.pool, np.fromiter((i for x in ids for i in x), np.int32, int(size.sum()))]
+            self.parity = np.r_[self.parity, parity]
+        size, pool, parity = self.size, self.pool, self.parity
         begin = np.cumsum(size) - size
-        pool = np.fromiter((i for x in ids for i in x), np.int32, int(size.sum()))
         flat = np.array(flat)
         own = size[flat]
         ends = np.cumsum(own)
         at = np.repeat(begin[flat] - (ends - own), own) + np.arange(ends[-1])
         segment_ends = np.cumsum(counts)
         per_text = np.diff(np.r_[0, np.r_[0, ends][segment_ends]])
-        wrong = np.r_[0, np.cumsum(~np.array(parity)[flat])]
+        wrong = np.r_[0, np.cumsum(~parity[flat])]
         same = np.diff(np.r_[0, wrong[segment_ends]]) == 0
         return pool[at], per_text, same
 
