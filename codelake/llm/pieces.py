@@ -5,7 +5,9 @@ scores or merges, and byte fallback are rebuilt from it. No piece of the usual
 models crosses from a word into the next marker, so a text falls apart into
 segments (markers and the word after them) that are encoded on their own; each
 distinct segment of a block of texts is encoded once, in multithreaded batches.
-Where a model has a piece that crosses, whole texts are encoded.
+With byte fallback, many segments go through the tokenizer as one text, whose
+ids fall apart again where the segments end. Where a model has a piece that
+crosses, whole texts are encoded.
 
 Parity is verified on every distinct segment against the SentencePiece library,
 and by decoding every text again. ``exact`` tells whether decoding gives the
@@ -17,8 +19,9 @@ text has no ids. Repeated rows are treated each on its own.
 from __future__ import annotations
 
 import os
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +36,8 @@ MARK = "▁"
 CHARS = 1 << 19
 #: Segments that the tokenizer has in hand at once.
 AT_ONCE = 4096
+#: Segments that are encoded as one text.
+JOINED = 512
 #: Segments whose ids are kept for the next block.
 REMEMBERED = 200_000
 MODEL_BYTES = 64 << 20
@@ -174,6 +179,9 @@ class Codec:
         self.normalise = self.model.normaliser()
         self.bytes = self.model.piece_bytes()
         self.lengths = np.array([len(b) for b in self.bytes])
+        #: Bytes of normalised text that each id stands for; an unknown piece stands for any number.
+        self.width = np.array([1 if k == BYTE else len(p.encode()) for p, _, k in self.model.pieces])
+        self.joins = self.model.splits and self.model.kind == BPE and self.model.byte_fallback
         self.reference = None
         if verify:
             import sentencepiece
@@ -184,7 +192,7 @@ class Codec:
 
     def _forget(self) -> None:
         """Ids of segments are kept from block to block, up to a bound."""
-        self.code: dict[str, int] = {}
+        self.code: dict[str, int] = defaultdict(count().__next__)
         self.size, self.pool, self.parity = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, bool)
 
     def segments(self, text: str) -> list[str]:
@@ -207,21 +215,34 @@ class Codec:
                 joined.append(part)
         return joined
 
-    def encode_segments(self, segments: list[str]) -> tuple[list[list[int]], list[bool]]:
-        """Ids of each segment, and whether SentencePiece gives the same."""
-        ids: list[list[int]] = []
-        for low in range(0, len(segments), AT_ONCE):
-            ids += [e.ids for e in self.tokenizer.encode_batch_fast(segments[low : low + AT_ONCE], add_special_tokens=False)]
+    def _ids(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids and number of ids per segment."""
+        if self.joins and all(s[0] == MARK != s[-1] for s in segments):
+            texts = ["".join(segments[i : i + JOINED]) for i in range(0, len(segments), JOINED)]
+            ids = np.fromiter(chain.from_iterable(e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)), np.int32)
+            ends = np.cumsum(self.width[ids])
+            wanted = np.cumsum(np.fromiter(map(len, map(str.encode, segments)), np.int64, len(segments)))
+            at = np.searchsorted(ends, wanted)
+            if len(ends) and ends[-1] == wanted[-1] and np.array_equal(ends[at], wanted):
+                return ids, np.diff(at, prepend=-1)
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(segments, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(found), np.int32), np.array([len(x) for x in found], np.int64)
+
+    def encode_segments(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Flat ids, number of ids per segment, and whether SentencePiece gives the same."""
+        parts = [self._ids(segments[low : low + AT_ONCE]) for low in range(0, len(segments), AT_ONCE)]
+        ids, size = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         if self.reference is None:
-            return ids, [True] * len(ids)
+            return ids, size, np.ones(len(segments), bool)
         prefix = self.model.dummy_prefix and self.model.splits
         # The library puts the marker before a text by itself; a segment that begins with several has it once less.
         asked = [s.replace(MARK, " ")[1:] if prefix else s.replace(MARK, " ") for s in segments]
         expected = self.reference.encode(asked, num_threads=1)
-        return ids, [
-            a == b if not prefix or q else self.reference.piece_to_id(s) == a[0] or len(a) == len(s)
-            for a, b, q, s in zip(ids, expected, asked, segments, strict=True)
-        ]
+        same = []
+        for own, b, q, s in zip(np.split(ids, np.cumsum(size)[:-1]), expected, asked, segments, strict=True):
+            a = own.tolist()
+            same.append(a == b if not prefix or q else self.reference.piece_to_id(s) == a[0] or len(a) == len(s))
+        return ids, size, np.array(same, bool)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Flat ids, number of ids per text, and parity per text."""
@@ -232,15 +253,13 @@ class Codec:
         for text in texts:
             own = self.segments(text)
             counts.append(len(own))
-            flat += [code.setdefault(s, len(code)) for s in own]
+            flat.extend(map(code.__getitem__, own))
         if not flat:
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64), np.ones(len(texts), bool)
         if len(code) > known:
-            ids, parity = self.encode_segments(list(islice(code, known, None)))
-            size = np.array([len(x) for x in ids])
-            self.size = np.r_[self.size, size]
-            self.pool = np.r_[self.pool, np.fromiter((i for x in ids for i in x), np.int32, int(size.sum()))]
-            self.parity = np.r_[self.parity, parity]
+            ids, own_size, own_parity = self.encode_segments(list(islice(code, known, None)))
+            self.size, self.pool = np.r_[self.size, own_size], np.r_[self.pool, ids]
+            self.parity = np.r_[self.parity, own_parity]
         size, pool, parity = self.size, self.pool, self.parity
         begin = np.cumsum(size) - size
         flat = np.array(flat)
