@@ -5,7 +5,6 @@ order so they can be compared with the behaviour they have to reproduce.
 """
 
 # ---- Fixed values: limits ---------------------------------------------------
-MAX_FILE_BYTES = 5 * 1024 * 1024
 MAX_SEARCH_RESULTS = 200
 MAX_DIRECTORY_ENTRIES = 500
 MAX_LOG_COMMITS = 200
@@ -53,10 +52,7 @@ BINARY_EXTENSIONS = [
     ".exe", ".dll", ".pdb", ".so", ".bin", ".dat",
     ".pdf", ".doc", ".docx", ".xls", ".xlsx", ".ppt", ".pptx",
 ]
-BINARY_SAMPLE_BYTES = 512
 BINARY_CONTROL_PERCENT = 30
-BINARY_NUL_BYTES = 8192
-LINE_ENDING_SAMPLE_CHARS = 4096
 
 # ---- Fixed values: access lists ---------------------------------------------
 BLOCKED_FOLDERS = [

@@ -1,9 +1,9 @@
 """Declarations, imports and reference hints of C#-like sources.
 
 A line-based reading without a compiler front end, done inside the file row.
-Limits: a declaration head stands on one line (its opening brace may follow
-within ``HEAD_LINES``), strings and comments are cut per line, multi-line
-comments and raw strings are not recognised. Confidence is 0.75 throughout so
+Limits: a declaration head stands on one line (its opening brace may follow on
+any later line), strings and comments are cut per line, multi-line comments and
+raw strings are not recognised. Confidence is 0.75 throughout so
 that nobody takes it for compiler output.
 """
 
@@ -17,15 +17,16 @@ from codelake.functions.arrays import block_minima, blocks, first_at_most, runni
 from codelake.functions.columns import file_id, physical_line_array, span
 from codelake.operators.extract_py import _numbered, inline_hints, inline_imports, inline_nodes
 
-HEAD_LINES = 16
 CONFIDENCE = 0.75
 # Depth given to a file-scoped namespace: nothing in the file closes it.
 OPEN_ENDED = -1
 
+# Possessive repeats: Java would match a greedy repeated group by recursion, one
+# level per round, so a very long literal would overflow the stack of the task.
 NOISE = (
-    r'@"(?:[^"]|"")*"'
-    r'|"(?:[^"\\]|\\.)*"'
-    r"|'(?:[^'\\]|\\.)[^']{0,8}'"
+    r'@"[^"]*+(?:""[^"]*+)*+"'
+    r'|"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+    r"|'(?:[^'\\]|\\(?:x[0-9A-Fa-f]{1,4}|u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|.))'"
     r"|//.*"
     r"|/\*.*?\*/"
 )
@@ -87,26 +88,10 @@ def simple_type(text: Column) -> Column:
     )
 
 
-# Java matches a repeated alternative by recursion, one level per character, so a
-# very long string literal would overflow the stack of the task.
-LONG_LINE = 2_000
-
-
-def _clean_long(text: Column) -> Column:
-    """As NOISE, in steps that need no recursion: escapes, strings, comments."""
-    for pattern in (r"\\.", r'"[^"]*"', r"'[^']{1,8}'", r"//.*", r"/\*.*?\*/"):
-        text = F.regexp_replace(text, pattern, "")
-    return text
-
-
 def clean_code(text: Column) -> Column:
     """Code without strings and comments; most lines have neither."""
     suspect = text.contains('"') | text.contains("'") | text.contains("/")
-    return (
-        F.when(suspect & (F.length(text) > LONG_LINE), _clean_long(text))
-        .when(suspect, F.regexp_replace(text, NOISE, ""))
-        .otherwise(text)
-    )
+    return F.when(suspect, F.regexp_replace(text, NOISE, "")).otherwise(text)
 
 
 # What a line says about where a declaration opens.
@@ -133,6 +118,8 @@ def _with_lines(files: DataFrame) -> DataFrame:
         files.withColumn("_lines", physical_line_array())
         .withColumn("_code", code)
         .withColumn("_mark", mark)
+        .withColumn("_quiet", F.transform("_mark", lambda m: (m == NOTHING).cast("int")))
+        .withColumn("_quiet_min", block_minima(F.col("_quiet")))
         .withColumn("_net", net)
         .withColumn("_after", running_sum(blocks(F.col("_net"))))
         .withColumn("_after_min", block_minima(F.col("_after")))
@@ -147,14 +134,12 @@ def _depth_before(n: Column) -> Column:
 
 def _opening(n: Column) -> Column:
     """Line and mark of the first brace or closing semicolon at or after ``n``."""
-    near = F.filter(
-        F.transform(
-            F.slice(F.col("_mark"), n, F.lit(HEAD_LINES)),
-            lambda m, i: F.struct((n + i).alias("n"), m.alias("mark")),
-        ),
-        lambda x: x["mark"] != NOTHING,
+    at = first_at_most(F.col("_quiet"), F.col("_quiet_min"), n, F.lit(0))
+    found = F.transform(
+        F.filter(F.array(at), lambda i: i.isNotNull()),
+        lambda i: F.struct(i.alias("n"), F.try_element_at(F.col("_mark"), i).alias("mark")),
     )
-    return F.try_element_at(near, F.lit(1))
+    return F.try_element_at(found, F.lit(1))
 
 
 def _end_line(n: Column, depth: Column, opening: Column) -> Column:

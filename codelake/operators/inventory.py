@@ -28,9 +28,9 @@ def _ends_with_any(text: Column, suffixes: list[str]) -> Column:
 
 def eligibility(
     path="path", size_bytes="size_bytes", is_binary="is_binary",
-    max_bytes: int = fv.MAX_FILE_BYTES,
+    max_bytes: int | None = None,
 ) -> Column:
-    """First matching status of the eligibility ladder."""
+    """First matching status of the eligibility ladder; no file is too large without a limit."""
     p = col(path)
     name = F.lower(base_name(p))
     ignored = F.array(*[F.lit(f) for f in fv.IGNORED_FOLDERS])
@@ -39,7 +39,7 @@ def eligibility(
         .when(name.startswith(".") | _ends_with_any(name, fv.TEMP_SUFFIXES), "Hidden")
         .when(extension(p).isin(fv.EXCLUDED_EXTENSIONS), "Excluded")
         .when(F.arrays_overlap(_folders(p), ignored), "Ignored")
-        .when(col(size_bytes) > max_bytes, "TooLarge")
+        .when(F.lit(max_bytes is not None) & (col(size_bytes) > (max_bytes or 0)), "TooLarge")
         .when(
             _ends_with_any(name, fv.GENERATED_SUFFIXES)
             | name.isin(fv.GENERATED_NAMES)
@@ -50,7 +50,7 @@ def eligibility(
     )
 
 
-def classify_eligibility(files: DataFrame, max_bytes: int = fv.MAX_FILE_BYTES) -> DataFrame:
+def classify_eligibility(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """``files(path, size_bytes, is_binary)`` with status and reason."""
     size = F.format_number("size_bytes", 0)
     ext = F.concat(F.lit("."), F.substring_index(base_name("path"), ".", -1))
@@ -66,7 +66,7 @@ def classify_eligibility(files: DataFrame, max_bytes: int = fv.MAX_FILE_BYTES) -
             F.col("eligibility") == "TooLarge",
             F.concat(
                 F.lit("File size "), size,
-                F.lit(f" bytes exceeds limit {max_bytes:,} bytes"),
+                F.lit(f" bytes exceeds limit {max_bytes or 0:,} bytes"),
             ),
         )
         .when(F.col("eligibility") == "Generated", F.lit("File appears to be auto-generated"))
@@ -79,31 +79,40 @@ def classify_eligibility(files: DataFrame, max_bytes: int = fv.MAX_FILE_BYTES) -
 # ---- binary and text format -------------------------------------------------
 
 
-def looks_binary(raw="raw") -> Column:
-    """NUL byte, or over 30 % control bytes, in the first bytes of a file."""
-    sample = F.hex(F.substring(col(raw), 1, fv.BINARY_SAMPLE_BYTES))
-    # Pairs are read from the start, so a match cannot straddle two bytes.
-    has_nul = sample.rlike("^(?:..)*?00")
-    total = F.length(sample) / 2
-    spaced = F.regexp_replace(sample, "(..)", "$1 ")
-    control = F.regexp_count(spaced, F.lit("(?:0[1-7EF]|1[0-9A-F]) "))
+#: Control bytes that texts do not hold; NUL is looked for by itself.
+CONTROL_BYTES = "".join(map(chr, [*range(1, 8), *range(14, 32)]))
+
+
+def _first_bytes(raw, sample_bytes: int | None) -> Column:
+    return col(raw) if sample_bytes is None else F.substring(col(raw), 1, sample_bytes)
+
+
+def _has_nul(raw, sample_bytes: int | None) -> Column:
+    return F.contains(_first_bytes(raw, sample_bytes), F.lit(b"\x00"))
+
+
+def looks_binary(raw="raw", sample_bytes: int | None = None) -> Column:
+    """NUL byte, or over 30 % control bytes, in a file or in its first ``sample_bytes``."""
+    text = F.decode(_first_bytes(raw, sample_bytes), "ISO-8859-1")  # a character per byte
+    total = F.length(text)
+    control = total - F.length(F.translate(text, CONTROL_BYTES, ""))
+    has_nul = _has_nul(raw, sample_bytes)
     return F.coalesce(
         has_nul | ((total > 0) & (F.floor(control * 100 / total) > fv.BINARY_CONTROL_PERCENT)),
         F.lit(False),
     )
 
 
-def detect_binary(files_raw: DataFrame) -> DataFrame:
-    return files_raw.withColumn("is_binary", looks_binary())
+def detect_binary(files_raw: DataFrame, sample_bytes: int | None = None) -> DataFrame:
+    return files_raw.withColumn("is_binary", looks_binary(sample_bytes=sample_bytes))
 
 
-def detect_binary_by_ext(files_raw: DataFrame) -> DataFrame:
-    """Known binary extension, or a NUL byte in the first 8 KiB."""
-    sample = F.hex(F.substring("raw", 1, fv.BINARY_NUL_BYTES))
+def detect_binary_by_ext(files_raw: DataFrame, sample_bytes: int | None = None) -> DataFrame:
+    """Known binary extension, or a NUL byte in the file or in its first ``sample_bytes``."""
     return files_raw.withColumn(
         "is_binary",
         extension().isin(fv.BINARY_EXTENSIONS)
-        | F.coalesce(sample.rlike("^(?:..)*?00"), F.lit(False)),
+        | F.coalesce(_has_nul("raw", sample_bytes), F.lit(False)),
     )
 
 
@@ -122,8 +131,9 @@ def detect_encoding(files_raw: DataFrame) -> DataFrame:
     return files_raw.withColumn("encoding", encoding_label())
 
 
-def line_ending(content="content") -> Column:
-    sample = F.left(col(content), F.lit(fv.LINE_ENDING_SAMPLE_CHARS))
+def line_ending(content="content", sample_chars: int | None = None) -> Column:
+    """Kind of line ends in a text, or in its first ``sample_chars`` characters."""
+    sample = col(content) if sample_chars is None else F.left(col(content), F.lit(sample_chars))
     single = F.replace(sample, F.lit("\r\n"), F.lit(""))
     crlf, cr, lf = sample.contains("\r\n"), single.contains("\r"), single.contains("\n")
     return (
@@ -134,8 +144,8 @@ def line_ending(content="content") -> Column:
     )
 
 
-def detect_line_ending(files: DataFrame) -> DataFrame:
-    return files.withColumn("line_ending", line_ending())
+def detect_line_ending(files: DataFrame, sample_chars: int | None = None) -> DataFrame:
+    return files.withColumn("line_ending", line_ending(sample_chars=sample_chars))
 
 
 def line_count(content="content") -> Column:
@@ -187,12 +197,12 @@ def detect_language(files: DataFrame) -> DataFrame:
     )
 
 
-def file_metadata(files: DataFrame, max_bytes: int = fv.MAX_FILE_BYTES) -> DataFrame:
-    """Name, extension, size, times and text format; the format only below the read cap.
+def file_metadata(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Name, extension, size, times and text format; the format only up to ``max_bytes``, where given.
 
     The encoding is read from ``raw`` where that column is present.
     """
-    small = F.col("size_bytes") <= max_bytes
+    small = F.lit(True) if max_bytes is None else F.col("size_bytes") <= max_bytes
     encoding = encoding_label() if "raw" in files.columns else F.col("encoding")
     times = [c for c in ("modified_at",) if c in files.columns]
     return files.select(

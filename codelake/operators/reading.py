@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codelake import fixed_values as fv
 from codelake.functions.columns import file_id, lf_lines, path_key, physical_line_array
 
 
@@ -20,21 +19,25 @@ def content_hash(files: DataFrame, algo: str = "sha256", column: str = "raw") ->
 
 
 def read_many_files(
-    files: DataFrame, paths: DataFrame, max_bytes: int = fv.MAX_FILE_BYTES
+    files: DataFrame, paths: DataFrame, max_bytes: int | None = None
 ) -> DataFrame:
-    """Content for ``paths(root, path)``; a missing path is a row with an error."""
+    """Content for ``paths(root, path)``; a missing path is a row with an error.
+
+    Content beyond ``max_bytes``, where given, is cut and marked ``truncated``.
+    """
     wanted = paths.select("root", F.col("path").alias("requested_path"), path_key().alias("_key"))
     known = files.select("root", path_key().alias("_key"), "content")
     data = F.col("content").cast("binary")
     size = F.octet_length("content")
-    cut = F.make_valid_utf8(F.substring(data, 1, max_bytes).cast("string"))
+    long = F.lit(False) if max_bytes is None else F.coalesce(size > max_bytes, F.lit(False))
+    cut = F.make_valid_utf8(F.substring(data, 1, max_bytes or 0).cast("string"))
     return wanted.join(known, ["root", "_key"], "left").select(
         "root",
         F.col("requested_path").alias("path"),
         F.col("content").isNotNull().alias("success"),
-        F.when(size > max_bytes, cut).otherwise(F.col("content")).alias("content"),
+        F.when(long, cut).otherwise(F.col("content")).alias("content"),
         size.alias("size_bytes"),
-        F.coalesce(size > max_bytes, F.lit(False)).alias("truncated"),
+        long.alias("truncated"),
         F.when(
             F.col("content").isNull(), F.concat(F.lit("File not found: "), F.col("requested_path"))
         ).alias("error"),

@@ -7,19 +7,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codelake import fixed_values as fv
 from codelake.operators.inventory import encoding_label, eligibility, looks_binary
 
 
 def scan_files(
     spark: SparkSession, root: str, glob: str | None = None, eligible_only: bool = False,
-    max_bytes: int = fv.MAX_FILE_BYTES,
+    max_bytes: int | None = None,
 ) -> DataFrame:
     """``(root, path, size_bytes, modified_at, raw)`` of every file below ``root``.
 
     The bytes are a column of their own: plans that do not use ``raw`` never
-    open the files. Files above ``max_bytes`` are listed without bytes; the
-    length test is pushed into the reader, so they are never opened. ``eligible_only`` drops what the eligibility ladder drops.
+    open the files. Files above ``max_bytes``, where given, are listed without
+    bytes; the length test is pushed into the reader, so they are never opened.
+    ``eligible_only`` drops what the eligibility ladder drops.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if glob:
@@ -38,9 +38,12 @@ def scan_files(
         )
 
     tree = reader.load(base)
-    found = listed(tree.filter(F.col("length") <= max_bytes), F.col("content")).unionByName(
-        listed(tree.filter(F.col("length") > max_bytes), F.lit(None).cast("binary"))
-    )
+    if max_bytes is None:
+        found = listed(tree, F.col("content"))
+    else:
+        found = listed(tree.filter(F.col("length") <= max_bytes), F.col("content")).unionByName(
+            listed(tree.filter(F.col("length") > max_bytes), F.lit(None).cast("binary"))
+        )
     files = found.select(
         "root",
         F.substring("_p", at + len(folder) + 1, F.length("_p")).alias("path"),
@@ -66,8 +69,8 @@ def _utf16(raw: pd.Series, codec: pd.Series) -> pd.Series:
 def decode_content(files_raw: DataFrame) -> DataFrame:
     """Adds ``content`` and ``encoding`` by byte-order mark, UTF-8 by default.
 
-    UTF-8 stays in the JVM. Only bytes with a UTF-16 mark are sent to Python,
-    because ``decode`` fails the job on a broken code unit.
+    Only bytes with a UTF-16 mark are decoded in Python, because ``decode`` fails
+    the job on a broken code unit; of other rows a null is sent there.
     """
     label = encoding_label()
     rows = files_raw.withColumn(

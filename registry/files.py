@@ -179,7 +179,7 @@ def _(spark, sf):
 
 # Every second document gets control bytes in front, every third a NUL byte.
 @add("detect_binary", """select doc_id, doc_id % 3 = 0 or (doc_id % 2 = 0 and
-  floor(least(40, 512) * 100 / least(512, 40 + octet_length(encode(text)))) > 30) as is_binary
+  floor(40 * 100 / (40 + octet_length(encode(text)))) > 30) as is_binary
   from (select doc_id, regexp_replace(text, '[\\x00-\\x1f]', '', 'g') as text from {documents})""")
 def _(spark, sf):
     t = C.table(spark, sf, "documents").withColumn("text", F.regexp_replace("text", r"[\x00-\x1f]", ""))
@@ -239,11 +239,10 @@ def st(body: str) -> str:
     return with_ctes(body, d=DOCS, s=_STYLED.replace("{text}", "content"))
 
 
-_HEAD = "left(content, 4096)"
-_LE = f"""case when contains({_HEAD}, chr(13) || chr(10)) and not contains(replace({_HEAD}, chr(13) || chr(10), ''), chr(13))
-    and not contains(replace({_HEAD}, chr(13) || chr(10), ''), chr(10)) then 'crlf'
-  when contains({_HEAD}, chr(13)) and not contains({_HEAD}, chr(10)) then 'cr'
-  when not contains({_HEAD}, chr(13)) then 'lf' else 'mixed' end"""
+_LE = f"""case when contains(content, chr(13) || chr(10)) and not contains(replace(content, chr(13) || chr(10), ''), chr(13))
+    and not contains(replace(content, chr(13) || chr(10), ''), chr(10)) then 'crlf'
+  when contains(content, chr(13)) and not contains(content, chr(10)) then 'cr'
+  when not contains(content, chr(13)) then 'lf' else 'mixed' end"""
 _LC = """cast(len(string_split(replace(replace(content, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)))
   - case when content = '' or right(content, 1) in (chr(10), chr(13)) then 1 else 0 end as bigint)"""
 

@@ -176,6 +176,19 @@ def test_python_scopes_against_brute_force(spark):
         assert got.get(f"{i}.py", []) == brute_force_scopes(t)
 
 
+def test_csharp_one_rule_for_every_length(corpus):
+    pad = "x" * 3000
+    gap = "// note\n" * 40
+    text = f"""class A
+{gap}{{
+    string s = @"C:\\" + "{{"; string t = "{pad}{{\\"{{"; char c = '{{'; char d = '\\u007B';
+    void F() {{ }}
+}}
+"""
+    spans = {r.qualified_path: r.span.end_line for r in CS.cs_declarations(corpus({"a.cs": text})).collect()}
+    assert spans["A"] == 45 and spans["A.F"] == 44
+
+
 def test_csharp_very_long_line(corpus):
     text = 'class A\n{\n    string s = "' + 'x{\\"' * 20000 + '"; // {\n    void F() { }\n}\n'
     names = [(r.qualified_path, r.span.end_line) for r in CS.cs_declarations(corpus({"a.cs": text})).collect()]

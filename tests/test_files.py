@@ -25,7 +25,18 @@ def test_eligibility_ladder(spark):
     got = {r.path: r.eligibility for r in V.classify_eligibility(df).collect()}
     assert got == cases
     big = spark.createDataFrame([("a.cs", 6 << 20, False), ("b.cs", 1, True)], df.schema)
-    assert [r.eligibility for r in V.classify_eligibility(big).orderBy("path").collect()] == ["TooLarge", "Binary"]
+    assert [r.eligibility for r in V.classify_eligibility(big, 5 << 20).orderBy("path").collect()] == ["TooLarge", "Binary"]
+    assert [r.eligibility for r in V.classify_eligibility(big).orderBy("path").collect()] == ["Eligible", "Binary"]
+
+
+def test_whole_files_decide(spark):
+    raw = {"nul": b"a" * 10_000 + b"\0", "control": b"a" * 600 + b"\x01" * 600, "text": b"a" * 10_000, "none": None}
+    df = spark.createDataFrame([(k, bytearray(v) if v is not None else None) for k, v in raw.items()], "path string, raw binary")
+    assert {r.path: r.is_binary for r in V.detect_binary(df).collect()} == {"nul": True, "control": True, "text": False, "none": False}
+    assert {r.path: r.is_binary for r in V.detect_binary_by_ext(df).collect()} == {"nul": True, "control": False, "text": False, "none": False}
+    assert not any(r.is_binary for r in V.detect_binary(df, 512).collect())
+    ends = spark.createDataFrame([("x" * 5000 + "\n" + "y\r\n",)], "content string")
+    assert V.detect_line_ending(ends).first().line_ending == "mixed"
 
 
 def test_scan_and_decode(spark, tmp_path):
