@@ -157,6 +157,18 @@ def unigram_model():
     return out + block(3, field(3, 0, b"\x01") + field(4, 0, b"\x00"))
 
 
+def test_joined_segments_give_the_same_ids():
+    with open(pieces.MODEL, "rb") as file:
+        raw = file.read()
+    texts = ["", " ", "a  b ", "   x", "▁", "日本語 テ\x00 \n\t😀 é", " " * 9, " ".join(f"w{i}ord" for i in range(3000)), "z" * 5000 + " y"]
+    joined, single = pieces.Codec(raw, verify=False), pieces.Codec(raw, verify=False)
+    assert joined.joins
+    single.joins = False
+    for group in (texts, texts[7:], ["new words here", "and more words"]):
+        for a, b in zip(joined.encode(group), single.encode(group), strict=True):
+            assert a.tolist() == b.tolist()
+
+
 def test_unigram_model():
     codec = pieces.Codec(unigram_model())
     ids, _, parity = codec.encode(["ab a bab"])
