@@ -4,8 +4,9 @@ A linear model over text features is fitted with the non-negative unbiased risk:
 ``prior * E_P[loss(g)] + max(0, E_U[loss(-g)] - prior * E_P[loss(-g)])`` with the
 logistic loss, trusted positives P and unlabelled texts U. The prior is the share
 of positives among the labels of the training rows. The fit uses at most
-``positives`` and ``unlabelled`` texts, those whose hashed ids are least; all
-texts are scored.
+``positives`` and ``unlabelled`` texts, those whose hashed ids are least; of
+several rows with one id, the text of the least hash teaches. All texts are
+scored.
 
 A null text counts as empty. A text without words scores 0. Labels that are null
 are ignored; an id with several labels is positive if one of them is. Without a
@@ -158,13 +159,16 @@ def train(
     share = marks.agg(F.avg((F.col("quality") == 1).cast("double"))).first()[0]
 
     def first(ids: DataFrame, n: int, seed: int) -> DataFrame:
-        return ids.select("doc_id").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(n)
+        return ids.select("doc_id").distinct().orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(n)
 
     texts = plain(docs, "doc_id", "text").where(learn)
     chosen = first(marks.where("quality = 1"), positives, 1).withColumn("positive", F.lit(True)).unionByName(
-        first(texts, unlabelled, 2).distinct().withColumn("positive", F.lit(False))
+        first(texts, unlabelled, 2).withColumn("positive", F.lit(False))
     )
-    sample = texts.join(F.broadcast(chosen), "doc_id").mapInArrow(_feature_rows, "positive boolean, x binary").toArrow()
+    # One text of each chosen id, however many rows it has: what reaches the driver is bounded.
+    one = F.min_by(F.coalesce("text", F.lit("")), F.xxhash64(F.coalesce("text", F.lit("")))).alias("text")
+    sample = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "positive").agg(one)
+    sample = sample.mapInArrow(_feature_rows, "positive boolean, x binary").toArrow()
     chunks = [np.frombuffer(c.buffers()[2], np.float32)[c.offset * WIDTH :][: len(c) * WIDTH] for c in sample["x"].chunks if len(c)]
     x = np.concatenate(chunks).reshape(-1, WIDTH) if chunks else np.zeros((0, WIDTH), np.float32)
     positive = sample["positive"].to_numpy().astype(bool)

@@ -387,3 +387,11 @@ def test_quality(spark, docs, empty):
     nothing = quality.train(empty, labels.limit(0), F.lit(True))
     assert {r["score"] for r in quality.score(docs, nothing, "doc_id").collect()} == {0.0, 0.5}
     assert quality.good_rows(docs, nothing, 0.2).columns == docs.columns
+
+
+def test_repeated_ids_teach_once(docs):
+    labels = docs.sparkSession.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    learn = F.col("doc_id") >= 0
+    once = quality.train(docs, labels, learn)
+    often = quality.train(docs.join(docs.sparkSession.range(50).select(F.lit(1).alias("again"))).drop("again"), labels, learn)
+    assert len(once.weights) and np.allclose(once.centre, often.centre) and np.allclose(once.weights, often.weights, atol=1e-2)
