@@ -10,15 +10,21 @@ HOT_KEYS = 1_000
 SALTS = 64
 
 
+def _some_null(keys: list[str]) -> Column:
+    return F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False))
+
+
 def hot_keys(left: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """The most frequent keys above ``hot_rows``.
 
     At most ``HOT_KEYS`` rows come out whatever the input, which is what makes
     the broadcast in ``lookup_join`` safe. A key that misses the list is joined
-    unsalted, so the bound never changes a result.
+    unsalted, so the bound never changes a result; as ``HOT_KEYS`` keys have at
+    least as many rows, it holds less than one row in ``HOT_KEYS``.
     """
     return (
-        left.groupBy(*keys)
+        left.where(~_some_null(keys))
+        .groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_n"))
         .filter(F.col("_n") > hot_rows)
         .orderBy(F.desc("_n"))
@@ -46,8 +52,10 @@ def lookup_join(
     """Joins many left rows to a lookup table with salt on the hot left keys.
 
     A lookup table that Spark estimates below its broadcast threshold is left
-    to Spark: no shuffle, so no skew. Otherwise, rows of a hot key are spread over ``SALTS`` tasks and the matching lookup
-    rows are repeated as often; every other key is shuffled once, unsalted.
+    to Spark: no shuffle, so no skew. Otherwise, rows of a hot key are spread over
+    ``SALTS`` tasks and the matching lookup rows are repeated as often; every other
+    key is shuffled once, unsalted. Rows with a null key meet nothing, so they are
+    spread as well, with no lookup rows for them.
     ``counted`` names the frame to count keys on when ``left`` is itself the
     result of a join, so that the join is not run again for the counts.
     """
@@ -57,7 +65,7 @@ def lookup_join(
     spread = spread if spread is not None else F.xxhash64(*[F.col(c) for c in left.columns])
     salted_left = left.join(hot, keys, "left").withColumn(
         "_salt",
-        F.when(F.col("_hot"), F.pmod(spread, F.lit(SALTS))).otherwise(F.lit(0)).cast("int"),
+        F.when(F.coalesce("_hot", _some_null(keys)), F.pmod(spread, F.lit(SALTS))).otherwise(F.lit(0)).cast("int"),
     ).drop("_hot")
     salted_right = right.join(hot, keys, "left").withColumn(
         "_salt",
@@ -71,6 +79,7 @@ def lookup_join(
 
 
 REQUEST_ROWS = 100_000
+REQUEST_BYTES = 32 << 20
 
 
 def request_join(
@@ -78,12 +87,14 @@ def request_join(
 ) -> DataFrame:
     """Inner join of a corpus to a table of requests.
 
-    The request table is counted first, up to a bound. Within the bound it is
-    broadcast and the corpus is not shuffled at all. Beyond it, all left rows
-    are salted: counting the keys of a whole corpus would cost a second pass.
+    The rows and bytes of the request table are counted first, up to a bound.
+    Within the bound it is broadcast and the corpus is not shuffled at all.
+    Beyond it, all left rows are salted: counting the keys of a whole corpus
+    would cost a second pass.
     """
-    small = requests.limit(REQUEST_ROWS + 1).count() <= REQUEST_ROWS
-    if small:
+    written = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in requests.columns])))
+    size = requests.limit(REQUEST_ROWS + 1).agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(written), F.lit(0)).alias("bytes")).first()
+    if size["rows"] <= REQUEST_ROWS and size["bytes"] <= REQUEST_BYTES:
         return left.join(F.broadcast(requests), keys)
     spread = spread if spread is not None else F.xxhash64(*[F.col(c) for c in left.columns])
     salts = 16

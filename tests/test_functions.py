@@ -118,3 +118,20 @@ def test_repo_scope(spark):
 def test_glob_regex_quotes(spark):
     df = spark.createDataFrame([("a+b/c.py",), ("aab/c.py",)], "p string")
     assert [r.p for r in df.filter(F.col("p").rlike(glob_regex("A+B/*.PY"))).collect()] == ["a+b/c.py"]
+
+
+def test_null_keys_are_spread(spark, no_broadcast):
+    left = spark.range(2000).select(F.when(F.col("id") % 10 == 0, F.col("id")).alias("k"), "id")
+    right = spark.range(0, 2000, 20).select(F.col("id").alias("k"), F.lit("x").alias("v"))
+    joined = lookup_join(left, right, ["k"], hot_rows=100)
+    assert joined.count() == 2000 and joined.where("v is not null").count() == 100
+    assert lookup_join(left, right, ["k"], "inner", hot_rows=100).count() == 100
+    assert hot_keys(left, ["k"], 100).isEmpty()
+
+
+def test_long_requests_are_not_broadcast(spark, monkeypatch):
+    left = spark.range(500).select((F.col("id") % 50).cast("string").alias("k"), "id")
+    wanted = spark.range(20).select(F.col("id").cast("string").alias("k"))
+    small = sorted(map(tuple, request_join(left, wanted, ["k"]).collect()))
+    monkeypatch.setattr("codelake.functions.skew.REQUEST_BYTES", 10)
+    assert sorted(map(tuple, request_join(left, wanted, ["k"]).collect())) == small and len(small) == 200
