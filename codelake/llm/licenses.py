@@ -3,8 +3,8 @@
 Every word k-gram of every text meets the k-grams of license templates in a
 Spark join. A match votes for the diagonal (text position minus template
 position). Votes on one diagonal, and on neighbouring diagonals that follow one
-another in the text, form a span; a span holds if the words that agree, one by
-one, cover enough of the template.
+another in the text, form a span; a span holds if it is not too long and its
+distinct matched k-grams cover enough of the template.
 
 Nulls and texts without words give no span and score 0. Repeated rows are
 treated each on its own. Other columns of the input are ignored.
