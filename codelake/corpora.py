@@ -233,9 +233,9 @@ select 'parts' as root,
 from {part}
 """
 
-# One solution per supplier; it names a project that exists and one that does not.
-SOLUTIONS = """
-select 'parts' as root, 'proj/sln/S' || cast(s_suppkey as string) || '.sln' as path,
+# A solution names a project that exists and one that does not.
+_SOLUTION = """
+select 'parts' as root, 'proj/sln/' || {solution} || '.sln' as path,
        'Microsoft Visual Studio Solution File' || chr(10)
        || 'Project("' || chr(123) || 'FAE' || chr(125) || '") = "P' || cast(p_partkey as string) || '", "..'
        || chr(92) || replace(p_brand, '#', '') || chr(92) || 'P' || cast(p_partkey as string)
@@ -243,8 +243,10 @@ select 'parts' as root, 'proj/sln/S' || cast(s_suppkey as string) || '.sln' as p
        || '"' || chr(10) || 'EndProject' || chr(10)
        || 'Project("' || chr(123) || 'FAE' || chr(125) || '") = "Gone", "..' || chr(92) || 'Gone.csproj", "'
        || chr(123) || '2' || chr(125) || '"' || chr(10) as content
-from {supplier} join {part} on s_suppkey = p_partkey
 """
+# One per supplier whose key is also a part's, and one per part.
+SOLUTIONS = _SOLUTION.replace("{solution}", "'S' || cast(s_suppkey as string)") + "from {supplier} join {part} on s_suppkey = p_partkey\n"
+SOLUTIONS_ALL = _SOLUTION.replace("{solution}", "'Q' || cast(p_partkey as string)") + "from {part}\n"
 
 CONFIGS = """
 select 'conf' as root,

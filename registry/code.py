@@ -576,6 +576,41 @@ def _(spark, sf):
     )
 
 
+@add("list_files_whole", expect("""select root, path, language, 'Success' as parse_status, 'Eligible' as eligibility,
+  count(*) filter (parent_path is null)::bigint as top_level_node_count, 0::bigint as diagnostic_count from nodes group by 1, 2, 3"""))
+def _(spark, sf):
+    """All files of both roots; ``list_files`` is the case with filters."""
+    t = index_of(spark, sf)
+    return list_files(t["files"], t["nodes"], t["diagnostics"]).select(
+        "root", "path", "language", "parse_status", "eligibility", "top_level_node_count", "diagnostic_count"
+    )
+
+
+@add("build_index", expect("""select 'files' as relation, root, path, language as a, 'Success' as b from nodes group by 1, 2, 3, 4
+  union all select 'nodes', root, path, qualified_path, subkind from nodes
+  union all select 'symbols', root, path, prefix || ':' || category || ':' || qualified_path, symbol_kind from symbols
+  union all select 'occurrences', root, path, prefix || ':' || category || ':' || qualified_path, 'Declaration' from nodes
+  union all select 'imports', root, path, target, raw_text from imports
+  union all select 'hints', root, path, evidence, kind from py_hints union all select 'hints', root, path, evidence, kind from cs_hints
+  union all select 'edges', root, path, source_symbol_id || ' ' || coalesce(target_symbol_id, '?'), resolution from edges"""))
+def _(spark, sf):
+    """A build of its own over both roots, with the rows of every relation."""
+    t = I.build_index(C.corpus(spark, sf, C.SOURCE_ALL))
+    shown = {
+        "files": ("language", "parse_status"), "nodes": ("qualified_path", "subkind"), "symbols": ("symbol_id", "kind"),
+        "occurrences": ("symbol_id", "role"), "imports": ("target", "raw_text"), "hints": ("evidence", "kind"),
+        "edges": (F.concat_ws(" ", "source_symbol_id", F.coalesce("target_symbol_id", F.lit("?"))), "resolution"),
+        "diagnostics": ("code", "severity"),
+    }
+    out = None
+    for name, (a, b) in shown.items():
+        a, b = (F.col(c) if isinstance(c, str) else c for c in (a, b))
+        path = F.col("primary_path" if name == "symbols" else "path").alias("path")
+        part = t[name].select(F.lit(name).alias("relation"), "root", path, a.alias("a"), b.alias("b"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @add("file_outline", expect("""select path, name, display_name, cast(depth as bigint) as depth, has_children and depth < 1 as expanded
   from nodes where depth <= 1"""))
 def _(spark, sf):

@@ -411,6 +411,15 @@ def _(spark, sf):
     return M.solution_projects(f).drop("root")
 
 
+@add("solution_projects_whole", """select 'proj/sln/Q' || cast(p_partkey as varchar) || '.sln' as solution, 'P' || cast(p_partkey as varchar) as name,
+  'proj/' || replace(p_brand, '#', '') || '/P' || cast(p_partkey as varchar) || case when p_size % 5 = 0 then '.Tests' else '' end || '.csproj' as path
+  from {part}""")
+def _(spark, sf):
+    """Solutions for all parts; ``solution_projects`` is the case of the parts with a supplier's key."""
+    f = C.corpus(spark, sf, C.MANIFESTS).unionByName(C.corpus(spark, sf, C.SOLUTIONS_ALL))
+    return M.solution_projects(f).drop("root")
+
+
 @add("config_files", """select c_custkey::bigint as c_custkey, case c_custkey % 11 when 0 then case when c_custkey % 22 = 0 then 'connection_strings' else 'app_settings' end
   when 1 then 'app_settings' when 2 then 'connection_strings' when 3 then 'json' when 4 then 'json' when 6 then 'yaml' when 7 then 'yaml'
   when 8 then 'ini' when 9 then 'other' else 'json' end as config_class from {customer} where c_custkey % 11 <> 5""")

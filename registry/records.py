@@ -16,6 +16,7 @@ from codelake.plans import index as I
 from codelake.plans import refresh as X
 from codelake.sources import snapshots as SN
 from codelake.sources.audit_log import parse_audit, read_audit_log, write_audit_log
+from codelake.streaming.refresh import refresh_stream
 from registry.common import Registry, big, index_of, joined, with_ctes
 from registry.expected import expect
 
@@ -395,3 +396,74 @@ def _(spark, sf):
         )
         .unionByName(changes.select(F.lit("change").alias("what"), F.col("path").alias("a"), F.col("change").alias("b")))
     )
+
+
+def now_and_changed(spark, sf):
+    """Both source corpora after every sixth customer changed, every seventh went and some came; and the changes alone."""
+    n = F.coalesce(F.regexp_extract("path", r"[cC]ustomer_?(\d+)\.(?:py|cs)$", 1).try_cast("bigint"), F.lit(-1))
+    whole = C.corpus(spark, sf, C.SOURCE_ALL).withColumn("n", n).withColumn("ks", F.col("n").cast("string"))
+    py = F.col("root") == "py_repo"
+    extra = F.when(py, F.concat(F.lit("class Extra"), "ks", F.lit(":\n    pass\n"))).otherwise(
+        F.concat(F.lit("public class Extra"), "ks", F.lit("\n{\n}\n"))
+    )
+    new = F.when(py, F.concat(F.lit("class New"), "ks", F.lit("(Extra"), "ks", F.lit("):\n    pass\n"))).otherwise(
+        F.concat(F.lit("public class New"), "ks", F.lit(" : Extra"), "ks", F.lit("\n{\n}\n"))
+    )
+    gone = (F.col("n") >= 0) & (F.col("n") % 7 == 0)
+    edit = (F.col("n") >= 0) & (F.col("n") % 6 == 0)
+    live = whole.filter(~gone).withColumn("content", F.when(edit, F.concat("content", extra)).otherwise(F.col("content")))
+    came = live.filter("n > 0 and n % 9 = 1").withColumn("path", F.concat(F.lit("new/"), "path")).withColumn("content", new)
+    columns = ["root", "path", "content"]
+    changed = live.filter(edit).select(*columns, F.lit(False).alias("deleted")).unionByName(
+        came.select(*columns, F.lit(False).alias("deleted"))
+    ).unionByName(whole.filter(gone).select("root", "path", F.lit(None).cast("string").alias("content"), F.lit(True).alias("deleted")))
+    return live.unionByName(came).select(*columns), changed
+
+
+# Files of customers of both roots, and the state after the changes.
+_AFTER = """with_k as (select 'py_repo' as root, 'python:py-repo' as prefix, k, ks, path from pc union all select 'cs_repo', 'csharp:cs-repo', k, ks, path from cc),
+gone as (select root, path from with_k where k % 7 = 0),
+came as (select * from with_k where k % 9 = 1 and k % 7 <> 0)
+select 'symbol' as what, prefix || ':' || category || ':' || qualified_path as a, '' as b from nodes anti join gone using (root, path) group by all
+  union all select 'symbol', prefix || ':type:Extra' || ks, '' from with_k where k % 6 = 0 and k % 7 <> 0
+  union all select 'symbol', prefix || ':type:New' || ks, '' from came
+  union all select 'edge', source_symbol_id, resolution from edges anti join gone using (root, path)
+  union all select 'edge', prefix || ':type:New' || ks, case when k % 6 = 0 then 'ExactBound' else 'Unknown' end from came"""
+
+
+def state(tables):
+    return (
+        tables["symbols"].select(F.lit("symbol").alias("what"), F.col("symbol_id").alias("a"), F.lit("").alias("b"))
+        .unionByName(tables["edges"].select(F.lit("edge").alias("what"), F.col("source_symbol_id").alias("a"), F.col("resolution").alias("b")))
+    )
+
+
+def after(more: str) -> str:
+    return expect("select").removesuffix("\nselect") + ",\n" + _AFTER + "\n" + more
+
+
+@add("incremental_update_whole", after("""union all select 'change', root || ' ' || path, case when k % 7 = 0 then 'deleted' when k % 6 = 0 then 'modified' else 'unchanged' end from with_k
+  union all select 'change', 'py_repo ' || path, 'unchanged' from segs union all select 'change', 'cs_repo ' || path, 'unchanged' from regs
+  union all select 'change', root || ' new/' || path, 'added' from came"""))
+def _(spark, sf):
+    """The whole index of both roots refreshed; ``incremental_update`` is the case of the Python root alone."""
+    tables, changes = X.incremental_update(index_of(spark, sf), now_and_changed(spark, sf)[0])
+    return state(tables).unionByName(
+        changes.select(F.lit("change").alias("what"), F.concat_ws(" ", "root", "path").alias("a"), F.col("change").alias("b"))
+    )
+
+
+@add("refresh_stream", after("""union all select 'file', root || ' ' || path, '' from nodes anti join gone using (root, path) group by all
+  union all select 'file', root || ' new/' || path, '' from came"""))
+def _(spark, sf):
+    """Two availableNow runs over the files of the customer table: all of them, then the changes."""
+    inbox, base, check = (fresh(spark, name) for name in ("inbox", "snapshots", "offsets"))
+    whole = C.corpus(spark, sf, C.SOURCE_ALL).withColumn("deleted", F.lit(False))
+    for second, rows in enumerate((whole, now_and_changed(spark, sf)[1])):
+        rows = rows.withColumn("modified_at", F.timestamp_seconds(F.lit(second)))
+        rows.write.mode("append").parquet(inbox)
+        refresh_stream(spark.readStream.schema(rows.schema).parquet(inbox), base, check).awaitTermination()
+    tables = {name: SN.read_latest(spark, base, name) for name in ("files", "symbols", "edges")}
+    return state(tables).unionByName(
+        tables["files"].select(F.lit("file").alias("what"), F.concat_ws(" ", "root", "path").alias("a"), F.lit("").alias("b"))
+    )
