@@ -6,7 +6,6 @@ order so they can be compared with the behaviour they have to reproduce.
 
 # ---- Fixed values: limits ---------------------------------------------------
 MAX_SEARCH_RESULTS = 200
-MAX_DIRECTORY_ENTRIES = 500
 MAX_LOG_COMMITS = 200
 DEFAULT_PAGE_SIZE = 50
 MAX_PAGE_SIZE = 200

@@ -104,11 +104,12 @@ def request_join(
     ).drop("_salt")
 
 
-def first_rows(df: DataFrame, keys: list, order: list, n: int, rank: str = "rank") -> DataFrame:
-    """First ``n`` rows per key.
+def first_rows(df: DataFrame, keys: list, order: list, n: int | None, rank: str = "rank") -> DataFrame:
+    """First ``n`` rows per key, all of them where ``n`` is null.
 
     Spark turns the rank filter into a per-task group limit before the shuffle,
     so a hot key ships at most ``n`` rows per task.
     """
     w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= n)
+    ranked = df.withColumn(rank, F.row_number().over(w))
+    return ranked if n is None else ranked.filter(F.col(rank) <= n)

@@ -442,9 +442,9 @@ def list_files(
 
 def list_directory(
     tree: DataFrame, directories: DataFrame | None = None, pattern: str | None = None,
-    sort_by: str = "name", cap: int = fv.MAX_DIRECTORY_ENTRIES, include_blocked: bool = False,
+    sort_by: str = "name", cap: int | None = None, include_blocked: bool = False,
 ) -> DataFrame:
-    """Children of directories, ordered and capped per directory.
+    """Children of directories, ordered, and capped per directory where ``cap`` is set.
 
     ``directories(root, parent)`` names the wanted ones; without it every
     directory is listed. ``total_count`` counts all children before filters.
@@ -470,6 +470,6 @@ def list_directory(
     return (
         capped.join(kept, ["root", "parent"])
         .join(totals, ["root", "parent"])
-        .withColumn("truncated", F.col("_shown") > cap)
+        .withColumn("truncated", F.lit(False) if cap is None else F.col("_shown") > cap)
         .drop("_shown")
     )

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codelake import fixed_values as fv
@@ -274,12 +274,13 @@ def cap_per_file(matches: DataFrame, k: int) -> DataFrame:
 def grep(
     files: DataFrame, query: str, mode: str = "literal", path_prefix: str = "",
     include: list[str] | None = None, exclude: list[str] | None = None,
-    case_sensitive: bool = False, max_results: int = 100, max_per_file: int = 20,
+    case_sensitive: bool = False, max_results: int | None = None, max_per_file: int | None = None,
     context: int | None = None,
 ) -> DataFrame:
-    """Flat match list ranked by (path, line, column), capped per file and in total.
+    """Flat match list ranked by (path, line, column), whole unless a cap is set.
 
-    A list of plain ``*.ext`` globs becomes an extension filter. Column 0 is
+    ``truncated`` tells of each row whether ``max_per_file`` left out matches of
+    its file or ``max_results`` matches of the whole answer. A list of plain ``*.ext`` globs becomes an extension filter. Column 0 is
     shown as null.
     """
     simple = include and all(re.fullmatch(r"\*\.[A-Za-z0-9]+", g) for g in include)
@@ -292,11 +293,21 @@ def grep(
         found = search_text(scoped, query, not case_sensitive, mode != "literal")
     else:
         raise ValueError(f"unknown mode: {mode}")
-    top = (
-        cap_per_file(found, max_per_file)
-        .drop("rank")
-        .orderBy("root", "path", "line", "column")
-        .limit(max_results)
-    )
+    top = found.withColumn("truncated", F.lit(False))
+    if max_per_file is not None:
+        # One row more than asked for shows that a file has more.
+        most = F.max("rank").over(Window.partitionBy("root", "path"))
+        top = cap_per_file(found, max_per_file + 1).withColumn("truncated", most > max_per_file)
+        top = top.filter(F.col("rank") <= max_per_file).drop("rank")
+    order = ["root", "path", "line", "column"]
+    top = top.orderBy(*order)
+    if max_results is not None:
+        top = (
+            top.limit(max_results + 1)
+            .withColumn("_n", F.row_number().over(Window.orderBy(*order)))
+            .withColumn("truncated", F.col("truncated") | (F.max("_n").over(Window.partitionBy()) > max_results))
+            .filter(F.col("_n") <= max_results)
+            .drop("_n")
+        )
     top = top.withColumn("column_start", F.when(F.col("column") > 0, F.col("column")))
     return context_lines(top, files, context, context) if context else top

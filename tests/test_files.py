@@ -256,3 +256,24 @@ def test_paths_that_differ_in_case(spark):
     files = spark.createDataFrame([("r", "A.cs", "1"), ("r", "a.cs", "2")], "root string, path string, content_hash string")
     assert sorted(r["change"] for r in file_changes(files, files).collect()) == ["unchanged", "unchanged"]
     assert [r["path"] for r in deleted_paths(files, files.where("path = 'a.cs'")).collect()] == ["A.cs"]
+
+
+def test_grep_is_whole_by_default(corpus):
+    files = corpus({f"f{i}.txt": "needle\n" * 30 for i in range(5)})
+    rows = S.grep(files, "needle").collect()
+    assert len(rows) == 150 and not any(r["truncated"] for r in rows)
+    for results, per_file, n, cut in ((None, 29, 145, True), (None, 30, 150, False), (149, None, 149, True), (150, None, 150, False), (10, 30, 10, True), (150, 30, 150, False)):
+        rows = S.grep(files, "needle", max_results=results, max_per_file=per_file).collect()
+        assert len(rows) == n and {r["truncated"] for r in rows} == {cut}
+    mixed = corpus({"a": "needle\n", "b": "needle\n" * 3})
+    rows = S.grep(mixed, "needle", max_results=10, max_per_file=2, context=1).collect()
+    assert sorted((r["path"], r["truncated"]) for r in rows) == [("a", False), ("b", True), ("b", True)]
+
+
+def test_list_directory_is_whole_by_default(spark):
+    tree = spark.range(600).selectExpr(
+        "'r' as root", "'' as parent", "concat('f', id) as name", "concat('f', id) as path", "'file' as kind", "id as size_bytes"
+    )
+    for cap, n, cut in ((None, 600, False), (600, 600, False), (599, 599, True)):
+        rows = V.list_directory(tree, cap=cap).collect()
+        assert len(rows) == n and {(r["truncated"], r["total_count"]) for r in rows} == {(cut, 600)}
