@@ -1,13 +1,16 @@
 """Document fingerprints by context-triggered piecewise hashing.
 
 A rolling hash over seven bytes ends a chunk where its low ``k`` bits are zero.
-The fingerprint is ``k:a:b``: ``k`` is the least, from two on, that gives at most
+The fingerprint is ``k:a:b``: ``k`` is the least, from zero on, that gives at most
 63 chunk ends; ``a`` has one character per chunk and ``b`` the same for ``k + 1``.
 Two fingerprints are compared where their block sizes agree or are next to each
 other: signatures with no common run of seven characters are unlike, others are
-as alike as their edit distance by insertions and deletions says.
+as alike as their edit distance by insertions and deletions says. The run is a
+third of the shorter signature where that is less than seven, but two at least
+where it has two. The first seven bytes are one chunk at least, so of texts under
+12 bytes that differ in a third, most are unlike.
 
-Null counts as empty; the fingerprint of the empty text is ``2::``. Equal texts
+Null counts as empty; the fingerprint of the empty text is ``0::``. Equal texts
 have equal fingerprints and likeness 1. Repeated rows are treated each on its
 own; rows with equal ids are in the order of their texts' hashes, null ids last.
 Other columns of the input are ignored.
@@ -32,7 +35,7 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 WINDOW = 7
 RUN = 7
 LONGEST = 63
-LEAST_BITS = 2
+LEAST_BITS = 0
 
 _LETTERS = np.frombuffer(ALPHABET.encode(), np.uint8)
 
@@ -85,7 +88,8 @@ def _alike(a: str, b: str) -> float:
         return 0.0
     if a == b:
         return 1.0
-    run = min(RUN, len(a), len(b))
+    short = min(len(a), len(b))
+    run = min(RUN, max(min(2, short), short // 3))
     if {a[i : i + run] for i in range(len(a) - run + 1)}.isdisjoint(b[i : i + run] for i in range(len(b) - run + 1)):
         return 0.0
     return 2 * common_length(a, b) / (len(a) + len(b))

@@ -275,6 +275,16 @@ def test_fuzzy(docs, empty, spark):
     assert fuzzy.neighbours(spark.createDataFrame([(1, "alone " * 50)], DOCS)).count() == 1
 
 
+def test_short_edited_texts_are_alike():
+    rng = np.random.default_rng(11)
+    for n in range(12, 61):
+        texts = ["".join(chr(97 + c) for c in rng.integers(0, 26, n)) for _ in range(41)]
+        new = [fuzzy.edited(a, b) for a, b in zip(texts, texts[1:], strict=False)]
+        own, other = (fuzzy.fingerprints([t.encode() for t in x]) for x in (texts, new))
+        assert min(fuzzy.likeness(a, b) for a, b in zip(own, other, strict=False)) > 0
+        assert sum(fuzzy.likeness(a, b) > 0 for a, b in zip(own, own[1:], strict=False)) <= 8  # other texts
+
+
 def test_common_length():
     rng = np.random.default_rng(5)
     for _ in range(40):
