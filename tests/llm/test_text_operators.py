@@ -69,6 +69,25 @@ def test_altered_notice(spark):
     assert rows[2]["labels"] == "" and rows[2]["score"] == 0
 
 
+def test_every_word_of_a_notice_may_differ_but_a_name(spark):
+    cases = []
+    for label, phrase, names in licenses.NOTICES:
+        w = phrase.split()
+        fixed = {i for n in names for i in range(len(w)) for j in range(len(n.split())) if w[i - j : i - j + len(n.split())] == n.split() and i >= j}
+        for i in range(len(w)):
+            cases.append((label, i in fixed, " ".join(["intro", *w[:i], "changed", *w[i + 1 :], "end"])))
+        cases.append((label, False, phrase.title()))
+    cases.append(("mit", False, "It was released under a MIT license."))
+    cases.append(("apache-2.0", False, "Licensed under an Apache License, Version 2.0"))
+    rows = spark.createDataFrame([(i, t) for i, (_, _, t) in enumerate(cases)], DOCS)
+    got = {r["doc_id"]: r["labels"].split(",") for r in licenses.license_report(rows).collect()}
+    wrong = [(c, got[i]) for i, c in enumerate(cases) if (c[0] in got[i]) == c[1]]
+    assert not wrong, wrong
+    others = ["licensed under cc by sa 4 0", "released under the bsd license", "this work is licensed under the gnu general public license version 2"]
+    for text, labels in zip(others, ("cc-by", "", "gpl,gpl-2.0"), strict=True):
+        assert licenses.license_report(spark.createDataFrame([(1, text)], DOCS)).first()["labels"] == labels
+
+
 def contaminated(rows, items):
     windows = {}
     for item, text in items:
