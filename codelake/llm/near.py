@@ -19,6 +19,9 @@ returns links only. A text leaves its group if its differences to the leader
 prove that it has no partner left there: linked texts share most of their
 differences, so those that a text alone has keep it apart from all others. No
 candidate is dropped otherwise, and texts in one class are not compared again.
+Linked texts that share no band are no candidates: of pairs with similarity 0.8
+about 1 in 5 000 for long texts, 1 in 2 500 where the two texts have 10 different
+shingles together and 1 in 1 260 where they have 5, by calculation.
 
 A null or empty text, or one without words, is equal only to texts with the
 same bytes (null and empty count as equal). A text of fewer than five words has
@@ -169,12 +172,10 @@ class Leader:
         self.ordered = sequence[self.order]
 
     def compare(self, other: np.ndarray) -> tuple[float, np.ndarray]:
-        """Similarity, and the first of the differences.
+        """Similarity, and the differences: the shingles that only one of the two texts has.
 
-        Differences are the shingles that only one of the two texts has. Linked
-        texts differ from one another by at most a quarter of their own
-        shingles, so a text that alone has more than that is linked to nobody;
-        half as many as it has shingles are told, as some are shared.
+        All are told: where one text's list ended early, those that it shares
+        with another text would pass for the other's own.
         """
         n, m = len(self.sequence), len(other)
         slot = np.minimum(np.searchsorted(self.ordered, other), n - 1)
@@ -184,8 +185,8 @@ class Leader:
         aligned = increasing(place[near])
         missing = np.ones(n, bool)
         missing[place] = False
-        keys = np.concatenate([np.sort(mix(other[~both])), np.sort(mix(self.sequence[missing]))])
-        return aligned / (n + m - aligned), keys[: m // 2 + 1]
+        keys = mix(np.concatenate([other[~both], self.sequence[missing]]))
+        return aligned / (n + m - aligned), keys
 
 
 _COMPARED = "leader binary, node binary, n long, similarity double, differences array<long>"

@@ -189,3 +189,21 @@ def test_queries_and_sql(spark):
     for name in ("op2_chat_format", "op5_decontaminate"):
         rows, problem = compare(spark, connect(source), source, queries[name], sql[name])
         assert problem is None and rows
+
+
+def test_nested_edits_leave_room(spark):
+    rng = np.random.default_rng(8)
+    leader = rng.integers(1, 2**62, 1000).astype(np.uint64)
+    for shared in (880, 901, 920):
+        x, y = leader.copy(), None
+        x[-250:] = rng.integers(1, 2**62, 250).astype(np.uint64)
+        y = x.copy()
+        y[: 1000 - shared] = rng.integers(1, 2**62, 1000 - shared).astype(np.uint64)
+        linked = near.Leader(x).compare(y)[0] >= near.SIMILARITY
+        rows = []
+        for name, text in ((b"x", x), (b"y", y)):
+            similarity, differences = near.Leader(leader).compare(text)
+            rows.append((b"leader", name, len(text), similarity, near.signed(differences).tolist()))
+        room = {bytes(r["node"]): r["room"] for r in near._room(spark.createDataFrame(rows, near._COMPARED)).collect()}
+        assert not linked or room[b"x"] + room[b"y"] >= 0
+        assert linked == (shared > 888)
