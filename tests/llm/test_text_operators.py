@@ -424,3 +424,15 @@ def test_repeated_ids_teach_once(docs):
     once = quality.train(docs, labels, learn)
     often = quality.train(docs.join(docs.sparkSession.range(50).select(F.lit(1).alias("again"))).drop("again"), labels, learn)
     assert len(once.weights) and np.allclose(once.centre, often.centre) and np.allclose(once.weights, often.weights, atol=1e-2)
+
+
+def test_readme_names_the_module_of_every_query():
+    from pathlib import Path
+
+    from codelake.llm.registry import QUERIES
+
+    text = (Path(__file__).parents[2] / "README.md").read_text()
+    table = text.split("| Query | Module | Method |")[1].split("\n\n")[0]
+    rows = dict(re.findall(r"^\| `(op\w+)` \| `(\w+)` \|", table, re.M))
+    assert set(rows) == set(QUERIES)
+    assert all((Path(__file__).parents[2] / "codelake" / "llm" / f"{m}.py").exists() for m in rows.values())
