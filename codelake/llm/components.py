@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codelake.functions.skew import lookup_join
 from codelake.functions.storage import Stored
 
 
@@ -22,8 +23,9 @@ def components(edges: DataFrame, store: Stored) -> DataFrame:
     ``edges`` has columns ``a`` and ``b``. Rounds of large-star and small-star
     steps: each links nodes to the least node they know, so the rounds grow
     with the logarithm of a component's size. Nodes stay rows throughout; the
-    least neighbour is a sum that combines before the shuffle. Every round is a
-    table in the shared folder.
+    least neighbour is a sum that combines before the shuffle, and a node with
+    very many neighbours is salted where they meet it. Every round is a table in
+    the shared folder.
     """
     current = store.table(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     known = _digest(current)
@@ -31,11 +33,11 @@ def components(edges: DataFrame, store: Stored) -> DataFrame:
         both = _both(current)
         # Each node's larger neighbours go to the least of its neighbourhood.
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
+        large = lookup_join(both.where("b > a"), least, ["a"], "inner").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
         # Each node and its smaller neighbours go to the least of them.
         least = large.groupBy("a").agg(F.min("b").alias("low"))
         small = (
-            large.join(least, "a")
+            lookup_join(large, least, ["a"], "inner")
             .select(F.col("b").alias("a"), F.col("low").alias("b"))
             .unionByName(least.select("a", F.col("low").alias("b")))
         )

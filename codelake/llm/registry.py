@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelake.llm import chat, contamination, fuzzy, langid, licenses, near, packing, pieces, ppm, quality
-from codelake.llm.oracle import OP2, OP5
+from codelake.llm import chat, contamination, fuzzy, langid, licenses, merkle, near, packing, periods, pieces, ppm, quality, redirects
+from codelake.llm.oracle import OP2, OP5, OP11, OP12
 from codelake.llm.spread import remainder
 
 
@@ -74,11 +74,30 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model, "doc_id").select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page's url."""
+    rules = spark.sql(
+        "select * from values ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),"
+        " ('com', '/fr/', 'allow'), ('com', '/de/', 'block') as rules(host, path, verdict)"
+    )
+    return redirects.url_verdicts(_table(spark, sf_dir, "pages"), rules)
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document, a third of them tampered with."""
+    return merkle.tamper_report(_table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document, a tenth of them made periodic first."""
+    return periods.run_digests(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     q.__name__: q
     for q in (
         op1_sentencepiece, op2_chat_format, op3_pack_tokens, op4_license_scan, op5_decontaminate, op6_near_dedup,
-        op7_quality, op8_fuzzy_fingerprint, op9_lm_score, op10_language_id,
+        op7_quality, op8_fuzzy_fingerprint, op9_lm_score, op10_language_id, op11_url_filter, op12_merkle_manifest, op13_periodic_runs,
     )
 }
-SQL = {"op2_chat_format": OP2, "op5_decontaminate": OP5}
+SQL = {"op2_chat_format": OP2, "op5_decontaminate": OP5, "op11_url_filter": OP11, "op12_merkle_manifest": OP12}
