@@ -7,6 +7,8 @@ here on blocks so the cost stays near linear in the number of lines.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,31 +63,72 @@ def running_sum(block_arr: Column) -> Column:
     )
 
 
-def first_at_most(arr: Column, minima: Column, start: Column, limit: Column) -> Column:
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value worked out once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def first_at_most(arr: Column, minima: Column | list[Column], start: Column, limit: Column) -> Column:
     """1-based index of the first element at or after ``start`` that is <= limit.
 
-    ``minima`` are the block minima of ``arr``: whole blocks without a hit are
-    skipped, so one probe costs n/BLOCK + 2*BLOCK steps.
+    ``minima`` are the block minima of ``arr``, or a list of levels, each the
+    block minima of the one before. A probe searches one block of each level and
+    the rest of the last, so with two levels it costs n/4096 + 4*BLOCK steps.
     """
-    b0 = F.floor((start - 1) / F.lit(BLOCK)).cast("int")
+    levels = [arr, *(minima if isinstance(minima, list) else [minima])]
+
+    def search(level: int, start: Column) -> Column:
+        def inside(first: Column, count: Column) -> Column:
+            hits = F.filter(
+                F.transform(F.slice(levels[level], first, count), lambda v, i: F.when(v <= limit, first + i)),
+                lambda x: x.isNotNull(),
+            )
+            return F.try_element_at(hits, F.lit(1))
+
+        if level == len(levels) - 1:
+            return inside(start, F.greatest(F.size(levels[level]), F.lit(1)))
+        block = F.floor((start - 1) / F.lit(BLOCK)).cast("int")
+        here = let(block, lambda b: inside(start, (b + 1) * BLOCK - start + 1))
+        later = let(
+            search(level + 1, block + 2),
+            lambda b: F.when(b.isNotNull(), inside((b - 1) * BLOCK + 1, F.lit(BLOCK))),
+        )
+        return F.coalesce(here, later)
+
+    return let(start, lambda s: search(0, s))
+
 
-    def inside(first: Column, count: Column) -> Column:
-        hits = F.filter(
-            F.transform(
-                F.slice(arr, first, count), lambda v, i: F.when(v <= limit, first + i)
+def fold(items: Column, state: Column, step: Callable[[Column, Column], Column], emitted: str) -> Column:
+    """One value per item, in order, with a state carried from item to item.
+
+    ``step(state, item)`` gives a struct of ``state`` and ``value``, of the types
+    of ``state`` and ``emitted``. The values of a block of items are gathered
+    before they are joined, so the copying that ``aggregate`` does stays small:
+    n * BLOCK / 2 values and (n / BLOCK)^2 / 2 blocks.
+    """
+    count = F.ceil(F.size(items) / F.lit(BLOCK)).cast("int")
+    pieces = F.transform(
+        F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda b: F.slice(items, b * BLOCK + 1, F.lit(BLOCK))
+    )
+
+    def within(before: Column, piece: Column) -> Column:
+        return F.aggregate(
+            piece,
+            F.struct(before.alias("state"), F.array().cast(f"array<{emitted}>").alias("values")),
+            lambda acc, x: let(
+                step(acc["state"], x),
+                lambda r: F.struct(
+                    r["state"].alias("state"), F.concat(acc["values"], F.array(r["value"].cast(emitted))).alias("values")
+                ),
             ),
-            lambda x: x.isNotNull(),
         )
-        return F.try_element_at(hits, F.lit(1))
 
-    head = inside(start, (b0 + 1) * BLOCK - start + 1)
-    later = F.filter(
-        F.transform(
-            F.slice(minima, b0 + 2, F.greatest(F.size(minima), F.lit(1))),
-            lambda v, i: F.when(v <= limit, b0 + 1 + i),
+    whole = F.aggregate(
+        pieces,
+        F.struct(state.alias("state"), F.array().cast(f"array<array<{emitted}>>").alias("values")),
+        lambda acc, piece: let(
+            within(acc["state"], piece),
+            lambda r: F.struct(r["state"].alias("state"), F.concat(acc["values"], F.array(r["values"])).alias("values")),
         ),
-        lambda x: x.isNotNull(),
     )
-    first_block = F.try_element_at(later, F.lit(1))
-    tail = inside(first_block * BLOCK + 1, F.lit(BLOCK))
-    return F.coalesce(head, tail)
+    return F.flatten(whole["values"])

@@ -1,10 +1,15 @@
 """Declarations, imports and reference hints of C#-like sources.
 
-A line-based reading without a compiler front end, done inside the file row.
-Limits: a declaration head stands on one line (its opening brace may follow on
-any later line), strings and comments are cut per line, multi-line comments and
-raw strings are not recognised. Confidence is 0.75 throughout so
-that nobody takes it for compiler output.
+Read without a compiler front end, inside the file row. One pass over the whole
+content cuts comments, strings (verbatim and raw ones too), characters and
+directives and leaves their line breaks, so lines keep their numbers. The code
+lines are gathered into statements, each from its first line to the line of its
+``{``, ``}`` or ``;``, so heads, parameter lists and base lists may run over
+several lines; attributes that stand before it are statements of their own.
+Scopes come from one pass with a stack, so a file costs little more than its
+lines. Limits: holes of interpolated strings count as text, both branches of
+``#if`` count as code, and of several declarations on one line only the first
+is read. Confidence is 0.75 throughout so that nobody takes it for compiler output.
 """
 
 from __future__ import annotations
@@ -13,22 +18,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codelake import fixed_values as fv
-from codelake.functions.arrays import block_minima, blocks, first_at_most, running_sum
-from codelake.functions.columns import file_id, physical_line_array, span
-from codelake.operators.extract_py import _numbered, inline_hints, inline_imports, inline_nodes
+from codelake.functions.arrays import block_minima, blocks, first_at_most, fold, let, running_sum
+from codelake.functions.columns import file_id, physical_line_array, physical_lines, span
+from codelake.operators.extract_py import NEVER, _numbered, inline_hints, inline_imports, inline_nodes
 
 CONFIDENCE = 0.75
 # Depth given to a file-scoped namespace: nothing in the file closes it.
 OPEN_ENDED = -1
 
-# Possessive repeats: Java would match a greedy repeated group by recursion, one
-# level per round, so a very long literal would overflow the stack of the task.
+# Tokens that are no code, over line breaks where the language allows it; what is
+# never closed runs to the end. Possessive repeats: Java would match a greedy
+# repeated group by recursion, one level per round, so a very long literal would
+# overflow the stack of the task.
 NOISE = (
-    r'@"[^"]*+(?:""[^"]*+)*+"'
-    r'|"[^"\\]*+(?:\\.[^"\\]*+)*+"'
-    r"|'(?:[^'\\]|\\(?:x[0-9A-Fa-f]{1,4}|u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|.))'"
-    r"|//.*"
-    r"|/\*.*?\*/"
+    r'[$@]*("{3,}+)(?s:.*?)(?:\1"*+|\z)'
+    r'|(?:@|\$+@|@\$+)"[^"]*+(?:""[^"]*+)*+(?:"|\z)'
+    r'|\$*"[^"\\\r\n]*+(?:\\.[^"\\\r\n]*+)*+"'
+    r"|'(?:[^'\\\r\n]|\\(?:x[0-9A-Fa-f]{1,4}|u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|[^\r\n]))'"
+    r"|//[^\r\n]*+"
+    r"|/\*(?s:.*?)(?:\*/|\z)"
+    r"|(?m:^)[ \t]*+#[^\r\n]*+"
 )
 ATTRIBUTES = r"(?:\[[^\]]*\]\s*)*"
 MODIFIER = (
@@ -46,19 +55,24 @@ NOT_A_TYPE = (
 NAMESPACE = r"^\s*namespace\s+([\w.]+)\s*([;{]?)"
 TYPE_HEAD = (
     rf"^\s*{ATTRIBUTES}{MODIFIERS}(class|struct|interface|enum|record\s+struct|record\s+class|record)"
-    r"\s+([A-Za-z_]\w*)\s*(<[^>{(:]*>)?\s*(?:\([^)]*\))?\s*(?::\s*([^{;]*))?"
+    r"\s+([A-Za-z_]\w*)\s*(<[^>{(:]*>)?\s*(?:\((?:[^()]++|\([^()]*+\))*+\))?\s*(?::\s*([^{;]*))?"
 )
 DELEGATE = rf"^\s*{ATTRIBUTES}{MODIFIERS}delegate\s+{TYPE}\s+([A-Za-z_]\w*)\s*(<[^>(]*>)?\s*\("
-CONSTRUCTOR = rf"^\s*{ATTRIBUTES}{MODIFIERS}([A-Za-z_]\w*)\s*\(([^)]*)\)\s*(?::.*|\{{.*|=>.*)?$"
+CONSTRUCTOR = rf"^\s*{ATTRIBUTES}{MODIFIERS}([A-Za-z_]\w*)\s*\(((?:[^()]++|\([^()]*+\))*+)\)\s*(?::.*|\{{.*|=>.*)?$"
 METHOD = (
     rf"^\s*{ATTRIBUTES}{MODIFIERS}{NOT_A_TYPE}{TYPE}\s+(?:[\w.]+(?:<[^>]*>)?\.)?([A-Za-z_]\w*)\s*"
-    r"(<[^>(]*>)?\s*\(([^)]*)\)\s*(?:where\b.*|\{.*|=>.*|;.*)?$"
+    r"(<[^>(]*>)?\s*\(((?:[^()]++|\([^()]*+\))*+)\)\s*(?:where\b.*|\{.*|=>.*|;.*)?$"
+)
+# A member may name the interface that it implements.
+EXPLICIT = r"(?:(?:[A-Za-z_]\w*(?:<[^<>]*>)?\.)+)?"
+EVENT = rf"^\s*{ATTRIBUTES}{MODIFIERS}event\s+{TYPE}\s+{EXPLICIT}([A-Za-z_]\w*[^;{{]*)"
+INDEXER = rf"^\s*{ATTRIBUTES}{MODIFIERS}{NOT_A_TYPE}{TYPE}\s+{EXPLICIT}this\s*\["
+FIELD = (
+    rf"^\s*{ATTRIBUTES}{MODIFIERS}{NOT_A_TYPE}{TYPE}\s+"
+    r"([A-Za-z_]\w*\s*(?:(?:[=,](?!>).*)?(?=;\s*$)|=(?!>)[^;]*$))"
 )
-EVENT = rf"^\s*{ATTRIBUTES}{MODIFIERS}event\s+{TYPE}\s+([A-Za-z_]\w*[^;{{]*)"
-INDEXER = rf"^\s*{ATTRIBUTES}{MODIFIERS}{NOT_A_TYPE}{TYPE}\s+this\s*\["
-FIELD = rf"^\s*{ATTRIBUTES}{MODIFIERS}{NOT_A_TYPE}{TYPE}\s+([A-Za-z_]\w*\s*(?:[=,](?!>).*)?);\s*$"
 PROPERTY = (
-    rf"^\s*{ATTRIBUTES}{MODIFIERS}{NOT_A_TYPE}{TYPE}\s+([A-Za-z_]\w*)\s*(?:\{{.*|=>.*)?$"
+    rf"^\s*{ATTRIBUTES}{MODIFIERS}{NOT_A_TYPE}{TYPE}\s+{EXPLICIT}([A-Za-z_]\w*)\s*(?:\{{.*|=>.*)?$"
 )
 USING = r"^\s*(?:global\s+)?using\s+(static\s+)?(?:([A-Za-z_]\w*)\s*=\s*)?([\w.:<>, ]+?)\s*;"
 
@@ -88,10 +102,27 @@ def simple_type(text: Column) -> Column:
     )
 
 
-def clean_code(text: Column) -> Column:
-    """Code without strings and comments; most lines have neither."""
-    suspect = text.contains('"') | text.contains("'") | text.contains("/")
-    return F.when(suspect, F.regexp_replace(text, NOISE, "")).otherwise(text)
+def code_text(content="content") -> Column:
+    """The content without strings, comments and directives; their line breaks stay."""
+    text = F.col(content) if isinstance(content, str) else content
+    suspect = text.rlike("[\"'/#]")
+    tokens = F.regexp_extract_all(text, F.lit(NOISE), F.lit(0))
+    breaks = F.transform(tokens, lambda t: F.regexp_replace(t, r"[^\r\n]+", ""))
+    pieces = F.split(text, NOISE, -1)
+    joined = F.array_join(
+        F.transform(
+            F.arrays_zip(pieces.alias("piece"), breaks.alias("breaks")),
+            lambda z: F.concat(z["piece"], F.coalesce(z["breaks"], F.lit(""))),
+        ),
+        "",
+    )
+    return F.when(suspect, joined).otherwise(text)
+
+
+def code_lines(content="content") -> Column:
+    """Code line by line, one for each physical line."""
+    text = F.col(content) if isinstance(content, str) else content
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(physical_lines(code_text(text)))
 
 
 # What a line says about where a declaration opens.
@@ -99,8 +130,6 @@ NOTHING, SEMICOLON, BRACE = 0, 1, 2
 
 
 def _with_lines(files: DataFrame) -> DataFrame:
-    lines = F.col("_lines")
-    code = F.transform(lines, clean_code)
     mark = F.transform(
         F.col("_code"),
         lambda t: F.when(t.contains("{"), BRACE)
@@ -116,13 +145,93 @@ def _with_lines(files: DataFrame) -> DataFrame:
     )
     return (
         files.withColumn("_lines", physical_line_array())
-        .withColumn("_code", code)
+        .withColumn("_code", code_lines())
         .withColumn("_mark", mark)
         .withColumn("_quiet", F.transform("_mark", lambda m: (m == NOTHING).cast("int")))
         .withColumn("_quiet_min", block_minima(F.col("_quiet")))
+        .withColumn("_quiet_top", block_minima(F.col("_quiet_min")))
         .withColumn("_net", net)
         .withColumn("_after", running_sum(blocks(F.col("_net"))))
         .withColumn("_after_min", block_minima(F.col("_after")))
+        .withColumn("_after_top", block_minima(F.col("_after_min")))
+    )
+
+
+_STATEMENT = "struct<n:int,last:int,attribute:boolean>"
+
+
+def _statement_lines() -> Column:
+    """First and last line of every statement and every group of attributes."""
+
+    def look(t: Column, i: Column) -> Column:
+        w = _strip(t)
+        depth = F.length(F.replace(w, F.lit("]"), F.lit(""))) - F.length(F.replace(w, F.lit("["), F.lit("")))
+        return F.struct(
+            (i + 1).cast("int").alias("n"),
+            (w == "").alias("blank"),
+            (w.startswith("{") | w.startswith("}")).alias("brace"),
+            (w.endswith(";") | w.endswith("}") | w.contains("{")).alias("closes"),
+            w.startswith("[").alias("bracket"),
+            w.rlike(r"^(?:\[[^\]]*+\]\s*+)++$").alias("attribute"),
+            w.endswith("]").alias("bracket_end"),
+            depth.cast("int").alias("depth"),
+        )
+
+    def result(n, attribute, depth, out_n=None, out_last=None, out_attribute=False) -> Column:
+        state = F.struct(
+            F.lit(n).cast("int").alias("n") if not isinstance(n, Column) else n.cast("int").alias("n"),
+            F.lit(attribute).alias("attribute"),
+            (depth if isinstance(depth, Column) else F.lit(depth)).cast("int").alias("depth"),
+        )
+        value = (
+            F.lit(None).cast(_STATEMENT)
+            if out_n is None
+            else F.struct(out_n.cast("int").alias("n"), out_last.cast("int").alias("last"), F.lit(out_attribute).alias("attribute"))
+        )
+        return F.struct(state.alias("state"), value.cast(_STATEMENT).alias("value"))
+
+    def step(s: Column, x: Column) -> Column:
+        fresh = s["n"] == 0
+        start = F.when(fresh, x["n"]).otherwise(s["n"])
+        depth = s["depth"] + x["depth"]
+        plain = F.when(x["closes"], result(0, False, 0, x["n"], x["n"])).otherwise(result(x["n"], False, 0))
+        return (
+            F.when(x["blank"], F.struct(s.alias("state"), F.lit(None).cast(_STATEMENT).alias("value")))
+            .when(x["brace"] & (fresh | s["attribute"]), result(0, False, 0))
+            .when(x["brace"], result(0, False, 0, s["n"], x["n"] - 1))
+            .when(
+                s["attribute"],
+                F.when(depth > 0, result(s["n"], True, depth))
+                .when(x["bracket_end"], result(0, False, 0, s["n"], x["n"], True))
+                .otherwise(plain),
+            )
+            .when(fresh & x["attribute"], result(0, False, 0, x["n"], x["n"], True))
+            .when(fresh & x["bracket"] & (x["depth"] > 0), result(x["n"], True, x["depth"]))
+            .when(x["closes"], result(0, False, 0, start, x["n"]))
+            .otherwise(result(start, False, 0))
+        )
+
+    end = F.struct(
+        (F.size("_code") + 1).cast("int").alias("n"), F.lit(False).alias("blank"), F.lit(True).alias("brace"),
+        F.lit(True).alias("closes"), F.lit(False).alias("bracket"), F.lit(False).alias("attribute"),
+        F.lit(False).alias("bracket_end"), F.lit(0).cast("int").alias("depth"),
+    )
+    none = F.struct(F.lit(0).cast("int").alias("n"), F.lit(False).alias("attribute"), F.lit(0).cast("int").alias("depth"))
+    return fold(F.concat(F.transform("_code", look), F.array(end)), none, step, _STATEMENT)
+
+
+def _with_statements(files: DataFrame) -> DataFrame:
+    """Adds ``_statements``: first line, text and whether it is attributes only."""
+    return files.withColumn("_spans", F.filter(_statement_lines(), lambda x: x.isNotNull())).withColumn(
+        "_statements",
+        F.transform(
+            F.col("_spans"),
+            lambda x: F.struct(
+                x["n"].alias("n"),
+                F.array_join(F.slice(F.col("_code"), x["n"], x["last"] - x["n"] + 1), " ").alias("t"),
+                x["attribute"].alias("attribute"),
+            ),
+        ),
     )
 
 
@@ -134,7 +243,7 @@ def _depth_before(n: Column) -> Column:
 
 def _opening(n: Column) -> Column:
     """Line and mark of the first brace or closing semicolon at or after ``n``."""
-    at = first_at_most(F.col("_quiet"), F.col("_quiet_min"), n, F.lit(0))
+    at = first_at_most(F.col("_quiet"), [F.col("_quiet_min"), F.col("_quiet_top")], n, F.lit(0))
     found = F.transform(
         F.filter(F.array(at), lambda i: i.isNotNull()),
         lambda i: F.struct(i.alias("n"), F.try_element_at(F.col("_mark"), i).alias("mark")),
@@ -144,23 +253,30 @@ def _opening(n: Column) -> Column:
 
 def _end_line(n: Column, depth: Column, opening: Column) -> Column:
     """Last line of a declaration, from where it opens (see ``_opening``)."""
-    closed = first_at_most(F.col("_after"), F.col("_after_min"), opening["n"], depth)
+    closed = first_at_most(F.col("_after"), [F.col("_after_min"), F.col("_after_top")], opening["n"], depth)
     return F.coalesce(
         F.when(opening["mark"] == BRACE, F.coalesce(closed, F.size("_code"))), opening["n"], n
     )
 
 
+_BOX = (
+    "struct<n:int,depth:int,end:int,is_ns:boolean,subkind:string,name:string,generics:string,mods:string,bases:string>"
+)
+
+
 def _with_containers(files: DataFrame) -> DataFrame:
-    """Adds ``_box``: namespaces and types in line order with their last line."""
-    heads = F.filter(
-        F.transform(F.col("_code"), lambda t, i: F.struct((i + 1).alias("n"), t.alias("t"))),
-        lambda x: x["t"].rlike(r"\b(?:namespace|class|struct|interface|enum|record)\s")
-        & (x["t"].rlike(NAMESPACE) | x["t"].rlike(TYPE_HEAD)),
-    )
-    # Fixed in a column of its own, so it is worked out once per head.
+    """Adds ``_items``: statements with, for a namespace or type, its ``box`` up to its last line."""
+    # Where it opens is fixed in a column of its own, so it is worked out once per head.
     opened = F.transform(
-        heads,
-        lambda x: F.struct(x["n"].alias("n"), x["t"].alias("t"), _opening(x["n"]).alias("open")),
+        F.filter("_statements", lambda x: ~x["attribute"]),
+        lambda x: F.struct(
+            x["n"].alias("n"), x["t"].alias("t"), _depth_before(x["n"]).alias("depth"),
+            F.when(
+                x["t"].rlike(r"\b(?:namespace|class|struct|interface|enum|record)\s")
+                & (x["t"].rlike(NAMESPACE) | x["t"].rlike(TYPE_HEAD)),
+                F.struct(_opening(x["n"]).alias("at")),
+            ).alias("open"),
+        ),
     )
 
     def describe(x: Column) -> Column:
@@ -171,9 +287,9 @@ def _with_containers(files: DataFrame) -> DataFrame:
         bases = F.regexp_replace(_get(t, TYPE_HEAD, 5), r"\bwhere\b.*$", "")
         return F.struct(
             n.cast("int").alias("n"),
-            F.when(open_ended, F.lit(OPEN_ENDED)).otherwise(_depth_before(n)).cast("int").alias("depth"),
+            F.when(open_ended, F.lit(OPEN_ENDED)).otherwise(x["depth"]).cast("int").alias("depth"),
             F.when(open_ended, F.size("_code"))
-            .otherwise(_end_line(n, _depth_before(n), x["open"]))
+            .otherwise(_end_line(n, x["depth"], x["open"]["at"]))
             .cast("int")
             .alias("end"),
             is_ns.alias("is_ns"),
@@ -187,20 +303,58 @@ def _with_containers(files: DataFrame) -> DataFrame:
             F.when(is_ns | (word == "enum"), F.lit("")).otherwise(_strip(bases)).alias("bases"),
         )
 
-    return files.withColumn("_opened", opened).withColumn(
-        "_box", F.transform(F.col("_opened"), describe)
+    items = F.transform(
+        F.col("_opened"),
+        lambda x: F.struct(
+            x["n"].alias("n"), x["t"].alias("t"), x["depth"].alias("depth"),
+            F.when(x["open"].isNotNull(), describe(x)).cast(_BOX).alias("box"),
+        ),
     )
+    return files.withColumn("_opened", opened).withColumn("_items", items)
+
 
+def _with_scopes(files: DataFrame) -> DataFrame:
+    """Adds ``_placed``: statements at the depth of members, and heads, with the containers around them.
+
+    One pass with a stack: a container that ended before a line cannot come
+    back, so a statement meets the open ones only, outermost first.
+    """
+
+    def step(stack: Column, x: Column) -> Column:
+        wanted = x["box"].isNotNull() | F.array_contains(F.col("_member_depths"), x["depth"])
+        return let(
+            F.filter(stack, lambda o: o["end"] >= x["n"]),
+            lambda around: F.struct(
+                F.when(x["box"].isNotNull(), F.concat(around, F.array(x["box"]))).otherwise(around).alias("state"),
+                F.when(wanted, around).alias("value"),
+            ),
+        )
 
-def _outer_of(n: Column) -> Column:
-    """Containers open at line ``n``, outermost first."""
-    return F.filter(F.col("_box"), lambda b: (b["n"] < n) & (n <= b["end"]))
+    empty = F.array().cast(f"array<{_BOX}>")
+    zipped = F.arrays_zip(F.col("_items").alias("x"), F.col("_around").alias("outer"))
+    member_depths = F.transform(F.filter("_items", lambda x: x["box"].isNotNull()), lambda x: x["box"]["depth"] + 1)
+    return (
+        files.withColumn("_member_depths", F.array_distinct(member_depths))
+        .withColumn("_around", fold(F.col("_items"), empty, step, f"array<{_BOX}>"))
+        .withColumn("_placed", F.filter(zipped, lambda z: z["outer"].isNotNull()))
+        .withColumn(
+            "_box",
+            F.transform(
+                F.filter("_placed", lambda z: z["x"]["box"].isNotNull()),
+                lambda z: F.struct(z["x"]["box"].alias("b"), z["outer"].alias("outer"), _full_path(z["outer"], z["x"]["box"]["name"]).alias("path")),
+            ),
+        )
+    )
 
 
 def _path_of(outer: Column) -> Column:
     return F.array_join(F.transform(outer, lambda o: o["name"]), ".")
 
 
+def _full_path(outer: Column, name: Column) -> Column:
+    return F.concat_ws(".", F.when(F.size(outer) > 0, _path_of(outer)), name)
+
+
 def _member_kind(t: Column, owner: Column) -> Column:
     return (
         F.when(t.rlike(TYPE_HEAD), F.lit(None))
@@ -216,23 +370,15 @@ def _member_kind(t: Column, owner: Column) -> Column:
 
 def _with_members(files: DataFrame) -> DataFrame:
     """Adds ``_members``: declarations that sit directly in a type or namespace."""
-    member_depths = F.transform(F.col("_box"), lambda b: b["depth"] + 1)
     candidates = F.filter(
-        F.transform(
-            F.col("_code"),
-            lambda t, i: F.struct(
-                (i + 1).cast("int").alias("n"),
-                t.alias("t"),
-                _depth_before(i + 1).alias("depth"),
-            ),
-        ),
-        lambda x: F.array_contains(F.col("_member_depths"), x["depth"])
-        & x["t"].rlike(r"[A-Za-z_]\w*[^\w]*[A-Za-z_(]")
-        & ~x["t"].rlike(r"^\s*(?:using|namespace)\b"),
+        "_placed",
+        lambda z: F.array_contains(F.col("_member_depths"), z["x"]["depth"])
+        & z["x"]["t"].rlike(r"[A-Za-z_]\w*[^\w]*[A-Za-z_(]")
+        & ~z["x"]["t"].rlike(r"^\s*(?:using|namespace)\b"),
     )
 
-    def owned(x: Column) -> Column:
-        outer = _outer_of(x["n"])
+    def owned(z: Column) -> Column:
+        x, outer = z["x"], z["outer"]
         owner = F.try_element_at(outer, F.lit(-1))
         own_depth = F.when(owner["is_ns"] & (owner["depth"] < 0), F.lit(0)).otherwise(
             owner["depth"] + 1
@@ -244,7 +390,7 @@ def _with_members(files: DataFrame) -> DataFrame:
             x["t"].alias("t"),
             x["depth"].alias("depth"),
             F.when(owner["is_ns"] & (kind != "delegate"), F.lit(None)).otherwise(kind).alias("kind"),
-            _opening(x["n"]).alias("open"),
+            outer.alias("outer"),
         )
 
     def describe(x: Column) -> Column:
@@ -291,21 +437,99 @@ def _with_members(files: DataFrame) -> DataFrame:
             F.filter(
                 F.transform(F.split(params, TYPE_COMMA, -1), _strip), lambda p: p != ""
             ).alias("params"),
-            F.when(kind == "field", x["n"])
-            .otherwise(_end_line(x["n"], x["depth"], x["open"]))
-            .cast("int")
-            .alias("end"),
-            _outer_of(x["n"]).alias("outer"),
+            let(_opening(x["n"]), lambda at: _end_line(x["n"], x["depth"], at)).cast("int").alias("end"),
+            x["outer"].alias("outer"),
+            _path_of(x["outer"]).alias("path"),
         )
 
-    return (
-        files.withColumn("_member_depths", F.array_distinct(member_depths))
-        .withColumn(
-            "_owned",
-            F.filter(F.transform(candidates, owned), lambda x: x["kind"].isNotNull()),
-        )
-        .withColumn("_members", F.transform(F.col("_owned"), describe))
+    return files.withColumn(
+        "_owned", F.filter(F.transform(candidates, owned), lambda x: x["kind"].isNotNull())
+    ).withColumn("_members", F.transform(F.col("_owned"), describe))
+
+
+BOX_EVENT, CALLABLE_EVENT, MEMBER_EVENT, QUERY_EVENT = 0, 1, 2, 3
+
+
+def _event(n, order, end=None, is_ns=None, path=None) -> Column:
+    return F.struct(
+        n.cast("int").alias("n"), F.lit(order).alias("order") if isinstance(order, int) else order.alias("order"),
+        (F.lit(None) if end is None else end).cast("int").alias("end"),
+        (F.lit(None) if is_ns is None else is_ns).cast("boolean").alias("is_ns"),
+        (F.lit(None) if path is None else path).cast("string").alias("path"),
+    )
+
+
+def _declared() -> Column:
+    """Containers and members as events, to be met by lines that ask what is around them."""
+    boxes = F.transform(
+        "_box",
+        lambda b: _event(
+            b["b"]["n"], BOX_EVENT, b["b"]["end"], b["b"]["is_ns"], F.when(b["b"]["subkind"] != "enum", b["path"])
+        ),
     )
+    members = F.transform(
+        "_members",
+        lambda m: F.when(
+            m["kind"].isin("method", "constructor"), _event(m["n"], CALLABLE_EVENT, m["end"], None, _member_path(m))
+        ).otherwise(_event(m["n"], MEMBER_EVENT)),
+    )
+    return F.concat(boxes, members)
+
+
+def _by_line(events: Column) -> Column:
+    # A sort key of its own: arrays of structs compare field by field, which starts with the line.
+    return F.array_sort(events)
+
+
+def _around_lines(asked: Column) -> Column:
+    """For lines ``asked`` in order: path of the innermost callable, else type, around each, and of the innermost type."""
+    kind = "array<struct<end:int,is_ns:boolean,path:string>>"
+
+    def step(s: Column, x: Column) -> Column:
+        own = F.array(F.struct(x["end"].alias("end"), x["is_ns"].alias("is_ns"), x["path"].alias("path")))
+        boxes = F.filter(s["boxes"], lambda o: o["end"] >= x["n"])
+        calls = F.filter(s["calls"], lambda o: o["end"] >= x["n"])
+        top = F.try_element_at(boxes, F.lit(-1))
+        types = F.when(~F.coalesce(top["is_ns"], F.lit(True)), top["path"])
+        return F.struct(
+            F.struct(
+                F.when((x["order"] == BOX_EVENT) & x["path"].isNotNull(), F.concat(boxes, own)).otherwise(boxes).alias("boxes"),
+                F.when(x["order"] == CALLABLE_EVENT, F.concat(calls, own)).otherwise(calls).alias("calls"),
+            ).alias("state"),
+            F.when(
+                x["order"] == QUERY_EVENT,
+                F.struct(F.coalesce(F.try_element_at(calls, F.lit(-1))["path"], types).alias("enclosing"), types.alias("types")),
+            ).alias("value"),
+        )
+
+    empty = F.struct(F.array().cast(kind).alias("boxes"), F.array().cast(kind).alias("calls"))
+    events = _by_line(F.concat(_declared(), F.transform(asked, lambda n: _event(n, QUERY_EVENT))))
+    found = fold(events, empty, step, "struct<enclosing:string,types:string>")
+    return F.filter(found, lambda x: x.isNotNull())
+
+
+def _following(asked: Column) -> Column:
+    """For lines ``asked`` in order: the first type and the first member at or after each."""
+    target = "struct<n:int,order:int,path:string>"
+
+    def step(s: Column, x: Column) -> Column:
+        own = F.struct(x["n"].alias("n"), x["order"].alias("order"), x["path"].alias("path"))
+        is_box = (x["order"] == BOX_EVENT) & ~x["is_ns"]
+        is_member = x["order"].isin(CALLABLE_EVENT, MEMBER_EVENT)
+        return F.struct(
+            F.struct(
+                F.when(is_box, own).otherwise(s["box"]).alias("box"),
+                F.when(is_member, own).otherwise(s["member"]).alias("member"),
+            ).alias("state"),
+            F.when(x["order"] == QUERY_EVENT, s).alias("value"),
+        )
+
+    none = F.struct(F.lit(None).cast(target).alias("box"), F.lit(None).cast(target).alias("member"))
+    # From the last line to the first; of one line, declarations before the question.
+    events = F.reverse(_by_line(F.concat(_declared(), F.transform(asked, lambda n: _event(n, -1)))))
+    asked_last = F.transform(events, lambda x: F.when(x["order"] == -1, _event(x["n"], QUERY_EVENT)).otherwise(x))
+    found = fold(asked_last, none, step, f"struct<box:{target},member:{target}>")
+    return F.reverse(F.filter(found, lambda x: x.isNotNull()))
 
 
 def _param_type(p: Column) -> Column:
@@ -360,8 +584,25 @@ def _node(
     )
 
 
+def _with_children() -> Column:
+    """For each container in order, whether it holds a declaration: the next one stands before its end."""
+
+    def step(following: Column, x: Column) -> Column:
+        return F.struct(
+            x["n"].alias("state"), F.when(x["end"].isNotNull(), following <= x["end"]).alias("value")
+        )
+
+    events = F.concat(
+        F.transform("_box", lambda b: F.struct(b["b"]["n"].alias("n"), b["b"]["end"].alias("end"))),
+        F.transform("_members", lambda m: F.struct(m["n"].cast("int").alias("n"), F.lit(None).cast("int").alias("end"))),
+    )
+    found = fold(F.reverse(F.array_sort(events)), F.lit(NEVER).cast("int"), step, "boolean")
+    return F.reverse(F.filter(found, lambda x: x.isNotNull()))
+
+
 def _box_nodes() -> Column:
-    def one(b: Column) -> Column:
+    def one(x: Column) -> Column:
+        b = x["b"]
         args = F.transform(
             F.split(F.btrim(b["generics"], F.lit("<>")), ",", -1),
             lambda g: F.regexp_replace(_strip(g), r"^(?:in|out)\s+", ""),
@@ -369,23 +610,13 @@ def _box_nodes() -> Column:
         display = F.when(b["generics"] == "", b["name"]).otherwise(
             F.concat(b["name"], F.lit("<"), F.array_join(args, ", "), F.lit(">"))
         )
-        direct_box = F.exists(
-            F.col("_box"),
-            lambda c: (b["n"] < c["n"])
-            & (c["n"] <= b["end"])
-            & (F.try_element_at(_outer_of(c["n"]), F.lit(-1))["n"] == b["n"]),
-        )
-        direct_member = F.exists(
-            F.col("_members"),
-            lambda m: F.try_element_at(m["outer"], F.lit(-1))["n"] == b["n"],
-        )
         return _node(
-            b["n"], b["end"], b["name"], _outer_of(b["n"]),
+            b["n"], b["end"], b["name"], x["outer"],
             F.when(b["is_ns"], F.lit("Container")).otherwise(F.lit("Declaration")),
-            b["subkind"], display, b["mods"], direct_box | direct_member,
+            b["subkind"], display, b["mods"], x["has_children"],
         )
 
-    return F.transform(F.col("_box"), one)
+    return F.transform(F.col("_parents"), one)
 
 
 def _member_nodes() -> Column:
@@ -439,10 +670,8 @@ def _named(hints: Column) -> Column:
 
 
 def _base_hints() -> Column:
-    def one(b: Column) -> Column:
-        source = F.concat_ws(
-            ".", F.when(F.size(_outer_of(b["n"])) > 0, _path_of(_outer_of(b["n"]))), b["name"]
-        )
+    def one(x: Column) -> Column:
+        b = x["b"]
 
         def hint(text: Column) -> Column:
             target = simple_type(F.regexp_replace(text, r"\(.*$", ""))
@@ -450,7 +679,7 @@ def _base_hints() -> Column:
                 b["subkind"].isin("interface", "struct") | target.rlike(fv.INTERFACE_NAME),
                 F.lit("Implements"),
             ).otherwise(F.lit("Inherits"))
-            return _hint(source, kind, target, F.regexp_replace(text, r"\s*\(.*$", ""), b["n"])
+            return _hint(x["path"], kind, target, F.regexp_replace(text, r"\s*\(.*$", ""), b["n"])
 
         texts = F.filter(
             F.transform(F.split(b["bases"], TYPE_COMMA, -1), _strip), lambda x: x != ""
@@ -466,14 +695,14 @@ def _type_hints(member_kind: str, kind: str) -> Column:
         F.transform(
             chosen,
             lambda m: _hint(
-                _path_of(m["outer"]), kind, simple_type(m["type_text"]), m["type_text"], m["n"]
+                m["path"], kind, simple_type(m["type_text"]), m["type_text"], m["n"]
             ),
         )
     )
 
 
 def _member_path(m: Column) -> Column:
-    return F.concat_ws(".", _path_of(m["outer"]), F.element_at(m["names"], 1))
+    return F.concat_ws(".", m["path"], F.element_at(m["names"], 1))
 
 
 def _param_hints(m: Column) -> Column:
@@ -511,83 +740,55 @@ def _ctor_hints() -> Column:
     return _named(F.flatten(F.transform(chosen, _param_hints)))
 
 
-def _types_around(n: Column) -> Column:
-    """Path of the innermost class-like type around line ``n``, null outside types."""
-    outer = F.filter(
-        F.col("_box"),
-        lambda b: (b["n"] <= n) & (n <= b["end"]) & (b["subkind"] != "enum"),
-    )
-    return F.when(~F.coalesce(F.try_element_at(outer, F.lit(-1))["is_ns"], F.lit(True)), _path_of(outer))
-
-
-def _enclosing_path(n: Column) -> Column:
-    """Innermost method or constructor around line ``n``, else the innermost type."""
-    around = F.filter(
-        F.col("_members"),
-        lambda m: m["kind"].isin("method", "constructor") & (m["n"] <= n) & (n <= m["end"]),
-    )
-    inner = F.try_element_at(around, F.lit(-1))
-    return F.coalesce(F.when(inner.isNotNull(), _member_path(inner)), _types_around(n))
+CREATION = r"\bnew\s+([A-Za-z_][\w.]*(?:<[^();{}]*>)?\??)\s*[({]"
 
 
-CREATION = r"\bnew\s+([A-Za-z_][\w.]*(?:<[^();{}]*>)?\??)\s*[({]"
+def _numbered_lines(array: str) -> Column:
+    return F.transform(array, lambda t, i: F.struct((i + 1).cast("int").alias("n"), t.alias("t")))
 
 
 def _creation_hints() -> Column:
-    lines = F.filter(
-        F.transform(
-            F.col("_code"),
-            lambda t, i: F.struct((i + 1).cast("int").alias("n"), t.alias("t")),
-        ),
-        lambda x: x["t"].contains("new ") & x["t"].rlike(CREATION),
+    lines = F.filter(_numbered_lines("_code"), lambda x: x["t"].contains("new ") & x["t"].rlike(CREATION))
+    placed = F.arrays_zip(
+        lines.alias("x"), _around_lines(F.transform(lines, lambda x: x["n"])).alias("around")
     )
     per_line = F.transform(
-        lines,
-        lambda x: F.transform(
-            F.regexp_extract_all(x["t"], F.lit(CREATION), F.lit(1)),
+        placed,
+        lambda z: F.transform(
+            F.regexp_extract_all(z["x"]["t"], F.lit(CREATION), F.lit(1)),
             lambda t: _hint(
-                _enclosing_path(x["n"]), "CreatesInstanceOf", simple_type(t), t, x["n"]
+                z["around"]["enclosing"], "CreatesInstanceOf", simple_type(t), t, z["x"]["n"]
             ),
         ),
     )
     return _named(F.flatten(per_line))
 
 
-def _attribute_target(n: Column) -> Column:
-    """The method, constructor or type an attribute on line ``n`` belongs to."""
-    member = F.try_element_at(F.filter(F.col("_members"), lambda m: m["n"] >= n), F.lit(1))
-    box = F.try_element_at(
-        F.filter(F.col("_box"), lambda b: ~b["is_ns"] & (b["n"] >= n)), F.lit(1)
-    )
+def _attribute_target(around: Column, following: Column) -> Column:
+    """The method, constructor or type that attributes belong to, from what stands around and after them."""
+    member, box = following["member"], following["box"]
     box_first = box.isNotNull() & (member.isNull() | (box["n"] < member["n"]))
-    box_path = F.when(
-        box["subkind"] != "enum",
-        F.concat_ws(
-            ".", F.when(F.size(_outer_of(box["n"])) > 0, _path_of(_outer_of(box["n"]))), box["name"]
-        ),
-    )
     return F.coalesce(
-        F.when(box_first, box_path),
-        F.when(
-            ~box_first & member["kind"].isin("method", "constructor"), _member_path(member)
-        ),
-        _types_around(n),
+        F.when(box_first, box["path"]),
+        F.when(~box_first & (member["order"] == CALLABLE_EVENT), member["path"]),
+        around["types"],
     )
 
 
 def _attribute_hints() -> Column:
     lines = F.filter(
-        F.transform(
-            F.col("_code"),
-            lambda t, i: F.struct((i + 1).cast("int").alias("n"), t.alias("t")),
-        ),
+        F.transform("_statements", lambda x: F.struct(x["n"].alias("n"), x["t"].alias("t"))),
         lambda x: x["t"].rlike(r"^\s*\[") & ~x["t"].rlike(r"^\s*\[\s*(?:assembly|module)\s*:"),
     )
+    asked = F.transform(lines, lambda x: x["n"])
+    placed = F.arrays_zip(
+        lines.alias("x"), _around_lines(asked).alias("around"), _following(asked).alias("following")
+    )
 
-    def per_line(x: Column) -> Column:
+    def per_line(z: Column) -> Column:
         # Leading bracket groups only, without their arguments.
         groups = F.regexp_extract(
-            F.regexp_replace(F.regexp_replace(x["t"], r"\([^()]*\)", ""), r"\([^()]*\)", ""),
+            F.regexp_replace(F.regexp_replace(z["x"]["t"], r"\([^()]*\)", ""), r"\([^()]*\)", ""),
             r"^\s*((?:\[[^\]]*\]\s*)+)",
             1,
         )
@@ -598,26 +799,20 @@ def _attribute_hints() -> Column:
         def hint(name: Column) -> Column:
             simple = F.substring_index(name, ".", -1)
             return _hint(
-                _attribute_target(x["n"]), "UsesAttributeOrAnnotation",
+                _attribute_target(z["around"], z["following"]), "UsesAttributeOrAnnotation",
                 F.when(F.lower(simple).endswith("attribute"), simple).otherwise(
                     F.concat(simple, F.lit("Attribute"))
                 ),
-                name, x["n"],
+                name, z["x"]["n"],
             )
 
         return F.transform(names, hint)
 
-    return _named(F.flatten(F.transform(lines, per_line)))
+    return _named(F.flatten(F.transform(placed, per_line)))
 
 
 def _imports() -> Column:
-    found = F.filter(
-        F.transform(
-            F.col("_code"),
-            lambda t, i: F.struct((i + 1).cast("int").alias("n"), t.alias("t")),
-        ),
-        lambda x: x["t"].contains("using") & x["t"].rlike(USING),
-    )
+    found = F.filter(_numbered_lines("_code"), lambda x: x["t"].contains("using") & x["t"].rlike(USING))
 
     def entry(x: Column) -> Column:
         t = x["t"]
@@ -638,7 +833,20 @@ def _imports() -> Column:
 
 def _structured(files: DataFrame) -> DataFrame:
     base = files.select("root", "path", file_id().alias("file_id"), "content")
-    return _with_members(_with_containers(_with_lines(base)))
+    placed = _with_scopes(_with_containers(_with_statements(_with_lines(base))))
+    return _with_members(placed)
+
+
+def _with_parents(files: DataFrame) -> DataFrame:
+    """Adds ``_parents``: containers with whether they hold a declaration."""
+    zipped = F.arrays_zip(F.col("_box").alias("x"), F.col("_holds").alias("has_children"))
+    return files.withColumn("_holds", _with_children()).withColumn(
+        "_parents",
+        F.transform(
+            zipped,
+            lambda z: F.struct(z["x"]["b"].alias("b"), z["x"]["outer"].alias("outer"), z["has_children"].alias("has_children")),
+        ),
+    )
 
 
 HINT_PARTS = {
@@ -659,7 +867,7 @@ def parse_csharp(files: DataFrame) -> DataFrame:
         lambda a, b: a["span"]["start_line"] - b["span"]["start_line"],
     )
     hints = F.concat(*[part() for part in HINT_PARTS.values()])
-    return _structured(files).select(
+    return _with_parents(_structured(files)).select(
         "root",
         "path",
         "file_id",
@@ -677,7 +885,7 @@ def cs_declarations(files: DataFrame) -> DataFrame:
 def cs_imports(files: DataFrame) -> DataFrame:
     base = files.select(
         "root", "path", file_id().alias("file_id"),
-        F.transform(physical_line_array(), clean_code).alias("_code"),
+        code_lines().alias("_code"),
         F.lit("csharp").alias("language"),
     )
     return inline_imports(base.withColumn("imports", _imports()))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codelake import fixed_values as fv
-from codelake.functions.arrays import block_minima, first_at_most
+from codelake.functions.arrays import block_minima, first_at_most, fold, let
 from codelake.functions.columns import file_id, lf_lines, span, unnest
 
 # Larger than any indent: such lines never close a block.
@@ -46,6 +46,8 @@ def _with_lines(files: DataFrame) -> DataFrame:
         .withColumn("_block", close_block)
         .withColumn("_scope_min", block_minima(F.col("_scope")))
         .withColumn("_block_min", block_minima(F.col("_block")))
+        .withColumn("_scope_top", block_minima(F.col("_scope_min")))
+        .withColumn("_block_top", block_minima(F.col("_block_min")))
     )
 
 
@@ -75,8 +77,8 @@ def _with_declarations(files: DataFrame) -> DataFrame:
 
     def ends(x: Column) -> Column:
         start = x["n"] + 1
-        scope_end = first_at_most(F.col("_scope"), F.col("_scope_min"), start, x["indent"])
-        block_end = first_at_most(F.col("_block"), F.col("_block_min"), start, x["indent"])
+        scope_end = first_at_most(F.col("_scope"), [F.col("_scope_min"), F.col("_scope_top")], start, x["indent"])
+        block_end = first_at_most(F.col("_block"), [F.col("_block_min"), F.col("_block_top")], start, x["indent"])
         return F.struct(
             x["n"].alias("n"),
             x["is_class"].alias("is_class"),
@@ -95,25 +97,44 @@ def _with_declarations(files: DataFrame) -> DataFrame:
     )
 
 
+_SCOPE = "struct<n:int,name:string,is_class:boolean,end:int>"
+
+
 def _with_open_scopes(files: DataFrame) -> DataFrame:
-    """Adds to each declaration the declarations it is nested in, outermost first."""
-    return files.withColumn(
-        "_nested",
-        F.transform(
-            F.col("_decls"),
-            lambda d, k: F.struct(
-                d.alias("d"),
-                F.transform(
-                    F.filter(
-                        F.slice(F.col("_decls"), F.lit(1), k),
-                        lambda o: o["scope_end"] >= d["n"],
-                    ),
-                    lambda o: F.struct(
-                        o["n"].alias("n"), o["name"].alias("name"), o["is_class"].alias("is_class")
-                    ),
-                ).alias("outer"),
+    """Adds to each declaration the declarations it is nested in, outermost first.
+
+    One pass with a stack of open scopes: what ended before a line is dropped
+    and cannot come back, so a declaration meets its own scopes only.
+    """
+
+    def step(stack: Column, d: Column) -> Column:
+        own = F.struct(
+            d["n"].cast("int").alias("n"), d["name"].alias("name"), d["is_class"].alias("is_class"),
+            d["scope_end"].cast("int").alias("end"),
+        )
+        return let(
+            F.filter(stack, lambda o: o["end"] >= d["n"]),
+            lambda open_: F.struct(F.concat(open_, F.array(own)).alias("state"), open_.alias("value")),
+        )
+
+    empty = F.array().cast(f"array<{_SCOPE}>")
+    zipped = F.arrays_zip(F.col("_decls").alias("d"), F.col("_outer").alias("outer"))
+    # Declarations stand in line order, so a first child follows its parent at once.
+    return (
+        files.withColumn("_outer", fold(F.col("_decls"), empty, step, f"array<{_SCOPE}>"))
+        .withColumn("_zipped", zipped)
+        .withColumn(
+            "_nested",
+            F.transform(
+                F.col("_zipped"),
+                lambda x, i: F.struct(
+                    x["d"].alias("d"), x["outer"].alias("outer"),
+                    F.coalesce(
+                        F.try_element_at(F.get(F.col("_zipped"), i + 1)["outer"], F.lit(-1))["n"] == x["d"]["n"], F.lit(False)
+                    ).alias("has_children"),
+                ),
             ),
-        ),
+        )
     )
 
 
@@ -157,12 +178,7 @@ def _node(x: Column) -> Column:
         F.lit(None).cast("string").alias("visibility"),
         F.size(outer).cast("int").alias("depth"),
         F.lit(False).alias("inside_container"),
-        F.exists(
-            F.col("_nested"),
-            lambda c: F.coalesce(
-                F.try_element_at(c["outer"], F.lit(-1))["n"] == d["n"], F.lit(False)
-            ),
-        ).alias("has_children"),
+        x["has_children"].alias("has_children"),
         F.when(d["is_class"], F.lit(0.75)).otherwise(F.lit(0.8)).cast("double").alias("confidence"),
     )
 

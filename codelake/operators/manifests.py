@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codelake import fixed_values as fv
+from codelake.functions.arrays import fold
 from codelake.functions.columns import (
     any_of, base_name, extension, file_id, parent_path, path_key, physical_line_array,
     unnest, unnest_values,
 )
 from codelake.functions.skew import lookup_join
-from codelake.operators.extract_cs import clean_code
+from codelake.operators.extract_cs import code_text
 from codelake.operators.inventory import is_blocked
 
 
@@ -19,8 +20,7 @@ def code_structure(files: DataFrame) -> DataFrame:
     """Usings, namespaces, types and methods of C#-like files, line by line.
 
     A method counts only below a type; a namespace line ends the current type.
-    The current namespace and type are found among the few structural lines of
-    the file row, so no window over lines is needed.
+    One pass carries the current namespace and the last scope from line to line.
     """
 
     def group(t: Column, pattern: str, n: int) -> Column:
@@ -47,26 +47,30 @@ def code_structure(files: DataFrame) -> DataFrame:
     found = F.filter(
         F.transform(physical_line_array(), describe), lambda x: x["kind"].isNotNull()
     )
-    scopes = F.filter("_s", lambda x: ~x["kind"].isin("using", "method"))
+    above = "struct<namespace:string,kind:string,name:string>"
 
-    def placed(x: Column) -> Column:
-        above = F.filter("_scopes", lambda o: o["line"] < x["line"])
-        ns = F.try_element_at(F.filter(above, lambda o: o["kind"] == "namespace"), F.lit(-1))
-        last = F.try_element_at(above, F.lit(-1))
-        in_type = last["kind"] != "namespace"
+    def step(above: Column, x: Column) -> Column:
+        scope = ~x["kind"].isin("using", "method")
+        here = F.struct(
+            F.when(x["kind"] == "namespace", x["name"]).otherwise(above["namespace"]).alias("namespace"),
+            x["kind"].alias("kind"), x["name"].alias("name"),
+        )
+        return F.struct(F.when(scope, here).otherwise(above).alias("state"), above.alias("value"))
+
+    def placed(z: Column) -> Column:
+        x, last = z["x"], z["above"]
         member = x["kind"] == "method"
         return F.struct(
             x["line"].alias("line"), x["kind"].alias("kind"), x["name"].alias("name"),
-            F.when(~x["kind"].isin("using", "namespace"), ns["name"]).alias("namespace"),
-            F.when(member & in_type, last["name"]).alias("type_name"),
+            F.when(~x["kind"].isin("using", "namespace"), last["namespace"]).alias("namespace"),
+            F.when(member & (last["kind"] != "namespace"), last["name"]).alias("type_name"),
             F.when(member, x["is_public"]).alias("is_public"),
             F.when(member, x["is_static"]).alias("is_static"),
         )
 
-    rows = (
-        files.select("root", "path", found.alias("_s"))
-        .withColumn("_scopes", scopes)
-    )
+    rows = files.select("root", "path", found.alias("_found")).withColumn(
+        "_above", fold(F.col("_found"), F.struct(*[F.lit(None).cast("string").alias(n) for n in ("namespace", "kind", "name")]), step, above)
+    ).withColumn("_s", F.arrays_zip(F.col("_found").alias("x"), F.col("_above").alias("above")))
     return unnest(rows, ["root", "path"], F.transform("_s", placed), "line").filter(
         (F.col("kind") != "method") | F.col("type_name").isNotNull()
     )
@@ -188,7 +192,7 @@ def parse_diagnostics(files: DataFrame) -> DataFrame:
     Missing content is a read error. Braces of a C#-like file that do not pair
     up make it partial; the code tells which side is missing.
     """
-    code = F.array_join(F.transform(physical_line_array(), clean_code), "")
+    code = code_text()
     surplus = F.length(F.replace(code, F.lit("}"), F.lit(""))) - F.length(
         F.replace(code, F.lit("{"), F.lit(""))
     )
