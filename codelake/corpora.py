@@ -85,6 +85,105 @@ select 'cs_repo', 'src/' || {_REGION} || '/Account.cs',
 from {{region}}
 """
 
+# Comments, verbatim and raw strings, heads over several lines, every kind of declaration.
+WIDE_CS = '''/* class Ghost {
+   } { { */
+#region It's "odd
+namespace Shop.N%K%
+{
+    /// <summary>class Doc {</summary>
+    public interface IStore<in TKey, out TValue>
+        : IBase<TKey>,
+          IDisposable
+        where TKey : class
+    {
+        TValue Find(
+            TKey key,
+            [In] int depth = 3);
+        event EventHandler Changed;
+    }
+    [Serializable,
+     Obsolete("x [ {")]
+    public sealed class Store%K%<T>
+        : BaseStore<Dictionary<string, T>>,
+          IStore<string, T>
+    {
+        private const string Sql = @"select { ""a""
+  class Fake {
+";
+        private readonly string _raw = """
+            { class Raw { "quoted" }
+            """;
+        private static readonly string[] Names = new[]
+        {
+            "a", "b {"
+        };
+        public Store%K%(
+            string name,
+            int size = default(int))
+            : base(name)
+        {
+        }
+        [Fact]
+        public async Task<List<T>> Load<TArg>(
+            TArg arg,
+            Func<int, string> map)
+            where TArg : struct
+        {
+            var x = new Order
+            {
+                A = 1
+            };
+            return new List<T>();
+        }
+        public void Load(int a) { }
+        public void Load(int a, string b) { }
+        void IStore<string, T>.Reset() { }
+        int IStore<string, T>.Count => 3;
+        public T this[int i]
+        {
+            get { return default; }
+        }
+        public event EventHandler<Args> Done, Gone;
+        event EventHandler IBase.Fired { add { } remove { } }
+        public delegate bool Check<TItem>(
+            TItem item);
+        public enum Color
+        {
+            Red,
+            Green = 2,
+            Blue
+        }
+        public readonly struct Point : IPoint { }
+        char q = '"'; // "unclosed
+        string u = $@"a {
+ b";
+    }
+    public record Pair(
+        int X,
+        int Y) : Base(X);
+    public record struct P2(int A);
+}
+#endregion
+'''
+
+
+def _source(template: str) -> str:
+    """A literal source text as SQL; ``%K%`` stands for the key."""
+    text = template.replace("'", "''")
+    for mark, value in (("{", "chr(123)"), ("}", "chr(125)"), ("\n", NL), ("%K%", _K)):
+        text = text.replace(mark, f"' || {value} || '")
+    return f"'{text}'"
+
+
+# Comment lines above move the text down; one file in seven has a brace too many, one too few.
+SOURCE_CS_WIDE = f"""
+select 'wide' as root, 'src/Wide' || {_K} || '.cs' as path,
+       repeat('// class Gone ' || chr(123) || {NL}, cast(c_custkey % 3 as int)) || {_source(WIDE_CS)}
+       || case c_custkey % 7 when 1 then chr(125) || {NL} when 2 then 'class Open ' || chr(123) || {NL} else '' end as content
+from {{customer}}
+"""
+
 SOURCE_ALL = f"select * from ({SOURCE_PY}) p union all select * from ({SOURCE_CS}) c"
 
 _EXT = """case doc_id % 8 when 0 then '.py' when 1 then '.cs' when 2 then '.md' when 3 then '.json'

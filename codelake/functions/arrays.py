@@ -106,10 +106,11 @@ def fold(items: Column, state: Column, step: Callable[[Column, Column], Column],
     before they are joined, so the copying that ``aggregate`` does stays small:
     n * BLOCK / 2 values and (n / BLOCK)^2 / 2 blocks.
     """
-    count = F.ceil(F.size(items) / F.lit(BLOCK)).cast("int")
-    pieces = F.transform(
-        F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda b: F.slice(items, b * BLOCK + 1, F.lit(BLOCK))
-    )
+    def pieces(whole: Column) -> Column:
+        count = F.ceil(F.size(whole) / F.lit(BLOCK)).cast("int")
+        return F.transform(
+            F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda b: F.slice(whole, b * BLOCK + 1, F.lit(BLOCK))
+        )
 
     def within(before: Column, piece: Column) -> Column:
         return F.aggregate(
@@ -123,12 +124,12 @@ def fold(items: Column, state: Column, step: Callable[[Column, Column], Column],
             ),
         )
 
-    whole = F.aggregate(
-        pieces,
+    folded = F.aggregate(
+        let(items, pieces),
         F.struct(state.alias("state"), F.array().cast(f"array<array<{emitted}>>").alias("values")),
         lambda acc, piece: let(
             within(acc["state"], piece),
             lambda r: F.struct(r["state"].alias("state"), F.concat(acc["values"], F.array(r["values"])).alias("values")),
         ),
     )
-    return F.flatten(whole["values"])
+    return F.flatten(folded["values"])

@@ -2,14 +2,41 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+import functools
+from collections.abc import Callable, Iterable, Mapping
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LINE_BREAK = r"\r\n|\n|\r"
 
 
+def once(build: Callable):
+    """Builds a constant expression once per JVM.
+
+    Large expressions over named columns take thousands of calls into the JVM;
+    the built columns are values and serve every frame that has those names.
+    """
+    kept: dict = {}
+
+    @functools.wraps(build)
+    def built():
+        gateway = SparkContext._gateway
+        if "value" not in kept or kept["gateway"] is not gateway:
+            kept.update(gateway=gateway, value=build())
+        return kept["value"]
+
+    return built
+
+
+def with_all(df: DataFrame, columns: list[tuple[str, Column]]) -> DataFrame:
+    """Adds columns one after another, so that each may name those before it."""
+    for name, column in columns:
+        df = df.withColumn(name, column)
+    return df
+
+
 def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 

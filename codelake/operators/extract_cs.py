@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from codelake import fixed_values as fv
 from codelake.functions.arrays import block_minima, blocks, first_at_most, fold, let, running_sum
-from codelake.functions.columns import file_id, physical_line_array, physical_lines, span
+from codelake.functions.columns import file_id, once, physical_line_array, physical_lines, span, with_all
 from codelake.operators.extract_py import NEVER, _numbered, inline_hints, inline_imports, inline_nodes
 
 CONFIDENCE = 0.75
@@ -129,7 +129,8 @@ def code_lines(content="content") -> Column:
 NOTHING, SEMICOLON, BRACE = 0, 1, 2
 
 
-def _with_lines(files: DataFrame) -> DataFrame:
+@once
+def _line_columns() -> list[tuple[str, Column]]:
     mark = F.transform(
         F.col("_code"),
         lambda t: F.when(t.contains("{"), BRACE)
@@ -143,18 +144,18 @@ def _with_lines(files: DataFrame) -> DataFrame:
             - F.length(F.replace(t, F.lit("{"), F.lit("")))
         ).cast("int"),
     )
-    return (
-        files.withColumn("_lines", physical_line_array())
-        .withColumn("_code", code_lines())
-        .withColumn("_mark", mark)
-        .withColumn("_quiet", F.transform("_mark", lambda m: (m == NOTHING).cast("int")))
-        .withColumn("_quiet_min", block_minima(F.col("_quiet")))
-        .withColumn("_quiet_top", block_minima(F.col("_quiet_min")))
-        .withColumn("_net", net)
-        .withColumn("_after", running_sum(blocks(F.col("_net"))))
-        .withColumn("_after_min", block_minima(F.col("_after")))
-        .withColumn("_after_top", block_minima(F.col("_after_min")))
-    )
+    return [
+        ("_lines", physical_line_array()),
+        ("_code", code_lines()),
+        ("_mark", mark),
+        ("_quiet", F.transform("_mark", lambda m: (m == NOTHING).cast("int"))),
+        ("_quiet_min", block_minima(F.col("_quiet"))),
+        ("_quiet_top", block_minima(F.col("_quiet_min"))),
+        ("_net", net),
+        ("_after", running_sum(blocks(F.col("_net")))),
+        ("_after_min", block_minima(F.col("_after"))),
+        ("_after_top", block_minima(F.col("_after_min"))),
+    ]
 
 
 _STATEMENT = "struct<n:int,last:int,attribute:boolean>"
@@ -220,19 +221,18 @@ def _statement_lines() -> Column:
     return fold(F.concat(F.transform("_code", look), F.array(end)), none, step, _STATEMENT)
 
 
-def _with_statements(files: DataFrame) -> DataFrame:
+@once
+def _statement_columns() -> list[tuple[str, Column]]:
     """Adds ``_statements``: first line, text and whether it is attributes only."""
-    return files.withColumn("_spans", F.filter(_statement_lines(), lambda x: x.isNotNull())).withColumn(
-        "_statements",
-        F.transform(
-            F.col("_spans"),
-            lambda x: F.struct(
-                x["n"].alias("n"),
-                F.array_join(F.slice(F.col("_code"), x["n"], x["last"] - x["n"] + 1), " ").alias("t"),
-                x["attribute"].alias("attribute"),
-            ),
+    statements = F.transform(
+        F.col("_spans"),
+        lambda x: F.struct(
+            x["n"].alias("n"),
+            F.array_join(F.slice(F.col("_code"), x["n"], x["last"] - x["n"] + 1), " ").alias("t"),
+            x["attribute"].alias("attribute"),
         ),
     )
+    return [("_spans", F.filter(_statement_lines(), lambda x: x.isNotNull())), ("_statements", statements)]
 
 
 def _depth_before(n: Column) -> Column:
@@ -264,7 +264,8 @@ _BOX = (
 )
 
 
-def _with_containers(files: DataFrame) -> DataFrame:
+@once
+def _container_columns() -> list[tuple[str, Column]]:
     """Adds ``_items``: statements with, for a namespace or type, its ``box`` up to its last line."""
     # Where it opens is fixed in a column of its own, so it is worked out once per head.
     opened = F.transform(
@@ -310,10 +311,11 @@ def _with_containers(files: DataFrame) -> DataFrame:
             F.when(x["open"].isNotNull(), describe(x)).cast(_BOX).alias("box"),
         ),
     )
-    return files.withColumn("_opened", opened).withColumn("_items", items)
+    return [("_opened", opened), ("_items", items)]
 
 
-def _with_scopes(files: DataFrame) -> DataFrame:
+@once
+def _scope_columns() -> list[tuple[str, Column]]:
     """Adds ``_placed``: statements at the depth of members, and heads, with the containers around them.
 
     One pass with a stack: a container that ended before a line cannot come
@@ -333,18 +335,16 @@ def _with_scopes(files: DataFrame) -> DataFrame:
     empty = F.array().cast(f"array<{_BOX}>")
     zipped = F.arrays_zip(F.col("_items").alias("x"), F.col("_around").alias("outer"))
     member_depths = F.transform(F.filter("_items", lambda x: x["box"].isNotNull()), lambda x: x["box"]["depth"] + 1)
-    return (
-        files.withColumn("_member_depths", F.array_distinct(member_depths))
-        .withColumn("_around", fold(F.col("_items"), empty, step, f"array<{_BOX}>"))
-        .withColumn("_placed", F.filter(zipped, lambda z: z["outer"].isNotNull()))
-        .withColumn(
-            "_box",
-            F.transform(
-                F.filter("_placed", lambda z: z["x"]["box"].isNotNull()),
-                lambda z: F.struct(z["x"]["box"].alias("b"), z["outer"].alias("outer"), _full_path(z["outer"], z["x"]["box"]["name"]).alias("path")),
-            ),
-        )
+    boxes = F.transform(
+        F.filter("_placed", lambda z: z["x"]["box"].isNotNull()),
+        lambda z: F.struct(z["x"]["box"].alias("b"), z["outer"].alias("outer"), _full_path(z["outer"], z["x"]["box"]["name"]).alias("path")),
     )
+    return [
+        ("_member_depths", F.array_distinct(member_depths)),
+        ("_around", fold(F.col("_items"), empty, step, f"array<{_BOX}>")),
+        ("_placed", F.filter(zipped, lambda z: z["outer"].isNotNull())),
+        ("_box", boxes),
+    ]
 
 
 def _path_of(outer: Column) -> Column:
@@ -368,7 +368,8 @@ def _member_kind(t: Column, owner: Column) -> Column:
     )
 
 
-def _with_members(files: DataFrame) -> DataFrame:
+@once
+def _member_columns() -> list[tuple[str, Column]]:
     """Adds ``_members``: declarations that sit directly in a type or namespace."""
     candidates = F.filter(
         "_placed",
@@ -442,9 +443,10 @@ def _with_members(files: DataFrame) -> DataFrame:
             _path_of(x["outer"]).alias("path"),
         )
 
-    return files.withColumn(
-        "_owned", F.filter(F.transform(candidates, owned), lambda x: x["kind"].isNotNull())
-    ).withColumn("_members", F.transform(F.col("_owned"), describe))
+    return [
+        ("_owned", F.filter(F.transform(candidates, owned), lambda x: x["kind"].isNotNull())),
+        ("_members", F.transform(F.col("_owned"), describe)),
+    ]
 
 
 BOX_EVENT, CALLABLE_EVENT, MEMBER_EVENT, QUERY_EVENT = 0, 1, 2, 3
@@ -669,6 +671,7 @@ def _named(hints: Column) -> Column:
     )
 
 
+@once
 def _base_hints() -> Column:
     def one(x: Column) -> Column:
         b = x["b"]
@@ -715,6 +718,7 @@ def _param_hints(m: Column) -> Column:
     )
 
 
+@once
 def _method_hints() -> Column:
     chosen = F.filter(F.col("_members"), lambda m: m["kind"] == "method")
     return _named(
@@ -735,18 +739,21 @@ def _method_hints() -> Column:
     )
 
 
+@once
 def _ctor_hints() -> Column:
     chosen = F.filter(F.col("_members"), lambda m: m["kind"] == "constructor")
     return _named(F.flatten(F.transform(chosen, _param_hints)))
 
 
-CREATION = r"\bnew\s+([A-Za-z_][\w.]*(?:<[^();{}]*>)?\??)\s*[({]"
+# What is created may get its arguments or its braces on a later line.
+CREATION = r"\bnew\s+([A-Za-z_][\w.]*(?:<[^();{}]*>)?\??)\s*(?:[({]|$)"
 
 
 def _numbered_lines(array: str) -> Column:
     return F.transform(array, lambda t, i: F.struct((i + 1).cast("int").alias("n"), t.alias("t")))
 
 
+@once
 def _creation_hints() -> Column:
     lines = F.filter(_numbered_lines("_code"), lambda x: x["t"].contains("new ") & x["t"].rlike(CREATION))
     placed = F.arrays_zip(
@@ -775,6 +782,7 @@ def _attribute_target(around: Column, following: Column) -> Column:
     )
 
 
+@once
 def _attribute_hints() -> Column:
     lines = F.filter(
         F.transform("_statements", lambda x: F.struct(x["n"].alias("n"), x["t"].alias("t"))),
@@ -811,6 +819,7 @@ def _attribute_hints() -> Column:
     return _named(F.flatten(F.transform(placed, per_line)))
 
 
+@once
 def _imports() -> Column:
     found = F.filter(_numbered_lines("_code"), lambda x: x["t"].contains("using") & x["t"].rlike(USING))
 
@@ -833,26 +842,26 @@ def _imports() -> Column:
 
 def _structured(files: DataFrame) -> DataFrame:
     base = files.select("root", "path", file_id().alias("file_id"), "content")
-    placed = _with_scopes(_with_containers(_with_statements(_with_lines(base))))
-    return _with_members(placed)
+    for columns in (_line_columns, _statement_columns, _container_columns, _scope_columns, _member_columns):
+        base = with_all(base, columns())
+    return base
 
 
-def _with_parents(files: DataFrame) -> DataFrame:
+@once
+def _parent_columns() -> list[tuple[str, Column]]:
     """Adds ``_parents``: containers with whether they hold a declaration."""
     zipped = F.arrays_zip(F.col("_box").alias("x"), F.col("_holds").alias("has_children"))
-    return files.withColumn("_holds", _with_children()).withColumn(
-        "_parents",
-        F.transform(
-            zipped,
-            lambda z: F.struct(z["x"]["b"].alias("b"), z["x"]["outer"].alias("outer"), z["has_children"].alias("has_children")),
-        ),
+    parents = F.transform(
+        zipped,
+        lambda z: F.struct(z["x"]["b"].alias("b"), z["x"]["outer"].alias("outer"), z["has_children"].alias("has_children")),
     )
+    return [("_holds", _with_children()), ("_parents", parents)]
 
 
 HINT_PARTS = {
     "base": _base_hints,
-    "field": lambda: _type_hints("field", "ContainsFieldOfType"),
-    "property": lambda: _type_hints("property", "ContainsPropertyOfType"),
+    "field": once(lambda: _type_hints("field", "ContainsFieldOfType")),
+    "property": once(lambda: _type_hints("property", "ContainsPropertyOfType")),
     "method": _method_hints,
     "constructor": _ctor_hints,
     "creation": _creation_hints,
@@ -860,21 +869,29 @@ HINT_PARTS = {
 }
 
 
-def parse_csharp(files: DataFrame) -> DataFrame:
-    """``files(root, path, content)`` -> one row per file with nodes, imports, hints."""
-    nodes = F.array_sort(
+@once
+def _nodes() -> Column:
+    return F.array_sort(
         F.concat(_box_nodes(), _member_nodes()),
         lambda a, b: a["span"]["start_line"] - b["span"]["start_line"],
     )
-    hints = F.concat(*[part() for part in HINT_PARTS.values()])
-    return _with_parents(_structured(files)).select(
+
+
+@once
+def _hints() -> Column:
+    return _numbered(F.concat(*[part() for part in HINT_PARTS.values()]))
+
+
+def parse_csharp(files: DataFrame) -> DataFrame:
+    """``files(root, path, content)`` -> one row per file with nodes, imports, hints."""
+    return with_all(_structured(files), _parent_columns()).select(
         "root",
         "path",
         "file_id",
         F.lit("csharp").alias("language"),
-        nodes.alias("nodes"),
+        _nodes().alias("nodes"),
         _imports().alias("imports"),
-        _numbered(hints).alias("hints"),
+        _hints().alias("hints"),
     )
 
 
@@ -900,6 +917,11 @@ def _only(files: DataFrame, part: str) -> DataFrame:
     )
 
 
+def cs_hints(files: DataFrame) -> DataFrame:
+    """Hints of every kind."""
+    return inline_hints(parse_csharp(files))
+
+
 def cs_base_hints(files: DataFrame) -> DataFrame:
     return _only(files, "base")
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from codelake import fixed_values as fv
 from codelake.functions.arrays import block_minima, first_at_most, fold, let
-from codelake.functions.columns import file_id, lf_lines, span, unnest
+from codelake.functions.columns import file_id, lf_lines, once, span, unnest, with_all
 
 # Larger than any indent: such lines never close a block.
 NEVER = 1 << 30
@@ -31,7 +31,8 @@ def _group(text: Column, pattern: str, n: int) -> Column:
     return F.regexp_extract(text, pattern, n)
 
 
-def _with_lines(files: DataFrame) -> DataFrame:
+@once
+def _line_columns() -> list[tuple[str, Column]]:
     lines = F.col("_lines")
     close_scope = F.transform(
         lines,
@@ -40,18 +41,19 @@ def _with_lines(files: DataFrame) -> DataFrame:
     close_block = F.transform(
         lines, lambda t: F.when(_blank(t), F.lit(NEVER)).otherwise(_indent(t))
     )
-    return (
-        files.withColumn("_lines", lf_lines())
-        .withColumn("_scope", close_scope)
-        .withColumn("_block", close_block)
-        .withColumn("_scope_min", block_minima(F.col("_scope")))
-        .withColumn("_block_min", block_minima(F.col("_block")))
-        .withColumn("_scope_top", block_minima(F.col("_scope_min")))
-        .withColumn("_block_top", block_minima(F.col("_block_min")))
-    )
-
-
-def _with_declarations(files: DataFrame) -> DataFrame:
+    return [
+        ("_lines", lf_lines()),
+        ("_scope", close_scope),
+        ("_block", close_block),
+        ("_scope_min", block_minima(F.col("_scope"))),
+        ("_block_min", block_minima(F.col("_block"))),
+        ("_scope_top", block_minima(F.col("_scope_min"))),
+        ("_block_top", block_minima(F.col("_block_min"))),
+    ]
+
+
+@once
+def _declaration_columns() -> list[tuple[str, Column]]:
     """Adds ``_decls``: declaration heads in line order with where they end."""
     heads = F.filter(
         F.transform(F.col("_lines"), lambda t, i: F.struct((i + 1).alias("n"), t.alias("t"))),
@@ -92,15 +94,14 @@ def _with_declarations(files: DataFrame) -> DataFrame:
             F.coalesce(block_end - 1, F.size("_lines")).alias("block_end"),
         )
 
-    return files.withColumn("_heads", F.transform(heads, describe)).withColumn(
-        "_decls", F.transform(F.col("_heads"), ends)
-    )
+    return [("_heads", F.transform(heads, describe)), ("_decls", F.transform(F.col("_heads"), ends))]
 
 
 _SCOPE = "struct<n:int,name:string,is_class:boolean,end:int>"
 
 
-def _with_open_scopes(files: DataFrame) -> DataFrame:
+@once
+def _nesting_columns() -> list[tuple[str, Column]]:
     """Adds to each declaration the declarations it is nested in, outermost first.
 
     One pass with a stack of open scopes: what ended before a line is dropped
@@ -120,22 +121,16 @@ def _with_open_scopes(files: DataFrame) -> DataFrame:
     empty = F.array().cast(f"array<{_SCOPE}>")
     zipped = F.arrays_zip(F.col("_decls").alias("d"), F.col("_outer").alias("outer"))
     # Declarations stand in line order, so a first child follows its parent at once.
-    return (
-        files.withColumn("_outer", fold(F.col("_decls"), empty, step, f"array<{_SCOPE}>"))
-        .withColumn("_zipped", zipped)
-        .withColumn(
-            "_nested",
-            F.transform(
-                F.col("_zipped"),
-                lambda x, i: F.struct(
-                    x["d"].alias("d"), x["outer"].alias("outer"),
-                    F.coalesce(
-                        F.try_element_at(F.get(F.col("_zipped"), i + 1)["outer"], F.lit(-1))["n"] == x["d"]["n"], F.lit(False)
-                    ).alias("has_children"),
-                ),
-            ),
-        )
+    nested = F.transform(
+        F.col("_zipped"),
+        lambda x, i: F.struct(
+            x["d"].alias("d"), x["outer"].alias("outer"),
+            F.coalesce(
+                F.try_element_at(F.get(F.col("_zipped"), i + 1)["outer"], F.lit(-1))["n"] == x["d"]["n"], F.lit(False)
+            ).alias("has_children"),
+        ),
     )
+    return [("_outer", fold(F.col("_decls"), empty, step, f"array<{_SCOPE}>")), ("_zipped", zipped), ("_nested", nested)]
 
 
 def _node_id(line: Column, name: Column) -> Column:
@@ -222,9 +217,10 @@ def _numbered(hints: Column) -> Column:
     )
 
 
-def _imports(lines: Column) -> Column:
+@once
+def _imports() -> Column:
     found = F.filter(
-        F.transform(lines, lambda t, i: F.struct((i + 1).alias("n"), t.alias("t"))),
+        F.transform(F.col("_lines"), lambda t, i: F.struct((i + 1).alias("n"), t.alias("t"))),
         lambda x: x["t"].rlike(r"^[ \t]*(?:import|from)\s")
         & (x["t"].rlike(fv.PY_IMPORT) | x["t"].rlike(fv.PY_FROM_IMPORT)),
     )
@@ -252,21 +248,32 @@ def _imports(lines: Column) -> Column:
     return F.transform(found, entry)
 
 
-def parse_python(files: DataFrame) -> DataFrame:
-    """``files(root, path, content)`` -> one row per file with nodes, imports, hints."""
-    base = files.select("root", "path", file_id().alias("file_id"), "content")
-    nested = _with_open_scopes(_with_declarations(_with_lines(base)))
+@once
+def _nodes() -> Column:
+    return F.transform(F.col("_nested"), _node)
+
+
+@once
+def _hints() -> Column:
     with_bases = F.filter(
         F.col("_nested"), lambda x: x["d"]["is_class"] & (x["d"]["bases"] != "")
     )
-    return nested.select(
+    return _numbered(F.flatten(F.transform(with_bases, _hints_of)))
+
+
+def parse_python(files: DataFrame) -> DataFrame:
+    """``files(root, path, content)`` -> one row per file with nodes, imports, hints."""
+    base = files.select("root", "path", file_id().alias("file_id"), "content")
+    for columns in (_line_columns, _declaration_columns, _nesting_columns):
+        base = with_all(base, columns())
+    return base.select(
         "root",
         "path",
         "file_id",
         F.lit("python").alias("language"),
-        F.transform(F.col("_nested"), _node).alias("nodes"),
-        _imports(F.col("_lines")).alias("imports"),
-        _numbered(F.flatten(F.transform(with_bases, _hints_of))).alias("hints"),
+        _nodes().alias("nodes"),
+        _imports().alias("imports"),
+        _hints().alias("hints"),
     )
 
 
@@ -298,7 +305,7 @@ def py_block_span(files: DataFrame) -> DataFrame:
 def py_imports(files: DataFrame) -> DataFrame:
     base = files.select("root", "path", file_id().alias("file_id"), lf_lines().alias("_lines"))
     keep = ["root", "path", "file_id", F.lit("python").alias("language")]
-    return unnest(base, keep, _imports(F.col("_lines")), "kind")
+    return unnest(base, keep, _imports(), "kind")
 
 
 def py_base_hints(files: DataFrame) -> DataFrame:

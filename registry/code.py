@@ -12,10 +12,11 @@ from codelake.operators import resolve as R
 from codelake.operators import symbols as S
 from codelake.operators import trees as T
 from codelake.operators.inventory import list_files
+from codelake.operators.manifests import parse_diagnostics
 from codelake.operators.paging import paginate
 from codelake.plans import index as I
 from registry.common import Registry, big, end, index_of, joined, start
-from registry.expected import HARD, METHOD, expect
+from registry.expected import EXPECT_WIDE_DIAGNOSTICS, EXPECT_WIDE_HINTS, EXPECT_WIDE_NODES, HARD, METHOD, expect
 
 R_ = Registry()
 add = R_.add
@@ -112,6 +113,29 @@ for _name, _fn, _kinds in (
     )
 
 
+def wide(spark, sf):
+    return C.corpus(spark, sf, C.SOURCE_CS_WIDE)
+
+
+@add("cs_declarations_wide", EXPECT_WIDE_NODES)
+def _(spark, sf):
+    return CS.cs_declarations(wide(spark, sf)).select(
+        "path", "kind", "subkind", "name", "display_name", "qualified_path", start(), end(),
+        big("depth").alias("depth"), "has_children", F.array_join("modifiers", " ").alias("modifiers"),
+    )
+
+
+@add("cs_hints_wide", EXPECT_WIDE_HINTS)
+def _(spark, sf):
+    return _hints(CS.cs_hints(wide(spark, sf)))
+
+
+@add("parse_diagnostics_wide", EXPECT_WIDE_DIAGNOSTICS)
+def _(spark, sf):
+    files = wide(spark, sf).withColumn("language", F.lit("csharp"))
+    return parse_diagnostics(files).select("path", "code", "severity")
+
+
 # ---- symbols ----------------------------------------------------------------
 
 _SYMBOL_SQL = """select root, symbol_id, name, qualified_path as qualified_name, symbol_kind as kind,

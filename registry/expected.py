@@ -135,3 +135,78 @@ HARD = "resolution in ('ExactBound', 'ScopedBound', 'ImportBound')"
 def expect(body: str) -> str:
     """SQL over the expected relations."""
     return "with " + ",\n".join(f"{n} as ({q})" for n, q in _ALL.items()) + "\n" + body
+
+
+# The declarations of the wide C# source: kind, subkind, name, display name, path, first and last line, depth,
+# children, modifiers. %K% is the key; lines move down by its remainder by three.
+WIDE_NODES = [
+    ("Container", "namespace", "Shop.N%K%", "Shop.N%K%", "", 4, 78, 0, True, ""),
+    ("Declaration", "interface", "IStore", "IStore<TKey, TValue>", "", 7, 16, 1, True, "public"),
+    ("Callable", "method", "Find", "TValue Find(TKey, int)", "IStore.", 12, 14, 2, False, ""),
+    ("Member", "event", "Changed", "EventHandler Changed", "IStore.", 15, 15, 2, False, ""),
+    ("Declaration", "class", "Store%K%", "Store%K%<T>", "", 19, 73, 1, True, "public sealed"),
+    ("Member", "field", "Sql", "string Sql", "Store%K%.", 23, 25, 2, False, "private const"),
+    ("Member", "field", "_raw", "string _raw", "Store%K%.", 26, 28, 2, False, "private readonly"),
+    ("Member", "field", "Names", "string[] Names", "Store%K%.", 29, 32, 2, False, "private static readonly"),
+    ("Callable", "constructor", "Store%K%", "Store%K%(string, int)", "Store%K%.", 33, 38, 2, False, "public"),
+    ("Callable", "method", "Load", "Task<List<T>> Load<TArg>(TArg, Func<int, string>)", "Store%K%.", 40, 50, 2, False, "public async"),
+    ("Callable", "method", "Load", "void Load(int)", "Store%K%.", 51, 51, 2, False, "public"),
+    ("Callable", "method", "Load", "void Load(int, string)", "Store%K%.", 52, 52, 2, False, "public"),
+    ("Callable", "method", "Reset", "void Reset()", "Store%K%.", 53, 53, 2, False, ""),
+    ("Member", "property", "Count", "int Count", "Store%K%.", 54, 54, 2, False, ""),
+    ("Member", "indexer", "this[]", "T this[]", "Store%K%.", 55, 58, 2, False, "public"),
+    ("Member", "event", "Done", "EventHandler<Args> Done", "Store%K%.", 59, 59, 2, False, "public"),
+    ("Member", "event", "Gone", "EventHandler<Args> Gone", "Store%K%.", 59, 59, 2, False, "public"),
+    ("Member", "event", "Fired", "EventHandler Fired", "Store%K%.", 60, 60, 2, False, ""),
+    ("Declaration", "delegate", "Check", "Check<TItem>", "Store%K%.", 61, 62, 2, False, "public"),
+    ("Declaration", "enum", "Color", "Color", "Store%K%.", 63, 68, 2, False, "public"),
+    ("Declaration", "struct", "Point", "Point", "Store%K%.", 69, 69, 2, False, "public readonly"),
+    ("Member", "field", "q", "char q", "Store%K%.", 70, 70, 2, False, ""),
+    ("Member", "field", "u", "string u", "Store%K%.", 71, 72, 2, False, ""),
+    ("Declaration", "record class", "Pair", "Pair", "", 74, 76, 1, False, "public"),
+    ("Declaration", "record struct", "P2", "P2", "", 77, 77, 1, False, "public"),
+]
+# Source path below the namespace, kind, target, evidence, line.
+WIDE_HINTS = [
+    ("IStore", "Implements", "IBase", "IBase<TKey>", 7),
+    ("IStore", "Implements", "IDisposable", "IDisposable", 7),
+    ("Store%K%", "Inherits", "BaseStore", "BaseStore<Dictionary<string, T>>", 19),
+    ("Store%K%", "Implements", "IStore", "IStore<string, T>", 19),
+    ("Store%K%.Point", "Implements", "IPoint", "IPoint", 69),
+    ("Pair", "Inherits", "Base", "Base", 74),
+    ("IStore.Find", "ReturnsType", "TValue", "TValue", 12),
+    ("IStore.Find", "AcceptsParameterType", "TKey", "TKey", 12),
+    ("Store%K%.Load", "ReturnsType", "Task", "Task<List<T>>", 40),
+    ("Store%K%.Load", "AcceptsParameterType", "TArg", "TArg", 40),
+    ("Store%K%.Load", "AcceptsParameterType", "Func", "Func<int, string>", 40),
+    ("Store%K%.Load", "CreatesInstanceOf", "Order", "Order", 45),
+    ("Store%K%.Load", "CreatesInstanceOf", "List", "List<T>", 49),
+    ("Store%K%", "UsesAttributeOrAnnotation", "SerializableAttribute", "Serializable", 17),
+    ("Store%K%", "UsesAttributeOrAnnotation", "ObsoleteAttribute", "Obsolete", 17),
+    ("Store%K%.Load", "UsesAttributeOrAnnotation", "FactAttribute", "Fact", 39),
+]
+
+
+def _values(rows: list[tuple]) -> str:
+    def text(v) -> str:
+        return "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v).lower()
+
+    return ", ".join("(" + ", ".join(text(v) for v in row) + ")" for row in rows)
+
+
+_WIDE_FILES = f"select {K} as ks, c_custkey % 3 as shift, c_custkey % 7 as odd, 'src/Wide' || {K} || '.cs' as path from customer"
+EXPECT_WIDE_NODES = f"""
+select path, kind, subkind, replace(name, '%K%', ks) as name, replace(display, '%K%', ks) as display_name,
+  case when kind = 'Container' then 'Shop.N' || ks else replace('Shop.N%K%.' || owner || name, '%K%', ks) end as qualified_path,
+  (first + shift)::bigint as start_line, (last + shift)::bigint as end_line, depth::bigint as depth, children as has_children, modifiers
+from ({_WIDE_FILES}) f, (values {_values(WIDE_NODES)}) v(kind, subkind, name, display, owner, first, last, depth, children, modifiers)
+union all
+select path, 'Declaration', 'class', 'Open', 'Open', 'Open', 80 + shift, 80 + shift, 0, false, '' from ({_WIDE_FILES}) f where odd = 2
+"""
+EXPECT_WIDE_HINTS = f"""
+select path, replace('Shop.N%K%.' || source, '%K%', ks) as source_path, kind, target as target_name, evidence, (line + shift)::bigint as line
+from ({_WIDE_FILES}) f, (values {_values(WIDE_HINTS)}) v(source, kind, target, evidence, line)
+"""
+EXPECT_WIDE_DIAGNOSTICS = f"""
+select path, case odd when 1 then 'CS1022' else 'CS1513' end as code, 'Warning' as severity from ({_WIDE_FILES}) f where odd in (1, 2)
+"""
