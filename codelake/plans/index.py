@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codelake.functions.columns import file_id
@@ -85,14 +85,36 @@ def link(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     Symbols are written once: three joins of the resolution read them.
     """
     symbols = stored(project_symbols(tables["nodes"]), "symbols")
+    uses = name_uses(tables["hints"]).repartition("bucket")
     return {
         **tables,
         "symbols": symbols,
         "occurrences": symbol_occurrences(tables["nodes"]),
         "edges": resolve_references(tables["hints"], symbols, tables["imports"]),
+        "uses": stored(uses, "uses", ["bucket"]).select(*uses.columns),
     }
 
 
+USE_BUCKETS = 64
+
+
+def _use_bucket() -> Column:
+    return F.pmod(F.xxhash64("root", "name_key"), F.lit(USE_BUCKETS)).cast("int").alias("bucket")
+
+
+def name_uses(hints: DataFrame) -> DataFrame:
+    """The reverse index: which hints use a name (no case), as their source or as their target."""
+    keys = F.array_distinct(F.array(F.lower("source_path"), F.lower("target_name")))
+    rows = hints.select("root", "path", "file_id", "hint_no", F.explode(keys).alias("name_key")).filter(F.col("name_key").isNotNull())
+    return rows.withColumn("bucket", _use_bucket())
+
+
+def read_uses(uses: DataFrame, keys: DataFrame) -> DataFrame:
+    """Uses of ``keys(root, name_key)``; of a stored index only the buckets of these keys are read."""
+    buckets = [r[0] for r in keys.select(_use_bucket()).distinct().collect()]
+    return uses.filter(F.col("bucket").isin(buckets)).join(keys, ["root", "name_key"], "left_semi")
+
+
 def build_index(files: DataFrame) -> dict[str, DataFrame]:
     """``files(root, path, content)`` of any number of repositories -> all relations.
 

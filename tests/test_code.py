@@ -402,3 +402,63 @@ def test_many_members_of_one_csharp_file(corpus):
     assert kinds["CreatesInstanceOf"] == [(f"N.C{i}.A{i}", "Q") for i in range(n)]
     assert kinds["UsesAttributeOrAnnotation"][-2:] == [(f"N.C{n - 1}", "XAttribute"), (f"N.C{n - 1}.A{n - 1}", "YAttribute")]
     assert kinds["ContainsFieldOfType"] == [(f"N.C{i}", "P") for i in range(n)]
+
+
+def random_sources(rng, n):
+    """Small files of both languages that declare, import and use each other's names."""
+    names, spaces = ["Item", "Order", "Base", "Thing", "get"], ["P.A", "P.B", "Q"]
+    out = {}
+    for i in rng.sample(range(n * 2), n):
+        a, b, c = rng.choices(names, k=3)
+        if i % 2:
+            out[f"d{i % 3}/f{i}.cs"] = (
+                f"using {rng.choice(spaces)};\nusing {rng.choice(spaces)};\nnamespace {rng.choice(spaces)}\n{{\n    class {a} : {b}\n    {{\n"
+                f"        public {c} M{rng.randint(0, 3)}({rng.choice(['P.A.Item', 'Q.Order', a])} x) {{ return new {c}(); }}\n    }}\n}}\n"
+            )
+        else:
+            out[f"d{i % 3}/f{i}.py"] = f"from {rng.choice(['p.a', 'q'])} import {a}\nclass {b}({c}):\n    def {rng.choice(names)}(self):\n        pass\n"
+    return out
+
+
+def same_tables(a, b, names=("symbols", "edges", "occurrences", "uses", "files", "diagnostics", "nodes", "imports", "hints")):
+    for name in names:
+        columns = sorted(b[name].columns)
+        have, want = (sorted(map(repr, t[name].select(*columns).collect())) for t in (a, b))
+        assert have == want, name
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_refresh_equals_a_full_build(spark, seed):
+    def files(sources):
+        return spark.createDataFrame([("r", p, c) for p, c in sources.items()] + [("other", "x.py", "class Item:\n    pass\n")], "root string, path string, content string")
+
+    rng = random.Random(seed)
+    sources = random_sources(rng, 24)
+    tables = build_index(files(sources))
+    for _ in range(2):
+        sources = dict(sources)
+        for path in rng.sample(sorted(sources), 3):
+            del sources[path]
+        sources |= random_sources(rng, 4)
+        moved = rng.choice(sorted(sources))
+        sources[moved] = "// moved down\n" + sources[moved] if moved.endswith(".cs") else "\n" + sources[moved]
+        tables, _ = incremental_update(tables, files(sources))
+        same_tables(tables, build_index(files(sources)))
+
+
+def test_one_changed_file_resolves_its_frontier_only(spark):
+    def files(sources):
+        return spark.createDataFrame([("r", p, c) for p, c in sources.items()], "root string, path string, content string")
+
+    sources = {f"f{i}.py": f"class C{i}(C{(i * 7) % 300}):\n    pass\n" for i in range(300)}
+    old = build_index(files(sources))
+    # C5 goes and D5 comes: only who used C5, and the file itself, is looked at.
+    sources["f5.py"] = "class D5(C0):\n    pass\n"
+    tables, _ = incremental_update(old, files(sources))
+    users = {f"f{i}.py" for i in range(300) if (i * 7) % 300 == 5}
+    assert {r.path for r in tables["resolved"].collect()} == users | {"f5.py"}
+    # The same declarations further down concern nobody else.
+    sources["f9.py"] = "\n\n" + sources["f9.py"]
+    again, _ = incremental_update(tables, files(sources))
+    assert {r.path for r in again["resolved"].collect()} == {"f9.py"}
+    same_tables(again, build_index(files(sources)), ("symbols", "edges"))
