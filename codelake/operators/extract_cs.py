@@ -840,8 +840,8 @@ def _imports() -> Column:
     return F.transform(found, entry)
 
 
-def _structured(files: DataFrame) -> DataFrame:
-    base = files.select("root", "path", file_id().alias("file_id"), "content")
+def _structured(files: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    base = files.select("root", "path", file_id().alias("file_id"), "content", *(keep or []))
     for columns in (_line_columns, _statement_columns, _container_columns, _scope_columns, _member_columns):
         base = with_all(base, columns())
     return base
@@ -882,12 +882,16 @@ def _hints() -> Column:
     return _numbered(F.concat(*[part() for part in HINT_PARTS.values()]))
 
 
-def parse_csharp(files: DataFrame) -> DataFrame:
-    """``files(root, path, content)`` -> one row per file with nodes, imports, hints."""
-    return with_all(_structured(files), _parent_columns()).select(
+def parse_csharp(files: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """``files(root, path, content)`` -> one row per file with nodes, imports, hints.
+
+    The columns ``keep`` come along.
+    """
+    return with_all(_structured(files, keep), _parent_columns()).select(
         "root",
         "path",
         "file_id",
+        *(keep or []),
         F.lit("csharp").alias("language"),
         _nodes().alias("nodes"),
         _imports().alias("imports"),

@@ -261,15 +261,20 @@ def _hints() -> Column:
     return _numbered(F.flatten(F.transform(with_bases, _hints_of)))
 
 
-def parse_python(files: DataFrame) -> DataFrame:
-    """``files(root, path, content)`` -> one row per file with nodes, imports, hints."""
-    base = files.select("root", "path", file_id().alias("file_id"), "content")
+def parse_python(files: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """``files(root, path, content)`` -> one row per file with nodes, imports, hints.
+
+    The columns ``keep`` come along.
+    """
+    keep = keep or []
+    base = files.select("root", "path", file_id().alias("file_id"), "content", *keep)
     for columns in (_line_columns, _declaration_columns, _nesting_columns):
         base = with_all(base, columns())
     return base.select(
         "root",
         "path",
         "file_id",
+        *keep,
         F.lit("python").alias("language"),
         _nodes().alias("nodes"),
         _imports().alias("imports"),

@@ -186,22 +186,30 @@ def config_files(files: DataFrame) -> DataFrame:
     )
 
 
+def brace_surplus(content="content") -> Column:
+    """Opening braces without a closing one in C#-like code; negative if some are missing."""
+    code = code_text(content)
+    return F.length(F.replace(code, F.lit("}"), F.lit(""))) - F.length(F.replace(code, F.lit("{"), F.lit("")))
+
+
 def parse_diagnostics(files: DataFrame) -> DataFrame:
     """``files(root, path, language, content)``: failures to read or parse, as rows.
 
     Missing content is a read error. Braces of a C#-like file that do not pair
     up make it partial; the code tells which side is missing.
     """
-    code = code_text()
-    surplus = F.length(F.replace(code, F.lit("}"), F.lit(""))) - F.length(
-        F.replace(code, F.lit("{"), F.lit(""))
+    return diagnostics_of(
+        files.select(
+            "root", "path", file_id().alias("file_id"), F.col("content").isNull().alias("unread"),
+            F.when(F.col("language") == "csharp", brace_surplus()).alias("surplus"),
+        )
     )
-    rows = files.select(
-        "root", "path", file_id().alias("file_id"),
-        F.col("content").isNull().alias("_unread"),
-        F.when(F.col("language") == "csharp", surplus).alias("_surplus"),
-    ).filter(F.col("_unread") | (F.coalesce("_surplus", F.lit(0)) != 0))
-    unread = F.col("_unread")
+
+
+def diagnostics_of(files: DataFrame) -> DataFrame:
+    """The diagnostics of ``files(root, path, file_id, unread, surplus)``, which need no content any more."""
+    rows = files.filter(F.col("unread") | (F.coalesce("surplus", F.lit(0)) != 0))
+    unread = F.col("unread")
     return rows.select(
         "root", "path",
         F.concat_ws(
@@ -210,11 +218,11 @@ def parse_diagnostics(files: DataFrame) -> DataFrame:
         F.when(unread, "Error").otherwise("Warning").alias("severity"),
         F.when(unread, "Indexing").otherwise("ParserAdapter").alias("source"),
         F.when(unread, "FILE_READ_ERROR")
-        .when(F.col("_surplus") > 0, "CS1513")
+        .when(F.col("surplus") > 0, "CS1513")
         .otherwise("CS1022")
         .alias("code"),
         F.when(unread, "Could not read file: no content")
-        .when(F.col("_surplus") > 0, "} expected")
+        .when(F.col("surplus") > 0, "} expected")
         .otherwise("Type or namespace definition, or end-of-file expected")
         .alias("message"),
     )

@@ -14,12 +14,12 @@ from codelake.operators.extract_py import (
     inline_hints, inline_imports, inline_nodes, parse_python,
 )
 from codelake.operators.inventory import detect_language, eligibility
-from codelake.operators.manifests import parse_diagnostics
+from codelake.operators.manifests import brace_surplus, diagnostics_of
 from codelake.operators.resolve import resolve_references
 from codelake.operators.symbols import project_symbols, symbol_occurrences
 
-# language -> (files(root, path, content) -> parsed rows). Add a language here.
-PARSERS: dict[str, Callable[[DataFrame], DataFrame]] = {
+# language -> function of files(root, path, content) and the columns to keep, to parsed rows. Add a language here.
+PARSERS: dict[str, Callable[[DataFrame, list[str]], DataFrame]] = {
     "python": parse_python,
     "csharp": parse_csharp,
 }
@@ -51,23 +51,34 @@ def inventory(files: DataFrame) -> DataFrame:
     )
 
 
-def parse_corpus(files: DataFrame) -> DataFrame:
-    """Parsed rows of all eligible files of a known language.
+def content_pass(known: DataFrame) -> DataFrame:
+    """The file records with all that their content tells: one scan, whatever the number of languages.
 
-    ``files`` has ``language`` and ``eligibility``; stored partitioned by
-    language, each parser reads only its own partition.
+    A row passes every parser in turn, with its content for its own language
+    and nothing for the others. Adds ``unread``, ``surplus`` (of braces) and the
+    nodes, imports and hints of eligible files; the content goes.
     """
-    out = None
-    for language, parse in PARSERS.items():
-        part = parse(
-            files.filter(
-                (F.col("language") == language)
-                & (F.col("eligibility") == "Eligible")
-                & F.col("content").isNotNull()
-            )
-        )
-        out = part if out is None else out.unionByName(part)
-    return out
+    text, language = F.col("_text"), F.col("_language")
+    readable = (F.col("eligibility") == "Eligible") & text.isNotNull()
+    rows = known.withColumnsRenamed({"content": "_text", "language": "_language"}).drop("file_id")
+    keep = [c for c in rows.columns if c not in ("root", "path")]
+    for name, parse in PARSERS.items():
+        mine = F.when(readable & (language == name), text).otherwise(F.lit(""))
+        rows = parse(rows.withColumn("content", mine), keep).withColumn(f"_{name}", F.struct("nodes", "imports", "hints"))
+        rows = rows.drop("file_id", "language", "nodes", "imports", "hints")
+        keep.append(f"_{name}")
+
+    def parsed(part: str) -> Column:
+        found = F.coalesce(*[F.when(readable & (language == name), F.col(f"_{name}")[part]) for name in PARSERS])
+        return found.alias(part)
+
+    records = [c for c in known.columns if c not in ("root", "path", "file_id", "content", "language")]
+    return rows.select(
+        "root", "path", file_id().alias("file_id"), language.alias("language"), *records,
+        text.isNull().alias("unread"),
+        F.when(language == "csharp", brace_surplus(text)).alias("surplus"),
+        parsed("nodes"), parsed("imports"), parsed("hints"),
+    )
 
 
 def relations(parsed: DataFrame) -> dict[str, DataFrame]:
@@ -115,20 +126,24 @@ def read_uses(uses: DataFrame, keys: DataFrame) -> DataFrame:
     return uses.filter(F.col("bucket").isin(buckets)).join(keys, ["root", "name_key"], "left_semi")
 
 
+def file_tables(read: DataFrame) -> dict[str, DataFrame]:
+    """File records and diagnostics of a ``content_pass``."""
+    tried = read.filter(F.col("parse_status").isin("Success", "Failed"))
+    records = read.drop("unread", "surplus", "nodes", "imports", "hints")
+    return {
+        "files": with_parse_status(records, diagnostics_of(read.select("root", "path", "file_id", "unread", "surplus"))),
+        "diagnostics": diagnostics_of(tried.select("root", "path", "file_id", "unread", "surplus")),
+    }
+
+
 def build_index(files: DataFrame) -> dict[str, DataFrame]:
     """``files(root, path, content)`` of any number of repositories -> all relations.
 
-    The content is read once for parsing; the parsed rows are written to the
-    shared folder, and everything after works on them.
+    The content is read once; what it tells is written to the shared folder,
+    and everything after works on that.
     """
-    known = inventory(files)
-    parsed = stored(parse_corpus(known), "parsed")
-    tables = link(relations(parsed))
-    tables["files"] = with_parse_status(known.drop("content"), parse_diagnostics(known))
-    tables["diagnostics"] = parse_diagnostics(
-        known.filter(F.col("parse_status").isin("Success", "Failed"))
-    )
-    return tables
+    read = stored(content_pass(inventory(files)), "parsed")
+    return {**link(relations(read)), **file_tables(read)}
 
 
 def with_parse_status(files: DataFrame, diagnostics: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from codelake.operators import extract_cs as CS
 from codelake.operators import extract_py as PY
 from codelake.operators.resolve import resolve_references
 from codelake.operators.trees import file_outline
-from codelake.plans.index import build_index
+from codelake.plans.index import build_index, content_pass, inventory
 from codelake.plans.refresh import incremental_update
 
 ANIMALS = """import os
@@ -462,3 +462,14 @@ def test_one_changed_file_resolves_its_frontier_only(spark):
     again, _ = incremental_update(tables, files(sources))
     assert {r.path for r in again["resolved"].collect()} == {"f9.py"}
     same_tables(again, build_index(files(sources)), ("symbols", "edges"))
+
+
+def test_content_is_read_once(spark, tmp_path):
+    rows = [("r", "a.cs", "class A { }\n"), ("r", "b.py", "class B(A):\n    pass\n"), ("r", "c.md", "{"), ("r", "bad.cs", "class A {\n")]
+    spark.createDataFrame(rows, "root string, path string, content string").write.parquet(f"{tmp_path}/corpus")
+    files = spark.read.parquet(f"{tmp_path}/corpus")
+    plan = content_pass(inventory(files))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+    for name, df in build_index(files).items():
+        assert "FileScan" in df._jdf.queryExecution().executedPlan().toString()
+        assert not any(f"{tmp_path}/corpus" in f for f in df.inputFiles()), name
