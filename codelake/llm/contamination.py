@@ -194,11 +194,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with their own columns, that are not contaminated."""
+    """The rows of ``docs`` that are not contaminated, with all their columns and values, whatever their names."""
     key = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
-    texts = docs.select(key.alias("_key"), F.col("text"))
-    found = _report(texts, benchmark, "_key").where("contaminated").select(F.col("id").alias("_key")).distinct()
+    texts = docs.select(key.alias("key"), F.col("text"))
+    found = _report(texts, benchmark, "key").where("contaminated").select(F.col("id").alias("key")).distinct()
     found = Stored(docs.sparkSession).table(found, "contaminated")
     if found.count() * 80 <= BROADCAST_BYTES:
         found = F.broadcast(found)
-    return docs.withColumn("_key", key).join(found, "_key", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    # The rows travel in one column, so that no name of theirs meets one of ours.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("key"))
+    return rows.join(found, "key", "left_anti").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

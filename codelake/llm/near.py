@@ -13,9 +13,11 @@ Equal texts are one node. In each bucket of a band all texts are aligned with
 one leader, the text with most company over all bands. The texts that a leader
 was aligned with are its group, and in rounds further texts of a group lead,
 four times as many in each round up to a bound per round, until a group lies in
-one class or is used up. Each task holds the leaders of a round and a chunk of a
-group, counts common shingles, aligns the pairs that have enough of them, and
-returns links only. A text leaves its group if its differences to the leader
+one class or is used up. Each task holds a chunk of a round's leaders and a chunk
+of a group, both bounded in bytes (or one text, if that is longer), counts common
+shingles, aligns the pairs that have enough of them, and returns links only.
+Leaders are the texts with most room, found by salted rounds of ranking, so a
+group may hold any share of all rows. A text leaves its group if its differences to the leader
 prove that it has no partner left there: linked texts share most of their
 differences, so those that a text alone has keep it apart from all others. No
 candidate is dropped otherwise, and texts in one class are not compared again.
@@ -27,7 +29,8 @@ A null or empty text, or one without words, is equal only to texts with the
 same bytes (null and empty count as equal). A text of fewer than five words has
 one shingle. Repeated rows are copies of one another. A class is named by its
 least document id; the row with that id stays, and of several such rows one.
-An empty table gives an empty result. Other columns are kept by ``kept_rows``.
+An empty table gives an empty result. ``kept_rows`` keeps all other columns with
+their values, whatever their names.
 """
 
 from __future__ import annotations
@@ -41,6 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from codelake.functions.skew import first_rows, lookup_join
 from codelake.functions.storage import Stored
 from codelake.llm.components import components
 from codelake.llm.spread import bitmap, plain
@@ -51,8 +55,11 @@ SIMILARITY = 0.8
 BANDS = 16
 SKETCHES_A_BAND = 2
 BITS = 24
-#: Leaders of a group in the second round, and at most; texts of a group in one task.
-LEADERS, MOST_LEADERS, CHUNK = 256, 4096, 1000
+#: Leaders of a group in the second round, and at most; texts of a group in one task, and bytes of texts and of leaders.
+LEADERS, MOST_LEADERS, CHUNK, CHUNK_BYTES = 256, 4096, 1000, 16 << 20
+#: A ranking round leaves the leaders of this many times as many texts.
+FUNNEL = 4
+HOT_ROWS = 2000
 
 
 def shingles(block: Block) -> tuple[np.ndarray, np.ndarray]:
@@ -272,10 +279,21 @@ def _room(compared: DataFrame) -> DataFrame:
         .where("size = 1").groupBy("leader", "node").agg(F.count(F.lit(1)).alias("alone"))
     )
     return compared.join(alone, ["leader", "node"], "left").select(
-        F.col("leader").alias("bucket"), "node", (F.col("n") / 9 - F.coalesce("alone", F.lit(0))).alias("room")
+        F.col("leader").alias("bucket"), "node", "n", (F.col("n") / 9 - F.coalesce("alone", F.lit(0))).alias("room")
     )
 
 
+def _leaders(sized: DataFrame, lead: int) -> DataFrame:
+    """The ``lead`` texts of each group with most room, with their ``rank``; no task ranks a large group."""
+    order = [F.desc("room"), "node"]
+    rows = sized.select("bucket", "node", "room", "n", "size")
+    for divisor in (FUNNEL, FUNNEL**2):
+        parts = F.ceil(F.col("size") / (divisor * lead))
+        salted = rows.withColumn("part", F.pmod(F.xxhash64("node"), parts))
+        rows = first_rows(salted, ["bucket", "part"], order, lead).drop("part", "rank")
+    return first_rows(rows, ["bucket"], order, lead).select("bucket", "node", "n", "rank")
+
+
 def classes_of_texts(docs: DataFrame, sketched: DataFrame, store: Stored) -> DataFrame:
     """``node`` and ``label`` of every text that is linked to another."""
     texts = sketched.where("n > 0").groupBy("key").agg(F.first("bands").alias("bands"))
@@ -301,20 +319,32 @@ def classes_of_texts(docs: DataFrame, sketched: DataFrame, store: Stored) -> Dat
     labels = components(edges, store)
     while True:
         most = group.groupBy("bucket").agg(F.max("room").alias("most"))
-        able = group.join(most, "bucket").where("room + most >= -1e-9").drop("most")
+        able = lookup_join(group, most, ["bucket"], "inner", HOT_ROWS).where("room + most >= -1e-9").drop("most")
         able = able.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         live = (
-            able.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size"))
-            .where("low <> high").select("bucket", F.ceil(F.col("size") / CHUNK).alias("chunks"))
+            able.groupBy("bucket").agg(
+                F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("total")
+            )
+            .where("low <> high")
+            .select("bucket", "size", F.greatest(F.ceil(F.col("size") / CHUNK), F.ceil(F.col("total") * 8 / CHUNK_BYTES)).alias("chunks"))
         )
-        order = Window.partitionBy("bucket").orderBy(F.desc("room"), "node")
-        ranked = able.join(live, "bucket").withColumn("rank", F.row_number().over(order))
-        group = store.table(ranked.join(sequences.withColumnRenamed("key", "node"), "node"), "group")
-        if group.isEmpty():
+        sized = store.table(lookup_join(able, live, ["bucket"], "inner", HOT_ROWS), "sized")
+        if sized.isEmpty():
             return labels
-        members = group.withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks"))
-        leaders = group.where(F.col("rank") <= lead).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-        met = members.groupBy("bucket", "chunk").cogroup(leaders.groupBy("bucket", "chunk")).applyInPandas(_meet, "a binary, b binary")
+        first = store.table(_leaders(sized, lead), "leaders")
+        halls = first.groupBy("bucket").agg(F.ceil(F.sum("n") * 8 / CHUNK_BYTES).alias("halls"))
+        ranked = lookup_join(sized, halls, ["bucket"], "inner", HOT_ROWS).join(first.drop("n"), ["bucket", "node"], "left")
+        ranked = ranked.withColumn("rank", F.coalesce(F.col("rank").cast("long"), F.lit(2**62)))
+        group = store.table(ranked.join(sequences.withColumnRenamed("key", "node"), "node"), "group")
+        chunk, hall = F.pmod(F.xxhash64("node"), "chunks"), F.pmod(F.xxhash64("node"), "halls")
+
+        def all_of(count: str):
+            return F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
+
+        members = group.withColumn("chunk", chunk).withColumn("hall", all_of("halls"))
+        leaders = group.where(F.col("rank") <= lead).withColumn("hall", hall).withColumn("chunk", all_of("chunks"))
+        keys = ["bucket", "chunk", "hall"]
+        met = members.groupBy(*keys).cogroup(leaders.groupBy(*keys)).applyInPandas(_meet, "a binary, b binary")
         met = store.table(met, "met")
         if not met.isEmpty():
             # Links are between classes from here on: the labels are joined, and every text follows its label.
@@ -326,7 +356,7 @@ def classes_of_texts(docs: DataFrame, sketched: DataFrame, store: Stored) -> Dat
             labels = name.join(up, "label", "left").select("node", F.coalesce("_top", "label").alias("label"))
             alone = merged.join(name, "node", "left_anti")
             labels = store.table(labels.unionByName(alone), "labels")
-        group = group.where(F.col("rank") > lead).drop("rank", "label", "chunks", "seq")
+        group = group.where(F.col("rank") > lead).select("bucket", "node", "n", "room")
         lead = min(4 * lead, MOST_LEADERS)
 
 
@@ -345,22 +375,20 @@ def near_classes(docs: DataFrame) -> DataFrame:
 def kept_rows(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with their own columns: one of each class."""
     member = near_classes(docs)
+    named = F.col("doc_id").eqNullSafe(F.col("class_id"))
+    first = member.where(named).groupBy("label").agg(F.min("key").alias("first"))
     winner = (
-        member.where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-        .groupBy("label")
-        .agg(F.min("key").alias("_key"))
-        .join(member.select("label", "key", "doc_id", "class_id"), "label")
-        .where(F.col("key") == F.col("_key"))
-        .where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-        .groupBy("_key", F.col("doc_id").alias("_id"))
-        .agg(F.count(F.lit(1)).alias("_rows"))
+        member.where(named).join(first, "label").where("key = first")
+        .groupBy("key", F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("rows"))
     )
     winner = Stored(docs.sparkSession).table(winner, "winners")
+    # The rows travel in one column, so that no name of theirs meets one of ours.
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    keyed = docs.withColumn("_key", F.unhex(F.md5(text)))
-    kept = keyed.join(winner, (keyed["_key"] == winner["_key"]) & keyed["doc_id"].cast("long").eqNullSafe(winner["_id"]))
-    kept = kept.select(*[keyed[c] for c in docs.columns], keyed["_key"].alias("_key"), "_rows")
-    several = kept.where("_rows > 1").drop("_rows")
-    if winner.where("_rows > 1").isEmpty():
-        return kept.select(*docs.columns)
-    return kept.where("_rows = 1").select(*docs.columns).unionByName(several.dropDuplicates(["_key"]).select(*docs.columns))
+    keyed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.unhex(F.md5(text)).alias("own_key"),
+        F.col("doc_id").cast("long").alias("own_id"),
+    )
+    kept = keyed.join(winner, (F.col("own_key") == F.col("key")) & F.col("own_id").eqNullSafe(F.col("id")))
+    if not winner.where("rows > 1").isEmpty():
+        kept = kept.where("rows = 1").unionByName(kept.where("rows > 1").dropDuplicates(["own_key"]))
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from codelake.functions.storage import Stored
-from codelake.llm import components, near
+from codelake.llm import components, contamination, near
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = {i: i + 32 for i in range(65, 91)}
@@ -207,3 +207,37 @@ def test_nested_edits_leave_room(spark):
         room = {bytes(r["node"]): r["room"] for r in near._room(spark.createDataFrame(rows, near._COMPARED)).collect()}
         assert not linked or room[b"x"] + room[b"y"] >= 0
         assert linked == (shared > 888)
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    """Names that stages use themselves, and one with a dot, come out with their values."""
+    base = "the quick brown fox jumps over the lazy dog and runs far away from here today"
+    texts = [base, base, base + " again", "", None, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron"]
+    names = ["_key", "_rows", "_id", "label", "a.b", "key", "row", "own_key", "rows", "n", "bucket", "hash"]
+    rows = [(i, t, *[f"{n}{i}" for n in names]) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, DOCS + "".join(f", `{n}` string" for n in names))
+    kept = near.kept_rows(docs)
+    assert kept.columns == docs.columns
+    got = {tuple(r) for r in kept.collect()}
+    assert got <= set(rows) and {r[0] for r in got} == {i for i, c in classes([(i, t) for i, t, *_ in rows]) if i == c}
+    benchmark = spark.createDataFrame([(1, texts[5])], "item_id long, text string")
+    clean = contamination.clean_rows(docs, benchmark)
+    assert clean.columns == docs.columns and {tuple(r) for r in clean.collect()} == {r for r in rows if r[0] != 5}
+
+
+def test_large_group_in_small_chunks(spark, monkeypatch):
+    """Leaders and texts in chunks of few bytes, ranked in salted rounds, give the same classes."""
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(400)]
+    core = list(rng.choice(words, 60))
+    rows = []
+    for i in range(260):
+        w = list(core)
+        for at in rng.choice(60, rng.integers(0, 5), replace=False):
+            w[at] = f"x{rng.integers(0, 60)}"
+        rows.append((i, " ".join(w)))
+    for name, value in (("LEADERS", 8), ("MOST_LEADERS", 16), ("CHUNK", 20), ("CHUNK_BYTES", 2000), ("HOT_ROWS", 5)):
+        monkeypatch.setattr(near, name, value)
+    monkeypatch.setattr("codelake.functions.skew.fits_broadcast", lambda df: False)
+    found = near.near_classes(spark.createDataFrame(rows, DOCS)).select("doc_id", "class_id").collect()
+    assert sorted(tuple(r) for r in found) == sorted(classes(rows))
