@@ -173,19 +173,102 @@ SYMBOL_SHAPES = {
 }
 
 
+# Slots of the word filter for each requested word, and how many slots it may have.
+SLOTS_A_WORD, MOST_SLOTS = 32, 1 << 22
+
+
+def _lines_with_words(files: DataFrame, words: DataFrame, ignore_case: bool) -> DataFrame:
+    """Lines that may hold one of ``words(_key)``, tested inside the file row.
+
+    The words set slots of a table that becomes a literal; a line without a word
+    whose slot is set is never unnested. Words beyond the table's bound are too
+    many to filter by, so all lines come.
+    """
+    known = words.select("_key").distinct()
+    count = known.limit(MOST_SLOTS // SLOTS_A_WORD + 1).count()
+    slots = 1 << (max(count, 1) * SLOTS_A_WORD - 1).bit_length()
+    if slots > MOST_SLOTS:
+        return explode_lines(files)
+
+    def slot(word: Column) -> Column:
+        return F.pmod(F.xxhash64(word), F.lit(slots)).cast("int")
+
+    table = bytearray(slots)
+    for row in known.select(slot(F.col("_key")).alias("s")).distinct().collect():
+        table[row["s"]] = 1
+    flags = F.lit(bytes(table))
+
+    def wanted(x: Column) -> Column:
+        found = F.regexp_extract_all(x["text"], F.lit(WORD), F.lit(0))
+        return F.exists(
+            found, lambda w: F.substring(flags, slot(F.lower(w) if ignore_case else w) + 1, F.lit(1)) == F.lit(b"\x01")
+        )
+
+    lines = F.transform(physical_lines(), lambda t, i: F.struct((i + 1).alias("line"), t.alias("text")))
+    return unnest(
+        files.filter(F.col("content") != ""), ["root", "path", file_id().alias("file_id")], F.filter(lines, wanted), "line"
+    )
+
+
+def _whole_name(met: DataFrame, begin: Column, ignore_case: bool) -> DataFrame:
+    """Matches of a first word at ``begin`` that go on to the whole ``name``; adds ``_whole``."""
+    def fold(c: Column) -> Column:
+        return F.lower(c) if ignore_case else c
+
+    size = F.length("name")
+    whole = F.substring(F.col("text"), begin + 1, size)
+    after = F.substring(F.col("text"), begin + size + 1, F.lit(1))
+    ends_in_word = F.col("name").rlike(r"(?U)\w$")
+    fits = (begin >= 0) & (fold(whole) == fold(F.col("name"))) & ~(ends_in_word & after.rlike(r"(?U)\w"))
+    return met.where(fits).withColumn("_whole", whole)
+
+
+def _by_first_word(names: DataFrame, ignore_case: bool) -> DataFrame:
+    """Distinct names with their first word ``_key`` and what stands before it; names without a word go."""
+    first = F.regexp_extract("name", WORD, 0)
+    key = F.lower(first) if ignore_case else first
+    return (
+        names.select("name").where(first != "").distinct()
+        .select("name", key.alias("_key"), (F.regexp_instr("name", F.lit(WORD)) - 1).alias("_lead"))
+    )
+
+
 def search_symbol(
     files: DataFrame, names: DataFrame, kind: str = "any", ignore_case: bool = False
 ) -> DataFrame:
     """Declaration-like uses of many identifiers ``names(name)`` at once.
 
-    The corpus is cut into identifier-shaped matches of the kind once and
-    joined to the names on equality, instead of one pass per name.
+    The lines that hold a first word of the names are cut into
+    identifier-shaped matches of the kind once and joined to the names on
+    equality, instead of one pass per name. A name of several words
+    (``Foo.Bar``) is met by its first word and then compared as a whole; one
+    that begins with another character than a word's is found for ``any`` only.
     """
     head, tail = SYMBOL_SHAPES[kind]
-    shape = rf"(?U){'(?i)' if ignore_case else ''}{head}(\w+){tail}"
-    found = _matches(explode_lines(files), shape)
+    flags = rf"(?U){'(?i)' if ignore_case else ''}"
+    wanted = _by_first_word(names, ignore_case)
+    single = F.col("name").rlike(r"(?U)^\w+$")
+    lines = _lines_with_words(files, wanted, ignore_case)
+    found = _matches(lines, rf"{flags}{head}(\w+){tail}")
     word = F.regexp_extract(F.col("match"), r"(?U)(\w+)(?:\s*[({])?$", 1)
-    return _join_names(found.withColumn("_word", word), names, ignore_case)
+    plain = _join_names(found.withColumn("_word", word), wanted.where(single).select("name"), ignore_case)
+    several = wanted.where(~single)
+    if several.isEmpty():
+        return plain
+    if kind == "any":
+        return plain.unionByName(find_references_text(files, several.select("name"), ignore_case).select(*plain.columns))
+    begun = _matches(lines, rf"{flags}{head}\w+")
+    last = F.regexp_extract("match", r"(?U)\w+$", 0)
+    begun = begun.withColumn("_key", F.lower(last) if ignore_case else last)
+    met = request_join(begun, several.where("_lead = 0"), ["_key"], spread=F.xxhash64("file_id", "line", "column"))
+    begin = F.col("column") + F.length("match") - F.length(last)
+    whole = _whole_name(met.withColumn("_begin", begin), F.col("_begin"), ignore_case)
+    rest = F.substring(F.col("text"), F.col("_begin") + F.length("name") + 1, F.length("text"))
+    ending = F.regexp_extract(rest, rf"(?U)^(?:{tail})", 0)
+    if tail != r"\b":
+        whole = whole.where(ending != "")
+    before = F.substring(F.col("text"), F.col("column") + 1, F.col("_begin") - F.col("column"))
+    return plain.unionByName(whole.withColumn("match", F.concat(before, "_whole", ending)).select(*plain.columns))
 
 
 def find_references_text(
@@ -195,27 +278,16 @@ def find_references_text(
 
     A name is a run of words and the characters between them (``Foo.Bar``). All
     names meet the words of the text by their first word; the rest of a longer
-    name is then compared in the line. Null names and names without a word are
-    found nowhere.
+    name is then compared in the line. Only lines that may hold a first word are
+    unnested. Null names and names without a word are found nowhere.
     """
-    def fold(c: Column) -> Column:
-        return F.lower(c) if ignore_case else c
-
-    first = F.regexp_extract("name", WORD, 0)
-    wanted = (
-        names.select("name").where(first != "").distinct()
-        .select("name", fold(first).alias("_key"), (F.regexp_instr("name", F.lit(WORD)) - 1).alias("_lead"))
-    )
-    found = _matches(explode_lines(files), WORD).withColumn("_key", fold(F.col("match")))
+    wanted = _by_first_word(names, ignore_case)
+    found = _matches(_lines_with_words(files, wanted, ignore_case), WORD)
+    found = found.withColumn("_key", F.lower("match") if ignore_case else F.col("match"))
     met = request_join(found, wanted, ["_key"], spread=F.xxhash64("file_id", "line", "column"))
-    begin, size = F.col("column") - F.col("_lead"), F.length("name")
-    whole = F.substring(F.col("text"), begin + 1, size)
-    after = F.substring(F.col("text"), begin + size + 1, F.lit(1))
-    ends_in_word = F.col("name").rlike(r"(?U)\w$")
-    return (
-        met.where((begin >= 0) & (fold(whole) == fold(F.col("name"))) & ~(ends_in_word & after.rlike(r"(?U)\w")))
-        .withColumn("match", whole).withColumn("column", begin.cast("int")).drop("_key", "_lead")
-    )
+    begin = F.col("column") - F.col("_lead")
+    whole = _whole_name(met, begin, ignore_case)
+    return whole.withColumn("match", F.col("_whole")).withColumn("column", begin.cast("int")).drop("_key", "_lead", "_whole")
 
 
 def _join_names(found: DataFrame, names: DataFrame, ignore_case: bool) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from codelake import fixed_values as fv
 from codelake.functions.columns import base_name, parent_path, unnest_values
 from codelake.functions.skew import first_rows, lookup_join
+from codelake.functions.storage import stored
 from codelake.operators.symbols import container_counts
 
 
@@ -96,13 +97,52 @@ def tree_totals(files: DataFrame) -> DataFrame:
 # ---- outline ----------------------------------------------------------------
 
 
-def outline_depth(nodes: DataFrame) -> DataFrame:
-    """Depth of each node; the parser notes it from the scopes open at the node."""
-    return nodes.select(
-        "root", "path", "node_id", "parent_node_id", "qualified_path", "depth"
+def ancestors(nodes: DataFrame) -> DataFrame:
+    """``root, path, node_id``, ``ancestors`` (ids from the outermost inwards), ``depth`` and ``cyclic``, from parent ids alone.
+
+    Pointer doubling: each round joins the chains of 1, 2, 4, ... ancestors to
+    themselves, so the rounds grow with the logarithm of the depth. A parent
+    that is not among the nodes ends a chain. Where parents go round in a circle
+    the chain has no end: ``cyclic`` is true, depth and ancestors are null.
+    Several nodes of one id count as one, with the least parent that is given.
+    """
+    key = ["root", "path", "node_id"]
+    one = nodes.groupBy(*key).agg(F.min("parent_node_id").alias("up"))
+    present = one.select("root", "path", F.col("node_id").alias("up"), F.lit(True).alias("_there"))
+    chains = stored(
+        lookup_join(one, present, ["root", "path", "up"]).select(
+            *key, F.when(F.col("_there"), F.col("up")).alias("up"),
+            F.when(F.col("_there"), F.array("up")).otherwise(F.array().cast("array<string>")).alias("above"),
+        ),
+        "chains",
+    )
+    most = chains.groupBy("root", "path").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    reach = 1
+    while reach <= most and not chains.where("up is not null").isEmpty():
+        further = chains.select(
+            "root", "path", F.col("node_id").alias("up"), F.col("up").alias("_up"), F.col("above").alias("_above")
+        )
+        chains = stored(
+            lookup_join(chains, further, ["root", "path", "up"]).select(
+                *key, F.col("_up").alias("up"),
+                F.concat("above", F.coalesce("_above", F.array().cast("array<string>"))).alias("above"),
+            ),
+            "chains",
+        )
+        reach *= 2
+    cyclic = F.col("up").isNotNull()
+    return chains.select(
+        *key, F.when(~cyclic, F.reverse("above")).alias("ancestors"),
+        F.when(~cyclic, F.size("above")).cast("int").alias("depth"), cyclic.alias("cyclic"),
     )
 
 
+def outline_depth(nodes: DataFrame) -> DataFrame:
+    """Depth of each node and the chain of nodes around it, from parent ids (see ``ancestors``)."""
+    rows = nodes.select("root", "path", "node_id", "parent_node_id", "qualified_path")
+    return rows.join(ancestors(nodes), ["root", "path", "node_id"], "left")
+
+
 def file_outline(
     nodes: DataFrame, max_depth: int | None = None, include_non_semantic: bool = True
 ) -> DataFrame:

@@ -653,6 +653,21 @@ def _(spark, sf):
     )
 
 
+@add("outline_ancestors", expect("""select path, qualified_path, chain as ancestors, depth::bigint as depth, false as cyclic from (
+    with recursive up as (
+      select path, qualified_path, start_line, parent_path, 0 as depth, '' as chain from nodes
+      union all
+      select u.path, u.qualified_path, u.start_line, n.parent_path, u.depth + 1, n.name || case when u.chain = '' then '' else '>' || u.chain end
+      from up u join nodes n on n.path = u.path and n.qualified_path = u.parent_path)
+    select * from up where parent_path is null) x"""))
+def _(spark, sf):
+    found = T.outline_depth(index_of(spark, sf)["nodes"])
+    names = F.transform("ancestors", lambda a: F.substring_index(a, ":", -1))
+    return found.select(
+        "path", "qualified_path", F.array_join(names, ">").alias("ancestors"), big("depth").alias("depth"), "cyclic"
+    )
+
+
 @add("namespace_tree", expect("""select name, qualified_path as qualified_name, cast(null as varchar) as parent, 1::bigint as depth,
   (select count(*) from symbols c where c.root = s.root and regexp_matches(c.qualified_path, '^' || s.qualified_path || '[.][^.]+$'))::bigint as symbol_count,
   (select count(distinct c.path) from symbols c where c.root = s.root and regexp_matches(c.qualified_path, '^' || s.qualified_path || '[.][^.]+$'))::bigint as file_count

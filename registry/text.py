@@ -68,6 +68,15 @@ def _(spark, sf):
     return found.select("name", "path", big("line").alias("line"), big("column").alias("col"), "match")
 
 
+@add("search_symbol_dotted", """select 'src/' || reg || '/Customer' || ks || '.cs' as path, 2::bigint as line, 6::bigint as col, 'Shop.' || reg as name from
+    (select c_custkey as k, cast(c_custkey as varchar) as ks, replace(r_name, ' ', '_') as reg from {customer} join {nation} on c_nationkey = n_nationkey join {region} on n_regionkey = r_regionkey) where k % 3 <> 0
+  union all select 'src/' || replace(r_name, ' ', '_') || '/Account.cs', 1, 10, 'Shop.' || replace(r_name, ' ', '_') from {region}""")
+def _(spark, sf):
+    regions = C.table(spark, sf, "region").select(F.concat(F.lit("Shop."), F.replace("r_name", F.lit(" "), F.lit("_"))).alias("name"))
+    found = S.search_symbol(C.corpus(spark, sf, C.SOURCE_CS), regions)
+    return found.select("path", big("line").alias("line"), big("column").alias("col"), "name")
+
+
 @add("search_symbol", """select 'class' as kind, 'src/' || reg || '/Customer' || ks || '.cs' as path, 6::bigint as line, 11::bigint as col, 'Customer' || ks as name from
     (select cast(c_custkey as varchar) as ks, replace(r_name, ' ', '_') as reg from {customer} join {nation} on c_nationkey = n_nationkey join {region} on n_regionkey = r_regionkey)
   union all select 'method', 'src/' || reg || '/Customer' || ks || '.cs', 10, 15, 'Customer' || ks from

@@ -473,3 +473,26 @@ def test_content_is_read_once(spark, tmp_path):
     for name, df in build_index(files).items():
         assert "FileScan" in df._jdf.queryExecution().executedPlan().toString()
         assert not any(f"{tmp_path}/corpus" in f for f in df.inputFiles()), name
+
+
+def test_ancestors_from_parent_ids(spark):
+    from codelake.operators.trees import ancestors
+
+    rng = random.Random(9)
+    parent = {f"n{i}": f"n{rng.randrange(i)}" if i and rng.random() < 0.9 else None for i in range(200)}
+    parent |= {f"d{i}": f"d{i - 1}" if i else None for i in range(150)}
+    parent |= {"x0": "x2", "x1": "x0", "x2": "x1", "y": "x1", "self": "self", "orphan": "gone"}
+    rows = [("r", "a", n, p) for n, p in parent.items()] + [("r", "b", "n1", "n0"), ("r", "a", "n5", parent["n5"])]
+    got = {(r.path, r.node_id): r for r in ancestors(spark.createDataFrame(rows, "root string, path string, node_id string, parent_node_id string")).collect()}
+    assert len(got) == len(parent) + 1
+    for n in parent:
+        chain, at = [], parent[n]
+        while at in parent and len(chain) <= len(parent):
+            chain.append(at)
+            at = parent[at]
+        r = got["a", n]
+        if len(chain) > len(parent):
+            assert r.cyclic and r.depth is None and r.ancestors is None
+        else:
+            assert not r.cyclic and r.ancestors == chain[::-1] and r.depth == len(chain)
+    assert got["b", "n1"].ancestors == []

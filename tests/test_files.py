@@ -277,3 +277,31 @@ def test_list_directory_is_whole_by_default(spark):
     for cap, n, cut in ((None, 600, False), (600, 600, False), (599, 599, True)):
         rows = V.list_directory(tree, cap=cap).collect()
         assert len(rows) == n and {(r["truncated"], r["total_count"]) for r in rows} == {(cut, 600)}
+
+
+def test_symbols_of_several_words(corpus, spark):
+    text = "using Foo.Bar;\nclass Foo.Bar { }\nvar x = Foo.Barn + foo.bar;\nFoo.Bar (1);\nclass  Foo\nFoo.Bar{ }\nnone here\n"
+    files = corpus({"a.cs": text, "b.cs": "", "c.cs": "nothing\n"})
+    names = spark.createDataFrame([("Foo.Bar",), ("Foo",), (None,), ("..",), ("@Foo",), ("Foo.Bar",)], "name string")
+
+    def found(kind="any", ignore_case=False):
+        return sorted((r["name"], r["line"], r["column"], r["match"]) for r in S.search_symbol(files, names, kind, ignore_case).collect())
+
+    places = [(1, 6), (2, 6), (4, 0), (6, 0)]
+    assert [x for x in found() if x[0] == "Foo.Bar"] == [("Foo.Bar", *p, "Foo.Bar") for p in places]
+    assert [(x[1], x[2]) for x in found() if x[0] == "Foo"] == [(1, 6), (2, 6), (3, 8), (4, 0), (5, 7), (6, 0)]
+    refs = sorted((r["name"], r["line"], r["column"]) for r in S.find_references_text(files, names).collect())
+    assert refs == [(x[0], x[1], x[2]) for x in found()]
+    assert found("class") == [("Foo", 2, 0, "class Foo"), ("Foo", 5, 0, "class  Foo"), ("Foo.Bar", 2, 0, "class Foo.Bar")]
+    assert [x for x in found("method") if x[0] == "Foo.Bar"] == [("Foo.Bar", 4, 0, "Foo.Bar (")]
+    assert [x for x in found("property") if x[0] == "Foo.Bar"] == [("Foo.Bar", 2, 6, "Foo.Bar {"), ("Foo.Bar", 6, 0, "Foo.Bar{")]
+    assert ("Foo.Bar", 3, 19, "foo.bar") in found("any", True)
+
+
+def test_only_lines_with_a_requested_word_are_unnested(corpus, spark):
+    lines = [f"word{i} other{i}" for i in range(5000)]
+    lines[77] = "here is Needle()"
+    names = spark.createDataFrame([("Needle",)], "name string")
+    rows = S._lines_with_words(corpus({"a.txt": "\n".join(lines)}), names.selectExpr("name as _key"), False)
+    hits = rows.count()
+    assert 1 <= hits < 1000 and [r["line"] for r in S.find_references_text(corpus({"a.txt": "\n".join(lines)}), names).collect()] == [78]
