@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codelake.functions.columns import (
-    escape_regex, physical_line_array, unnest,
-)
+from codelake.functions.alignment import common_lines
+from codelake.functions.columns import escape_regex, physical_line_array
+from codelake.functions.skew import lookup_join
+from codelake.functions.storage import stored
 
 
 def replace_text(
@@ -37,13 +41,13 @@ def replace_text(
     )
 
 
-def _ordered(edits: DataFrame, fields: list[str]) -> DataFrame:
+def _ordered(edits: DataFrame, fields: list[str], keys: list[str] | None = None) -> DataFrame:
     """The edits of each file in order.
 
     An edit list is applied one after the other to one content, so it has to
     meet in one row; it is as long as somebody wrote edits for that file.
     """
-    return edits.groupBy("root", "path").agg(
+    return edits.groupBy(*(keys or ["root", "path"])).agg(
         F.array_sort(F.collect_list(F.struct("ord", *fields))).alias("_edits")
     )
 
@@ -145,37 +149,37 @@ def normalize_line_endings(files: DataFrame, style: str = "auto") -> DataFrame:
     )
 
 
+def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        pairs = zip(batch.column("_a").to_pylist(), batch.column("_b").to_pylist(), strict=True)
+        counts = [(len(a), len(b), common_lines(a, b)) for a, b in pairs]
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column("root"), batch.column("path"),
+                pa.array([n - same for _, n, same in counts], pa.int64()), pa.array([m - same for m, _, same in counts], pa.int64()),
+            ],
+            names=["root", "path", "lines_added", "lines_removed"],
+        )
+
+
 def preview_changes(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Lines added and removed per file, as a difference of line multisets.
+    """Lines added and removed per file: those outside a longest common subsequence, so moved lines count.
 
-    Unchanged files leave after one comparison. The lines of the others are
-    counted with sign, which combines before the only shuffle of lines.
+    Unchanged files leave after one comparison. Lines become hashes before the
+    alignment (see ``common_lines``), which has no line limit. A missing or null
+    file has no lines.
     """
     both = before.select("root", "path", F.col("content").alias("_old")).join(
         after.select("root", "path", F.col("content").alias("_new")), ["root", "path"], "full"
     )
+
+    def hashes(content: str) -> Column:
+        lines = F.coalesce(physical_line_array(content), F.array().cast("array<string>"))
+        return F.transform(lines, lambda t: F.xxhash64(t))
+
     changed = both.filter(~F.col("_old").eqNullSafe(F.col("_new")))
-    empty = F.array().cast("array<string>")
-    signed = F.concat(
-        F.transform(
-            F.coalesce(physical_line_array("_old"), empty),
-            lambda t: F.struct(t.alias("text"), F.lit(-1).alias("d")),
-        ),
-        F.transform(
-            F.coalesce(physical_line_array("_new"), empty),
-            lambda t: F.struct(t.alias("text"), F.lit(1).alias("d")),
-        ),
-    )
-    per_line = (
-        unnest(changed, ["root", "path"], signed, "d")
-        .groupBy("root", "path", "text")
-        .agg(F.sum("d").alias("d"))
-    )
-    counts = per_line.groupBy("root", "path").agg(
-        F.sum(F.greatest("d", F.lit(0))).alias("lines_added"),
-        F.sum(F.greatest(-F.col("d"), F.lit(0))).alias("lines_removed"),
-    )
-    return counts
+    lines = changed.select("root", "path", hashes("_old").alias("_a"), hashes("_new").alias("_b"))
+    return lines.mapInArrow(_aligned, "root string, path string, lines_added bigint, lines_removed bigint")
 
 
 def batch_edits(files: DataFrame, edits: DataFrame) -> DataFrame:
@@ -184,6 +188,11 @@ def batch_edits(files: DataFrame, edits: DataFrame) -> DataFrame:
     Operations: replace_text, replace_lines, append_file, write_file. A file is
     changed by all of its edits or by none; an edit on an unknown path fails.
     """
+    return _edited(files, edits, ["root", "path"]).drop("original")
+
+
+def _edited(files: DataFrame, edits: DataFrame, keys: list[str]) -> DataFrame:
+    """Each file of ``keys`` with its edits applied, and its ``original`` content."""
     start = F.struct(
         F.col("content").alias("c"), F.lit(None).cast(edits.schema["ord"].dataType).alias("bad")
     )
@@ -213,18 +222,46 @@ def batch_edits(files: DataFrame, edits: DataFrame) -> DataFrame:
             F.coalesce(acc["bad"], F.when(fails, e["ord"])).alias("bad"),
         )
 
-    grouped = _ordered(edits, ["op", "old", "new", "start", "end"])
+    grouped = _ordered(edits, ["op", "old", "new", "start", "end"], keys)
     rows = grouped.join(files.select("root", "path", "content"), ["root", "path"], "left")
     first = F.element_at("_edits", 1)["ord"]
     rows = rows.withColumn("_r", F.when(F.col("content").isNotNull(), F.aggregate("_edits", start, step)))
     failed = F.col("content").isNull() | F.col("_r.bad").isNotNull()
     return rows.select(
-        "root", "path",
+        *keys,
         (~failed).alias("ok"),
         F.when(F.col("content").isNull(), first).otherwise(F.col("_r.bad")).alias("failed_ord"),
         F.size("_edits").alias("edit_count"),
         F.when(failed, F.col("content")).otherwise(F.col("_r.c")).alias("content"),
+        F.col("content").alias("original"),
+    )
+
+
+def batches(files: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``edits`` as for ``batch_edits`` with a column ``batch``: each batch as a whole or not at all.
+
+    First every file of a batch is edited by itself; then the batches with a
+    failure are told to all of their files, which go back to what they were.
+    First frame: per batch and file ``ok`` (of the file itself), ``committed`` (of
+    its batch), ``failed_ord``, ``edit_count`` and ``content``. Second: per batch
+    ``succeeded_files``, ``failed_files``, ``applied_edits`` (0 unless committed) and
+    ``committed``. Batches start from the same files and do not see each other.
+    A null batch is a batch of its own.
+    """
+    named = edits.withColumn("_batch", F.struct(F.col("batch").isNull().alias("none"), F.coalesce(F.col("batch").cast("string"), F.lit("")).alias("name")))
+    done = stored(_edited(files, named, ["_batch", "root", "path"]), "edited")
+    counts = done.groupBy("_batch").agg(
+        F.count_if("ok").alias("succeeded_files"), F.count_if(~F.col("ok")).alias("failed_files"), F.sum("edit_count").alias("_edits")
+    ).withColumn("committed", F.col("failed_files") == 0)
+    batch = F.when(~F.col("_batch.none"), F.col("_batch.name")).cast(edits.schema["batch"].dataType).alias("batch")
+    # A batch may hold most files: its flag reaches them by a join that salts hot keys.
+    flagged = lookup_join(done, counts.select("_batch", "committed"), ["_batch"], "inner", spread=F.xxhash64("root", "path"))
+    rows = flagged.select(
+        batch, "root", "path", "ok", "committed", "failed_ord", "edit_count",
+        F.when(F.col("committed"), F.col("content")).otherwise(F.col("original")).alias("content"),
     )
+    applied = F.when(F.col("committed"), F.col("_edits")).otherwise(F.lit(0)).cast("bigint")
+    return rows, counts.select(batch, "succeeded_files", "failed_files", applied.alias("applied_edits"), "committed")
 
 
 def batch_summary(results: DataFrame) -> DataFrame:

@@ -571,3 +571,27 @@ def mixed_edits(f):
 def _(spark, sf):
     f = docs(spark, sf)
     return W.batch_edits(f, mixed_edits(f)).select("path", "ok", big("failed_ord").alias("failed_ord"), "content")
+
+
+# Batches by the remainder of the id: those of every fifth remainder name a file that is not there.
+_BATCHES = """r as (select doc_id % 35 as batch, path, len(l) > 0 as ok, content as original,
+    case when len(l) > 0 then array_to_string(list_concat(list_slice(m, 1, 1), ['two'], case when len(m) > 2 then list_slice(m, 3, len(m)) else [] end), chr(10)) || chr(10) end as edited
+    from (select doc_id, path, l, content, list_transform(list_concat(l, ['tail']), lambda x: replace(x, 'tail', 'TAIL')) as m from a)
+  union all select doc_id % 35, 'gone/' || path, false, null, null from a where doc_id % 5 = 0),
+f as (select batch, bool_and(ok) as committed, count_if(ok) as good, count_if(not ok) as bad from r group by 1)"""
+
+
+def batched(spark, sf):
+    f = docs(spark, sf)
+    number = F.regexp_extract("path", r"doc_(\d+)", 1).cast("bigint")
+    return W.batches(f, mixed_edits(f).withColumn("batch", number % 35))
+
+
+@add("batches", da("select batch, path, ok, committed, case when committed then edited else original end as content from r join f using (batch)").replace("\nselect batch", ",\n" + _BATCHES + "\nselect batch", 1))
+def _(spark, sf):
+    return batched(spark, sf)[0].select("batch", "path", "ok", "committed", "content")
+
+
+@add("batch_counts", da("select batch, good::bigint as succeeded_files, bad::bigint as failed_files, (case when committed then 3 * good else 0 end)::bigint as applied_edits, committed from f").replace("\nselect batch", ",\n" + _BATCHES + "\nselect batch", 1))
+def _(spark, sf):
+    return batched(spark, sf)[1]

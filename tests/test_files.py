@@ -305,3 +305,52 @@ def test_only_lines_with_a_requested_word_are_unnested(corpus, spark):
     rows = S._lines_with_words(corpus({"a.txt": "\n".join(lines)}), names.selectExpr("name as _key"), False)
     hits = rows.count()
     assert 1 <= hits < 1000 and [r["line"] for r in S.find_references_text(corpus({"a.txt": "\n".join(lines)}), names).collect()] == [78]
+
+
+def test_a_batch_is_one_unit(corpus, spark):
+    files = corpus({"a": "one\n", "b": "two\n", "c": "three\n"})
+    schema = "batch string, root string, path string, ord int, op string, old string, new string, start int, end int"
+    edits = [
+        ("x", "repo", "a", 1, "replace_text", "one", "1", None, None), ("x", "repo", "b", 1, "append_file", None, "end", None, None),
+        ("y", "repo", "a", 1, "write_file", None, "new", None, None), ("y", "repo", "b", 1, "append_file", None, "more", None, None),
+        ("y", "repo", "b", 2, "replace_text", "absent", "z", None, None), (None, "repo", "c", 1, "replace_lines", None, "3", 1, 1),
+        ("z", "repo", "gone", 1, "write_file", None, "n", None, None), ("z", "repo", "c", 1, "write_file", None, "n", None, None),
+    ]
+    rows, counts = W.batches(files, spark.createDataFrame(edits, schema))
+    got = {(r["batch"], r["path"]): (r["ok"], r["committed"], r["failed_ord"], r["content"]) for r in rows.collect()}
+    assert got == {
+        ("x", "a"): (True, True, None, "1\n"), ("x", "b"): (True, True, None, "two\nend"),
+        ("y", "a"): (True, False, None, "one\n"), ("y", "b"): (False, False, 2, "two\n"),
+        (None, "c"): (True, True, None, "3\n"), ("z", "gone"): (False, False, 1, None), ("z", "c"): (True, False, None, "three\n"),
+    }
+    assert {tuple(r) for r in counts.collect()} == {("x", 2, 0, 2, True), ("y", 1, 1, 0, False), (None, 1, 0, 1, True), ("z", 1, 1, 0, False)}
+
+
+def test_common_lines_against_the_full_table():
+    import random
+
+    from codelake.functions.alignment import common_lines
+
+    rng = random.Random(1)
+    for _ in range(400):
+        k = rng.choice([1, 2, 3, 8, 30])
+        a, b = ([rng.randrange(k) for _ in range(rng.randint(0, 40))] for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = _next(row, x, b)
+        assert common_lines(a, b, rng.choice([1, 2, 3, 7, 64])) == row[-1]
+
+
+def _next(row, x, b):
+    out = [0]
+    for j, y in enumerate(b):
+        out.append(row[j] + 1 if x == y else max(row[j + 1], out[j]))
+    return out
+
+
+def test_moved_lines_count(corpus):
+    big = [f"line {i}" for i in range(30_000)]
+    before = {"a": "a\nb\nc\n", "same": "x\n", "gone": "1\n2\n", "big": "\n".join(big), "empty": ""}
+    after = {"a": "c\na\nb\n", "same": "x\n", "new": "1\n", "big": "\n".join([*big[100:], *big[:100], "more"]), "empty": "y"}
+    got = {r["path"]: (r["lines_added"], r["lines_removed"]) for r in W.preview_changes(corpus(before), corpus(after)).collect()}
+    assert got == {"a": (1, 1), "gone": (0, 2), "new": (1, 0), "big": (101, 100), "empty": (1, 0)}
