@@ -431,7 +431,7 @@ def test_readme_names_the_module_of_every_query():
 
     from codelake.llm.registry import QUERIES
 
-    text = (Path(__file__).parents[2] / "README.md").read_text()
+    text = (Path(__file__).parents[2] / "codelake" / "llm" / "README.md").read_text()
     table = text.split("| Query | Module | Method |")[1].split("\n\n")[0]
     rows = dict(re.findall(r"^\| `(op\w+)` \| `(\w+)` \|", table, re.M))
     assert set(rows) == set(QUERIES)
