@@ -16,8 +16,8 @@ four times as many in each round up to a bound per round, until a group lies in
 one class or is used up. Each task holds a chunk of a round's leaders and a chunk
 of a group, both bounded in bytes (or one text, if that is longer), counts common
 shingles, aligns the pairs that have enough of them, and returns links only.
-Leaders are the texts with most room, found by salted rounds of ranking, so a
-group may hold any share of all rows. A text leaves its group if its differences to the leader
+Leaders are the texts with most room; groups beyond what one task may rank are
+ranked in salted rounds, so a group may hold any share of all rows. A text leaves its group if its differences to the leader
 prove that it has no partner left there: linked texts share most of their
 differences, so those that a text alone has keep it apart from all others. No
 candidate is dropped otherwise, and texts in one class are not compared again.
@@ -57,8 +57,8 @@ SKETCHES_A_BAND = 2
 BITS = 24
 #: Leaders of a group in the second round, and at most; texts of a group in one task, and bytes of texts and of leaders.
 LEADERS, MOST_LEADERS, CHUNK, CHUNK_BYTES = 256, 4096, 1000, 16 << 20
-#: A ranking round leaves the leaders of this many times as many texts.
-FUNNEL = 4
+#: Texts that one task ranks; larger groups are ranked in salted rounds, each of which leaves a quarter at most.
+RANKED, FUNNEL = 16384, 4
 HOT_ROWS = 2000
 
 
@@ -283,15 +283,23 @@ def _room(compared: DataFrame) -> DataFrame:
     )
 
 
-def _leaders(sized: DataFrame, lead: int) -> DataFrame:
-    """The ``lead`` texts of each group with most room, with their ``rank``; no task ranks a large group."""
+def _ranked(sized: DataFrame, lead: int, biggest: int) -> DataFrame:
+    """Adds ``rank``, the place by room within the group, to the ``lead`` first of each; the rest has none.
+
+    ``biggest`` is the size of the largest group. No task ranks more than
+    ``RANKED`` texts, or ``FUNNEL`` times the leaders if those are more.
+    """
     order = [F.desc("room"), "node"]
-    rows = sized.select("bucket", "node", "room", "n", "size")
-    for divisor in (FUNNEL, FUNNEL**2):
-        parts = F.ceil(F.col("size") / (divisor * lead))
-        salted = rows.withColumn("part", F.pmod(F.xxhash64("node"), parts))
+    if biggest <= RANKED:
+        ranked = first_rows(sized, ["bucket"], order, None)
+        return ranked.withColumn("rank", F.when(F.col("rank") <= lead, F.col("rank").cast("long")))
+    rows, divisor = sized.select("bucket", "node", "room", "size"), FUNNEL * lead
+    while biggest > divisor:
+        salted = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / divisor)))
         rows = first_rows(salted, ["bucket", "part"], order, lead).drop("part", "rank")
-    return first_rows(rows, ["bucket"], order, lead).select("bucket", "node", "n", "rank")
+        divisor *= FUNNEL
+    first = first_rows(rows, ["bucket"], order, lead).select("bucket", "node", F.col("rank").cast("long").alias("rank"))
+    return sized.join(first, ["bucket", "node"], "left")
 
 
 def classes_of_texts(docs: DataFrame, sketched: DataFrame, store: Stored) -> DataFrame:
@@ -326,16 +334,23 @@ def classes_of_texts(docs: DataFrame, sketched: DataFrame, store: Stored) -> Dat
                 F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("total")
             )
             .where("low <> high")
-            .select("bucket", "size", F.greatest(F.ceil(F.col("size") / CHUNK), F.ceil(F.col("total") * 8 / CHUNK_BYTES)).alias("chunks"))
+            .select("bucket", "size", "total", F.greatest(F.ceil(F.col("size") / CHUNK), F.ceil(F.col("total") * 8 / CHUNK_BYTES)).alias("chunks"))
         )
-        sized = store.table(lookup_join(able, live, ["bucket"], "inner", HOT_ROWS), "sized")
-        if sized.isEmpty():
+        live = store.table(live, "live")
+        biggest = live.agg(F.max("size").alias("size"), F.max("total").alias("total")).first()
+        if biggest["size"] is None:
             return labels
-        first = store.table(_leaders(sized, lead), "leaders")
-        halls = first.groupBy("bucket").agg(F.ceil(F.sum("n") * 8 / CHUNK_BYTES).alias("halls"))
-        ranked = lookup_join(sized, halls, ["bucket"], "inner", HOT_ROWS).join(first.drop("n"), ["bucket", "node"], "left")
-        ranked = ranked.withColumn("rank", F.coalesce(F.col("rank").cast("long"), F.lit(2**62)))
+        sized = lookup_join(able, live.drop("total"), ["bucket"], "inner", HOT_ROWS)
+        if biggest["size"] > RANKED:
+            sized = store.table(sized, "sized")
+        ranked = _ranked(sized, lead, biggest["size"]).withColumn("rank", F.coalesce("rank", F.lit(2**62)))
         group = store.table(ranked.join(sequences.withColumnRenamed("key", "node"), "node"), "group")
+        halls = group.where(F.col("rank") <= lead).groupBy("bucket").agg(F.ceil(F.sum("n") * 8 / CHUNK_BYTES).alias("halls"))
+        # Where no group is longer than a chunk of bytes, neither are its leaders.
+        if biggest["total"] * 8 <= CHUNK_BYTES:
+            group = group.withColumn("halls", F.lit(1).cast("long"))
+        else:
+            group = store.table(lookup_join(group, store.table(halls, "halls"), ["bucket"], "inner", HOT_ROWS), "group")
         chunk, hall = F.pmod(F.xxhash64("node"), "chunks"), F.pmod(F.xxhash64("node"), "halls")
 
         def all_of(count: str):

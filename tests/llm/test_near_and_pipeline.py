@@ -236,7 +236,7 @@ def test_large_group_in_small_chunks(spark, monkeypatch):
         for at in rng.choice(60, rng.integers(0, 5), replace=False):
             w[at] = f"x{rng.integers(0, 60)}"
         rows.append((i, " ".join(w)))
-    for name, value in (("LEADERS", 8), ("MOST_LEADERS", 16), ("CHUNK", 20), ("CHUNK_BYTES", 2000), ("HOT_ROWS", 5)):
+    for name, value in (("LEADERS", 8), ("MOST_LEADERS", 16), ("CHUNK", 20), ("CHUNK_BYTES", 2000), ("HOT_ROWS", 5), ("RANKED", 30)):
         monkeypatch.setattr(near, name, value)
     monkeypatch.setattr("codelake.functions.skew.fits_broadcast", lambda df: False)
     found = near.near_classes(spark.createDataFrame(rows, DOCS)).select("doc_id", "class_id").collect()
