@@ -43,9 +43,9 @@ class Template:
     def pattern(self) -> str:
         """A control string, split after its first character, with any backslashes there."""
         marks = sorted({self.open, self.between, self.close, *self.control}, key=lambda m: (-len(m), m))
-        first = "".join(sorted({m[0] for m in marks}))
-        quote = "".join(f"\\{c}" for c in first)
-        rests = "|".join(f"(?<=\\{m[0]})\\\\{{0,}}" for m in marks[:0]) or "|".join(r"\Q" + m[1:] + r"\E" for m in marks)
+        # A backslash before a letter or digit would be a class or a reference.
+        quote = "".join(c if c.isalnum() else f"\\{c}" for c in sorted({m[0] for m in marks}))
+        rests = "|".join(r"\Q" + m[1:] + r"\E" for m in marks)
         return f"([{quote}])(\\\\*)(?=(?:{rests}))"
 
     def escape(self, text: Column) -> Column:
@@ -83,7 +83,8 @@ def paths(messages: DataFrame, branches: int | None = 1) -> DataFrame:
     null_safe = (F.col("m.tree").eqNullSafe(F.col("k.tree"))) & (F.col("m.parent") == F.col("k.parent"))
     jump = messages.alias("m").join(known.alias("k"), null_safe, "left").select(
         F.col("m.tree").alias("tree"), F.col("m.message").alias("message"),
-        F.when(F.col("k.there"), F.col("m.parent")).alias("above"), F.coalesce("m.score", F.lit(0.0)).alias("total"), F.lit(1).cast("long").alias("steps"),
+        F.when(F.col("k.there"), F.col("m.parent")).alias("above"),
+        F.when(F.col("k.there"), F.col("m.parent")).otherwise(F.col("m.message")).alias("top"), F.coalesce("m.score", F.lit(0.0)).alias("total"), F.lit(1).cast("long").alias("steps"),
     )
     steps: list[DataFrame] = []  # jumps over 1, 2, 4, ... messages
     jump = store.table(jump, "jumps")
@@ -92,20 +93,20 @@ def paths(messages: DataFrame, branches: int | None = 1) -> DataFrame:
         steps.append(jump)
         if jump.where("above is not null").isEmpty() or (1 << len(steps)) > 2 * limit:
             break
-        up = jump.select(F.col("tree"), F.col("message").alias("above"), F.col("above").alias("higher"), F.col("total").alias("more"), F.col("steps").alias("further"))
+        up = jump.select(F.col("tree"), F.col("message").alias("above"), F.col("above").alias("higher"), F.col("top").alias("topmost"), F.col("total").alias("more"), F.col("steps").alias("further"))
         pair = (F.col("j.tree").eqNullSafe(F.col("u.tree"))) & (F.col("j.above") == F.col("u.above"))
         jump = store.table(
             jump.alias("j").join(up.alias("u"), pair, "left").select(
-                F.col("j.tree").alias("tree"), F.col("j.message").alias("message"), F.col("u.higher").alias("above"),
+                F.col("j.tree").alias("tree"), F.col("j.message").alias("message"), F.col("u.higher").alias("above"), F.coalesce("u.topmost", "j.top").alias("top"),
                 (F.col("j.total") + F.coalesce("u.more", F.lit(0.0))).alias("total"), (F.col("j.steps") + F.coalesce("u.further", F.lit(0))).alias("steps"),
             ),
             "jumps",
         )
-    rooted = steps[-1].where("above is null").select("tree", "message", "total", "steps")
+    rooted = steps[-1].where("above is null").select("tree", "message", "top", "total", "steps")
     replied = messages.where("parent is not null").select("tree", F.col("parent").alias("message")).distinct()
     apart = (F.col("r.tree").eqNullSafe(F.col("p.tree"))) & (F.col("r.message") == F.col("p.message"))
     leaves = rooted.alias("r").join(replied.alias("p"), apart, "left_anti")
-    rank = Window.partitionBy("tree").orderBy(F.desc("total"), "message")
+    rank = Window.partitionBy("tree", "top").orderBy(F.desc("total"), "message")
     leaves = leaves.withColumn("branch", F.row_number().over(rank))
     if branches is not None:
         leaves = leaves.where(F.col("branch") <= branches)

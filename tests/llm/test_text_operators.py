@@ -436,3 +436,24 @@ def test_readme_names_the_module_of_every_query():
     rows = dict(re.findall(r"^\| `(op\w+)` \| `(\w+)` \|", table, re.M))
     assert set(rows) == set(QUERIES)
     assert all((Path(__file__).parents[2] / "codelake" / "llm" / f"{m}.py").exists() for m in rows.values())
+
+
+def test_every_root_of_a_tree_has_its_best_path(spark):
+    rows = [
+        ("t", 1, None, "user", "a", 0.0), ("t", 2, 1, "assistant", "b", 1.0), ("t", 3, 1, "assistant", "c", 2.0), ("t", 4, 2, "user", "d", 5.0),
+        ("t", 10, None, "user", "x", 0.0), ("t", 11, 10, "assistant", "y", 0.5), ("t", 12, 10, "assistant", "z", 0.5), ("t", 20, None, "user", "lone", 9.0),
+        ("u", 1, 99, "user", "its parent is absent", 0.0),
+    ]
+    messages = spark.createDataFrame(rows, "tree string, message long, parent long, role string, text string, score double")
+    got = {}
+    for r in sorted(chat.paths(messages).collect(), key=lambda r: (r["tree"], r["leaf"], r["place"])):
+        got.setdefault((r["tree"], r["leaf"]), []).append(r["text"])
+    assert got == {("t", 4): ["a", "b", "d"], ("t", 11): ["x", "y"], ("t", 20): ["lone"], ("u", 1): ["its parent is absent"]}
+
+
+def test_marks_that_begin_with_letters_and_digits(spark):
+    template = chat.Template(open="User: ", between="9|", close="\n_")
+    texts = ["User: 9| Us \\User: \n_ User:", "9|U\\ser: ok"]
+    rows = spark.createDataFrame([(1, 0, "user", texts[0]), (1, 1, "assistant", texts[1])], "conv_id long, turn long, role string, text string")
+    back = chat.read_back(chat.conversations(chat.paths(chat.chains(rows)), template), template).first()
+    assert back["roles"] == ["user", "assistant"] and back["texts"] == texts and back["learned"] == texts[1]
