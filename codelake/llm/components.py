@@ -34,10 +34,11 @@ def components(edges: DataFrame, store: Stored) -> DataFrame:
         # Each node's larger neighbours go to the least of its neighbourhood.
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
         large = lookup_join(both.where("b > a"), least, ["a"], "inner").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
-        # Each node and its smaller neighbours go to the least of them.
+        # Each node and its smaller neighbours go to the least of them. No node has many left here: those
+        # of a common neighbour now point to one least node each.
         least = large.groupBy("a").agg(F.min("b").alias("low"))
         small = (
-            lookup_join(large, least, ["a"], "inner")
+            large.join(least, "a")
             .select(F.col("b").alias("a"), F.col("low").alias("b"))
             .unionByName(least.select("a", F.col("low").alias("b")))
         )
