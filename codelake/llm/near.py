@@ -329,6 +329,7 @@ def classes_of_texts(docs: DataFrame, sketched: DataFrame, store: Stored) -> Dat
         most = group.groupBy("bucket").agg(F.max("room").alias("most"))
         able = lookup_join(group, most, ["bucket"], "inner", HOT_ROWS).where("room + most >= -1e-9").drop("most")
         able = able.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        able = store.table(able, "able")
         live = (
             able.groupBy("bucket").agg(
                 F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("total")
