@@ -135,3 +135,27 @@ def test_long_requests_are_not_broadcast(spark, monkeypatch):
     small = sorted(map(tuple, request_join(left, wanted, ["k"]).collect()))
     monkeypatch.setattr("codelake.functions.skew.REQUEST_BYTES", 10)
     assert sorted(map(tuple, request_join(left, wanted, ["k"]).collect())) == small and len(small) == 200
+
+
+def test_many_requests_are_never_broadcast(spark, monkeypatch):
+    from codelake.functions import skew
+
+    monkeypatch.setattr(skew, "REQUEST_ROWS", 10)
+    left = spark.range(500).select((F.col("id") % 100).alias("k"), "id")
+    requests = spark.range(0, 40, 2).select(F.col("id").alias("k"))
+    joined = request_join(left, requests, ["k"])
+    assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.id for r in joined.collect()) == [i for i in range(500) if i % 100 < 40 and i % 2 == 0]
+
+
+def test_requests_are_repeated_for_hot_keys_only(spark, monkeypatch):
+    from codelake.functions import skew
+
+    monkeypatch.setattr(skew, "REQUEST_ROWS", 10)
+    left = spark.range(500).select((F.col("id") % 100).alias("k"), "id")
+    requests = spark.range(0, 40, 2).select(F.col("id").alias("k"))
+    joined = request_join(left, requests, ["k"], counted=left)
+    assert "sequence(0, 15" not in joined._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r.id for r in joined.collect()) == [i for i in range(500) if i % 100 < 40 and i % 2 == 0]
+    plain = request_join(left, requests, ["k"])
+    assert sorted(plain.collect()) == sorted(joined.collect())
