@@ -263,13 +263,12 @@ def call_graph(
 ) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) around each centre of ``ids(root, symbol_id)``."""
     centres = ids.select("root", "symbol_id").distinct()
-    nodes = request_join(
-        symbols.filter(F.col("parent_symbol_id").isNotNull()).select(
-            "root", F.col("parent_symbol_id").alias("symbol_id"),
-            F.col("symbol_id").alias("node_symbol_id"), "name", "kind",
-        ),
-        centres, ["root", "symbol_id"],
+    members = symbols.filter(F.col("parent_symbol_id").isNotNull()).select(
+        "root", F.col("parent_symbol_id").alias("symbol_id"),
+        F.col("symbol_id").alias("node_symbol_id"), "name", "kind",
     )
+    # Keys of stored relations are cheap to count, so only hot ones are salted.
+    nodes = request_join(members, centres, ["root", "symbol_id"], counted=members)
     both = edges.select(
         "root", "edge_id",
         F.explode(
@@ -285,5 +284,5 @@ def call_graph(
         F.coalesce("target_symbol_id", F.lit("")).alias("to_symbol_id"),
     ).select("root", "edge_id", "end.symbol_id", F.col("end.d").alias("direction"),
              "from_symbol_id", "to_symbol_id")
-    graph_edges = request_join(both, centres, ["root", "symbol_id"])
+    graph_edges = request_join(both, centres, ["root", "symbol_id"], F.xxhash64("edge_id", "direction"), counted=both)
     return nodes, graph_edges
