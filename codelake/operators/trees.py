@@ -100,17 +100,43 @@ def tree_totals(files: DataFrame) -> DataFrame:
 def ancestors(nodes: DataFrame) -> DataFrame:
     """``root, path, node_id``, ``ancestors`` (ids from the outermost inwards), ``depth`` and ``cyclic``, from parent ids alone.
 
-    Pointer doubling: each round joins the chains of 1, 2, 4, ... ancestors to
-    themselves, so the rounds grow with the logarithm of the depth. A parent
-    that is not among the nodes ends a chain. Where parents go round in a circle
+    Pointer doubling among the nodes that are a parent: each round joins their
+    chains of 1, 2, 4, ... ancestors to themselves, so the rounds grow with the
+    logarithm of the depth; every other node then takes the chain of its parent.
+    A parent that is not among the nodes ends a chain. Where parents go round in a circle
     the chain has no end: ``cyclic`` is true, depth and ancestors are null.
     Several nodes of one id count as one, with the least parent that is given.
     """
+    one = _least_parents(nodes)
+    return _with_chains(one, one).drop("up")
+
+
+def _least_parents(nodes: DataFrame) -> DataFrame:
+    """Each node id once, with the least parent ``up`` that is given."""
+    return nodes.groupBy("root", "path", "node_id").agg(F.min("parent_node_id").alias("up"))
+
+
+def _with_chains(rows: DataFrame, one: DataFrame) -> DataFrame:
+    """``rows(root, path, up, ...)`` with what is known of the chain that begins at ``up`` among the nodes ``one``."""
+    heads = _parent_chains(one).select(
+        "root", "path", F.col("node_id").alias("up"), "above", F.col("up").isNotNull().alias("_endless"), F.lit(True).alias("_there"),
+    )
+    chain = F.when(F.col("_there"), F.concat(F.array("up"), "above")).otherwise(F.array().cast("array<string>"))
+    cyclic = F.coalesce("_endless", F.lit(False))
+    return lookup_join(rows, heads, ["root", "path", "up"], counted=one).select(
+        *rows.columns, F.when(~cyclic, F.reverse(chain)).alias("ancestors"),
+        F.when(~cyclic, F.size(chain)).cast("int").alias("depth"), cyclic.alias("cyclic"),
+    )
+
+
+def _parent_chains(one: DataFrame) -> DataFrame:
+    """The nodes of ``one`` that are a parent, with their ancestors ``above`` from the nearest; ``up`` stays where a chain has no end."""
     key = ["root", "path", "node_id"]
-    one = nodes.groupBy(*key).agg(F.min("parent_node_id").alias("up"))
-    present = one.select("root", "path", F.col("node_id").alias("up"), F.lit(True).alias("_there"))
+    parents = one.where("up is not null").select("root", "path", F.col("up").alias("node_id")).distinct()
+    heads = stored(one.join(parents, key, "left_semi"), "heads")
+    present = heads.select("root", "path", F.col("node_id").alias("up"), F.lit(True).alias("_there"))
     chains = stored(
-        lookup_join(one, present, ["root", "path", "up"]).select(
+        lookup_join(heads, present, ["root", "path", "up"]).select(
             *key, F.when(F.col("_there"), F.col("up")).alias("up"),
             F.when(F.col("_there"), F.array("up")).otherwise(F.array().cast("array<string>")).alias("above"),
         ),
@@ -130,17 +156,17 @@ def ancestors(nodes: DataFrame) -> DataFrame:
             "chains",
         )
         reach *= 2
-    cyclic = F.col("up").isNotNull()
-    return chains.select(
-        *key, F.when(~cyclic, F.reverse("above")).alias("ancestors"),
-        F.when(~cyclic, F.size("above")).cast("int").alias("depth"), cyclic.alias("cyclic"),
-    )
+    return chains
 
 
 def outline_depth(nodes: DataFrame) -> DataFrame:
     """Depth of each node and the chain of nodes around it, from parent ids (see ``ancestors``)."""
-    rows = nodes.select("root", "path", "node_id", "parent_node_id", "qualified_path")
-    return rows.join(ancestors(nodes), ["root", "path", "node_id"], "left")
+    key = ["root", "path", "node_id"]
+    one = _least_parents(nodes)
+    rows = nodes.select(*key, "parent_node_id", "qualified_path").join(one.withColumn("_keyed", F.lit(True)), key, "left")
+    # A node with a null in its key is no node of a tree.
+    found = [F.when(F.col("_keyed"), F.col(c)).alias(c) for c in ("ancestors", "depth", "cyclic")]
+    return _with_chains(rows, one).select(*key, "parent_node_id", "qualified_path", *found)
 
 
 def file_outline(
