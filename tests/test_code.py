@@ -496,3 +496,53 @@ def test_ancestors_from_parent_ids(spark):
         else:
             assert not r.cyclic and r.ancestors == chain[::-1] and r.depth == len(chain)
     assert got["b", "n1"].ancestors == []
+
+
+def test_only_parents_take_part_in_the_rounds(spark, monkeypatch):
+    from codelake.operators import trees
+
+    kept = []
+    monkeypatch.setattr(trees, "stored", lambda df, name: kept.append((name, df.count())) or df)
+    rows = [("r", "a", "c", None, "C")] + [("r", "a", f"m{i}", "c", f"C.m{i}") for i in range(50)] + [("r", None, "z", "c", "z")]
+    nodes = spark.createDataFrame(rows, "root string, path string, node_id string, parent_node_id string, qualified_path string")
+    got = {r.node_id: r for r in trees.outline_depth(nodes).collect()}
+    assert max(n for _, n in kept) == 1
+    assert got["c"].depth == 0 and got["m7"].depth == 1 and got["m7"].ancestors == ["c"] and got["m7"].cyclic is False
+    assert got["z"].depth is None and got["z"].ancestors is None and got["z"].cyclic is None
+
+
+def test_uses_of_a_frequent_name_are_split(spark, corpus, monkeypatch):
+    from codelake.plans import index as I
+
+    plans = {}
+    real = I.stored
+    monkeypatch.setattr(
+        I, "stored",
+        lambda df, name, *rest: plans.update({name: df._jdf.queryExecution().optimizedPlan().toString()}) or real(df, name, *rest),
+    )
+    tables = I.build_index(corpus({"a.py": "class A:\n    pass\n", "b.py": "class B(A):\n    pass\n"}))
+    assert "RebalancePartitions [bucket" in plans["uses"]
+    assert {r.name_key for r in tables["uses"].collect()} == {"a", "b"}
+
+
+def test_short_rows_that_become_files_are_cut_into_small_tasks(spark, tmp_path):
+    from codelake import corpora
+
+    keys = spark.range(600_000).select(F.col("id").alias("c_custkey"), F.md5(F.col("id").cast("string")).alias("c_name"))
+    keys.coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    cut = corpora.table(spark, str(tmp_path), "customer")
+    sizes = [r["count"] for r in cut.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert max(sizes) < 20_000 and sum(sizes) == 600_000
+
+
+def test_diagnostics_are_worked_out_after_the_files_are_spread(spark):
+    from codelake.operators.manifests import parse_diagnostics
+
+    files = spark.range(3).repartition(2).select(
+        F.lit("r").alias("root"), F.col("id").cast("string").alias("path"), F.lit("csharp").alias("language"),
+        F.when(F.col("id") < 2, F.concat(F.lit("class A "), F.repeat(F.lit("{"), F.col("id").cast("int")))).alias("content"),
+    )
+    found = parse_diagnostics(files)
+    below = found._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression")[-1].split("Repartition ")[-1]
+    assert "class A" not in below
+    assert sorted((r.path, r.code) for r in found.collect()) == [("1", "CS1513"), ("2", "FILE_READ_ERROR")]
