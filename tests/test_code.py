@@ -546,3 +546,9 @@ def test_diagnostics_are_worked_out_after_the_files_are_spread(spark):
     below = found._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression")[-1].split("Repartition ")[-1]
     assert "class A" not in below
     assert sorted((r.path, r.code) for r in found.collect()) == [("1", "CS1513"), ("2", "FILE_READ_ERROR")]
+
+
+def test_content_is_cut_once(corpus):
+    """Every cut of a content costs two searches of it, one for the tokens and one for what is between them."""
+    lines = corpus({"a.cs": "class A { }\n"}).select(CS.code_lines().alias("lines"))
+    assert lines._jdf.queryExecution().optimizedPlan().toString().count('("{3,}+)') == 2
