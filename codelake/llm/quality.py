@@ -114,12 +114,20 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
+def _spread(x: np.ndarray, columns: int = 32) -> np.ndarray:
+    """``x.std(axis=0)``, some columns at a time: the whole would take a copy of the sample."""
+    return np.concatenate([x[:, c : c + columns].std(axis=0) for c in range(0, x.shape[1], columns)])
+
+
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
-    """Minimises the non-negative unbiased risk by Adam over the whole sample."""
+    """Minimises the non-negative unbiased risk by Adam over the whole sample, whose arrays are standardised in place."""
     if not len(positive) or not len(unlabelled):
         return Model(np.zeros(0), 0.0, np.zeros(0), np.ones(0))
-    centre, scale = unlabelled.mean(axis=0), unlabelled.std(axis=0) + 1e-2
-    p, u = (positive - centre) / scale, (unlabelled - centre) / scale
+    centre, scale = unlabelled.mean(axis=0), _spread(unlabelled) + 1e-2
+    p, u = positive, unlabelled
+    for x in (p, u):
+        x -= centre
+        x /= scale
     w, b = np.zeros(p.shape[1], np.float32), 0.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for step in range(1, STEPS + 1):
@@ -168,11 +176,27 @@ def train(
     # One text of each chosen id, however many rows it has: what reaches the driver is bounded.
     one = F.min_by(F.coalesce("text", F.lit("")), F.xxhash64(F.coalesce("text", F.lit("")))).alias("text")
     sample = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "positive").agg(one)
-    sample = sample.mapInArrow(_feature_rows, "positive boolean, x binary").toArrow()
-    chunks = [np.frombuffer(c.buffers()[2], np.float32)[c.offset * WIDTH :][: len(c) * WIDTH] for c in sample["x"].chunks if len(c)]
-    x = np.concatenate(chunks).reshape(-1, WIDTH) if chunks else np.zeros((0, WIDTH), np.float32)
-    positive = sample["positive"].to_numpy().astype(bool)
-    return fit(x[positive], x[~positive], float(share or 0.5))
+    parts = _parts(sample.mapInArrow(_feature_rows, "positive boolean, x binary").toArrow())
+    pa.default_memory_pool().release_unused()
+    return fit(*parts, float(share or 0.5))
+
+
+def _parts(sample: pa.Table) -> list[np.ndarray]:
+    """Features of the positives and of the others: one copy, batch by batch."""
+    marks = [np.asarray(b.column("positive").to_numpy(zero_copy_only=False), bool) for b in sample.to_batches()]
+    sizes = [sum(int(m.sum()) for m in marks), sum(int((~m).sum()) for m in marks)]
+    parts = [np.empty((n, WIDTH), np.float32) for n in sizes]
+    at = [0, 0]
+    for batch, mark in zip(sample.to_batches(), marks, strict=True):
+        if not len(mark):
+            continue
+        c = batch.column("x")
+        x = np.frombuffer(c.buffers()[2], np.float32)[c.offset * WIDTH :][: len(c) * WIDTH].reshape(-1, WIDTH)
+        for i, chosen in enumerate((mark, ~mark)):
+            n = int(chosen.sum())
+            parts[i][at[i] : at[i] + n] = x[chosen]
+            at[i] += n
+    return parts
 
 
 def _score_rows(shared):

@@ -426,6 +426,20 @@ def test_repeated_ids_teach_once(docs):
     assert len(once.weights) and np.allclose(once.centre, often.centre) and np.allclose(once.weights, often.weights, atol=1e-2)
 
 
+def test_fit_copies_no_sample():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    positive, other = (rng.random((n, quality.WIDTH), dtype=np.float32) for n in (2000, 6000))
+    tracemalloc.start()
+    before = tracemalloc.get_traced_memory()[0]
+    model = quality.fit(positive, other, 0.5)
+    peak = tracemalloc.get_traced_memory()[1] - before
+    tracemalloc.stop()
+    # One of the two arrays is turned to double precision at a time; nothing else is as large as the sample.
+    assert len(model.weights) == quality.WIDTH and peak < 2 * (positive.nbytes + other.nbytes)
+
+
 def test_readme_names_the_module_of_every_query():
     from pathlib import Path
 
