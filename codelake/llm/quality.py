@@ -153,12 +153,37 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for block in blocks(batch):
             x, words = features(block)
             filled = np.flatnonzero(words > 0)
+            own = block.rows.select(["doc_id", "positive"]).take(pa.array(filled))
             yield pa.RecordBatch.from_arrays(
-                [block.rows.column("positive").take(pa.array(filled)), byte_lists(x[filled].ravel(), np.full(len(filled), WIDTH))],
-                names=["positive", "x"],
+                [*own.columns, byte_lists(x[filled].ravel(), np.full(len(filled), WIDTH))], names=["doc_id", "positive", "x"]
             )
 
 
+def _fit_rows(most: tuple[int, int], prior: float):
+    """Fits a model to all rows it gets, at most ``most`` others and positives, and returns it as one row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [np.empty((n, WIDTH), np.float32) for n in most]
+        size = [0, 0]
+        for batch in batches:
+            mark = np.asarray(batch.column("positive").to_numpy(zero_copy_only=False), bool)
+            c = batch.column("x")
+            x = np.frombuffer(c.buffers()[2] or b"", np.float32)[c.offset * WIDTH :][: len(c) * WIDTH].reshape(-1, WIDTH)
+            for i, chosen in enumerate((~mark, mark)):
+                n = int(chosen.sum())
+                parts[i][size[i] : size[i] + n] = x[chosen]
+                size[i] += n
+        other, positive = (part[:n] for part, n in zip(parts, size, strict=True))
+        model = fit(positive, other, prior)
+        arrays = [np.asarray(model.weights, np.float64), np.asarray(model.centre, np.float32), np.asarray(model.scale, np.float32)]
+        yield pa.RecordBatch.from_arrays(
+            [*[pa.array([a.tobytes()], pa.binary()) for a in arrays], pa.array([model.bias], pa.float64())],
+            names=["weights", "centre", "scale", "bias"],
+        )
+
+    return run
+
+
 def train(
     docs: DataFrame, labels: DataFrame, learn: Column, positives: int = POSITIVES, unlabelled: int = UNLABELLED
 ) -> Model:
@@ -173,30 +198,18 @@ def train(
     chosen = first(marks.where("quality = 1"), positives, 1).withColumn("positive", F.lit(True)).unionByName(
         first(texts, unlabelled, 2).withColumn("positive", F.lit(False))
     )
-    # One text of each chosen id, however many rows it has: what reaches the driver is bounded.
+    # One text of each chosen id, however many rows it has: the sample is bounded.
     one = F.min_by(F.coalesce("text", F.lit("")), F.xxhash64(F.coalesce("text", F.lit("")))).alias("text")
     sample = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "positive").agg(one)
-    parts = _parts(sample.mapInArrow(_feature_rows, "positive boolean, x binary").toArrow())
-    pa.default_memory_pool().release_unused()
-    return fit(*parts, float(share or 0.5))
-
-
-def _parts(sample: pa.Table) -> list[np.ndarray]:
-    """Features of the positives and of the others: one copy, batch by batch."""
-    marks = [np.asarray(b.column("positive").to_numpy(zero_copy_only=False), bool) for b in sample.to_batches()]
-    sizes = [sum(int(m.sum()) for m in marks), sum(int((~m).sum()) for m in marks)]
-    parts = [np.empty((n, WIDTH), np.float32) for n in sizes]
-    at = [0, 0]
-    for batch, mark in zip(sample.to_batches(), marks, strict=True):
-        if not len(mark):
-            continue
-        c = batch.column("x")
-        x = np.frombuffer(c.buffers()[2], np.float32)[c.offset * WIDTH :][: len(c) * WIDTH].reshape(-1, WIDTH)
-        for i, chosen in enumerate((mark, ~mark)):
-            n = int(chosen.sum())
-            parts[i][at[i] : at[i] + n] = x[chosen]
-            at[i] += n
-    return parts
+    # The sample meets in one task, in an order of its own; the driver gets the weights only.
+    found = sample.mapInArrow(_feature_rows, sample.drop("text").withColumn("x", F.lit(b"")).schema)
+    fitted = found.repartition(1).sortWithinPartitions("positive", "doc_id").mapInArrow(
+        _fit_rows((unlabelled, positives), float(share or 0.5)), "weights binary, centre binary, scale binary, bias double"
+    ).first()
+    if fitted is None:
+        return fit(np.zeros((0, WIDTH)), np.zeros((0, WIDTH)), 0.5)
+    kinds = {"weights": np.float64, "centre": np.float32, "scale": np.float32}
+    return Model(**{name: np.frombuffer(fitted[name], kind) for name, kind in kinds.items()}, bias=fitted["bias"])
 
 
 def _score_rows(shared):

@@ -440,6 +440,26 @@ def test_fit_copies_no_sample():
     assert len(model.weights) == quality.WIDTH and peak < 2 * (positive.nbytes + other.nbytes)
 
 
+def test_the_sample_is_not_fitted_on_the_driver(docs, monkeypatch):
+    import os
+
+    width = quality.WIDTH
+    labels = docs.sparkSession.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+
+    def fit(positive, other, prior):
+        model = quality.Model(np.full(width, len(positive)), float(os.getpid()), np.full(width, len(other)), np.ones(width))
+        assert np.isfinite(positive).all() and np.isfinite(other).all()
+        return model
+
+    monkeypatch.setattr(quality, "fit", fit)
+    model = quality.train(docs, labels, F.col("doc_id") >= 0)
+    # Labelled 1 and with words: 5, 7, 9; with words at all: 4, 5, 7, 8, 9, 10.
+    assert model.bias != os.getpid()
+    assert set(model.weights) == {3} and set(model.centre) == {6}
+    few = quality.train(docs, labels, F.col("doc_id") >= 0, 2, 4)
+    assert set(few.weights) <= {0, 1, 2} and set(few.centre) <= {1, 2, 3, 4}
+
+
 def test_readme_names_the_module_of_every_query():
     from pathlib import Path
 
