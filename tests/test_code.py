@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from codelake.functions.storage import stored
 from codelake.operators import deps as D
 from codelake.operators import extract_cs as CS
 from codelake.operators import extract_py as PY
@@ -464,6 +465,40 @@ def test_one_changed_file_resolves_its_frontier_only(spark):
     same_tables(again, build_index(files(sources)), ("symbols", "edges"))
 
 
+def test_refresh_shuffles_narrow_rows(spark, monkeypatch):
+    """Without broadcasts, what meets the names is neither whole symbols nor file ids, and the edges are those of a full build."""
+    from codelake.plans import refresh
+
+    written = []
+
+    def noted(df, name, *more):
+        written.append((name, df.columns, df._jdf.queryExecution().optimizedPlan().toString()))
+        return stored(df, name, *more)
+
+    def files(sources):
+        return spark.createDataFrame([("r", p, c) for p, c in sources.items()], "root string, path string, content string")
+
+    sources = random_sources(random.Random(7), 8)
+    old = build_index(files(sources))
+    gone, edited = sorted(sources)[:2]
+    del sources[gone]
+    sources[edited] += "\n\n"
+    sources["new.py"] = "class Fresh(Item):\n    pass\n"
+    monkeypatch.setattr(refresh, "stored", noted)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        tables, _ = incremental_update(old, files(sources))
+        edges = sorted(map(repr, tables["edges"].select("path", "hint_no", "target_symbol_id", "resolution").collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    whole = build_index(files(sources))["edges"]
+    assert edges == sorted(map(repr, whole.select("path", "hint_no", "target_symbol_id", "resolution").collect()))
+    assert [name for name, columns, _ in written if "symbol_key" in columns] == ["touched_symbols"]
+    plans = {name: plan for name, _, plan in written}
+    assert not [line for line in plans["met"].splitlines() if "Join" in line and "file_id" in line]
+    assert not [line for line in plans["todo"].splitlines() if "Join" in line and "file_id" in line]
+
+
 def test_content_is_read_once(spark, tmp_path):
     rows = [("r", "a.cs", "class A { }\n"), ("r", "b.py", "class B(A):\n    pass\n"), ("r", "c.md", "{"), ("r", "bad.cs", "class A {\n")]
     spark.createDataFrame(rows, "root string, path string, content string").write.parquet(f"{tmp_path}/corpus")
