@@ -10,10 +10,9 @@ all symbols not excluded are equally likely.
 Spark counts all (context, symbol) pairs of the longest order, held in one
 64-bit number, over all texts, and derives the shorter orders and the cost of
 every pair that occurs from that table by grouping and joining. Scoring is then
-a lookup of each pair, by a broadcast table if its measured size is within
-``BROADCAST_BYTES`` and by a shuffled join otherwise; both give the same rows.
-Word counts for the base score are looked up likewise: the most frequent words,
-as many as fit, are broadcast, and the occurrences of all others are joined.
+a lookup of each pair: the most frequent pairs, as many as fit in
+``BROADCAST_BYTES``, are broadcast, and only the occurrences of all others are
+shuffled and joined. Word counts for the base score are looked up likewise.
 
 A null text counts as empty, which costs its end mark. Without training texts
 every symbol costs a uniform share and every word is unknown. Repeated rows are
@@ -118,7 +117,7 @@ def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def costs(grams: DataFrame, store: Stored) -> DataFrame:
-    """``key`` and ``cost``, its log10 probability, for every pair in ``grams`` (``key``, ``n``: training count)."""
+    """``key``, ``n`` and ``cost``, its log10 probability, for every pair in ``grams`` (``key``, ``n``: training count)."""
     levels: list[DataFrame] = []
     for order in range(ORDER + 1):
         mask = (1 << (8 * (order + 1))) - 1
@@ -141,7 +140,7 @@ def costs(grams: DataFrame, store: Stored) -> DataFrame:
         )
     # The cost of a pair, from the longest order down: `open` while the symbol has not been met.
     log = lambda x: F.log10(x.cast("double"))
-    rows = grams.select("key").withColumns({"cost": F.lit(0.0), "done": F.lit(False), "cut_n": F.lit(0).cast("long"), "cut_q": F.lit(0).cast("long")})
+    rows = grams.select("key", "n").withColumns({"cost": F.lit(0.0), "done": F.lit(False), "cut_n": F.lit(0).cast("long"), "cut_q": F.lit(0).cast("long")})
     for order in range(ORDER, -1, -1):
         mask, above = (1 << (8 * (order + 1))) - 1, (1 << (8 * order)) - 1
         rows = rows.withColumn("g", F.col("key").bitwiseAND(F.lit(mask))).withColumn("context", F.shiftrightunsigned("g", 8))
@@ -159,14 +158,14 @@ def costs(grams: DataFrame, store: Stored) -> DataFrame:
             escape, F.when(left_q > 0, log(left_q) - log(base)).otherwise(F.lit(0.0))
         ).otherwise(F.lit(0.0))
         rows = rows.select(
-            "key",
+            "key", "n",
             (F.col("cost") + cost).alias("cost"),
             (F.col("done") | found).alias("done"),
             F.when(escape, F.col("lower")).otherwise(F.col("cut_n")).alias("cut_n"),
             F.when(escape, F.col("distinct")).otherwise(F.col("cut_q")).alias("cut_q"),
         )
     uniform = -log(F.lit(SYMBOLS) - F.col("cut_q"))
-    return rows.select("key", F.when(F.col("done"), F.col("cost")).otherwise(F.col("cost") + uniform).alias("cost"))
+    return rows.select("key", "n", F.when(F.col("done"), F.col("cost")).otherwise(F.col("cost") + uniform).alias("cost"))
 
 
 class Table:
@@ -186,20 +185,40 @@ class Table:
         return self.values[slot], self.keys[slot] == keys
 
 
-def _row_sums(keys: np.ndarray, row: np.ndarray, bits: int, lookup) -> np.ndarray:
-    """Sums over rows of a value per key; each distinct key is looked up once."""
-    packed = np.sort(keys << np.uint64(64 - bits) | row.astype(np.uint64))
-    plain_keys = packed >> np.uint64(64 - bits)
-    head = np.flatnonzero(np.r_[True, plain_keys[1:] != plain_keys[:-1]])
-    values = np.repeat(lookup(plain_keys[head]), np.diff(np.r_[head, len(packed)]))
-    return (packed & np.uint64((1 << (64 - bits)) - 1)).astype(np.int64), values
+def _frequent(counted: DataFrame, room: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows with the greatest ``n``, at most ``room`` of them, and all others if there are any; equal counts stay together."""
+    if counted.count() <= room:
+        return counted, None
+    sizes = counted.groupBy("n").agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("n")).limit(room).collect()
+    least, used = None, 0
+    for size in sizes:
+        if used + size["rows"] > room:
+            break
+        least, used = size["n"], used + size["rows"]
+    if least is None:
+        return counted.limit(0), counted
+    return counted.where(F.col("n") >= F.lit(least)), counted.where(F.col("n") < F.lit(least))
+
+
+def _occurrences(keys: np.ndarray, row: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, key and count of every key in every row, by key; keys are of ``bits`` bits, rows of the others."""
+    packed, times = _grouped(keys << np.uint64(64 - bits) | row.astype(np.uint64))
+    return (packed & np.uint64((1 << (64 - bits)) - 1)).astype(np.int64), packed >> np.uint64(64 - bits), times
+
+
+def _at_rows(row: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, key and count of every key in every row, for keys of 64 bits."""
+    order = np.lexsort((keys, row))
+    row, keys = row[order], keys[order]
+    head = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (keys[1:] != keys[:-1])]) if len(row) else np.zeros(0, np.int64)
+    return row[head], keys[head], np.diff(np.r_[head, len(row)])
 
 
 def _partial(shared_costs, shared_words):
     """Per text: what the broadcast tables give (kind 0), and a row per other word (kind 1) or pair (kind 2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known_costs, known_words = shared_costs and shared_costs.value, shared_words.value
+        known_costs, known_words = shared_costs.value, shared_words.value
         for batch in batches:
             for block in blocks(batch):
                 n = len(block)
@@ -210,25 +229,17 @@ def _partial(shared_costs, shared_words):
                 base = np.bincount(row, log, n)
                 total = np.bincount(row, minlength=n)
                 hit = np.bincount(row[there & (count > 0)], minlength=n)
-                out.append((1, row[~there], keys[~there]))
-                keys, row = pairs(block)
-                score = np.zeros(n)
-                if known_costs is not None:
-                    spot, values = _row_sums(keys, row, 8 * _WIDTH, lambda k: known_costs.get(k)[0])
-                    score = np.bincount(spot, values, n)
-                else:
-                    out.append((2, row, keys))
+                at, key, times = _at_rows(row[~there], keys[~there])
+                out.append((1, at, key, times))
+                at, key, times = _occurrences(*pairs(block), 8 * _WIDTH)
+                head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])  # each distinct key is looked up once
+                own = np.diff(np.r_[head, len(key)])
+                values, there = (np.repeat(found, own) for found in known_costs.get(key[head]))
+                score = np.bincount(at[there], (values * times)[there], n)
+                out.append((2, at[~there], key[~there], times[~there]))
                 rid = block.rows.column("_rid")
-                for kind, at, k in [(0, np.arange(n), np.zeros(n, np.uint64)), *out]:
-                    size = len(at)
+                for kind, at, k, times in [(0, np.arange(n), np.zeros(n, np.uint64), None), *out]:
                     whole = kind == 0
-                    times = np.ones(size, np.int64)
-                    if not whole and size:  # occurrences of one key in one text come as one row
-                        order = np.lexsort((k, at))
-                        at, k = at[order], k[order]
-                        head = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (k[1:] != k[:-1])])
-                        times = np.diff(np.r_[head, size])
-                        at, k = at[head], k[head]
                     at_array = pa.array(at)
                     yield pa.RecordBatch.from_arrays(
                         [
@@ -267,24 +278,16 @@ def scores(docs: DataFrame, held_out: Column, broadcast_bytes: int = BROADCAST_B
     totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     train_tokens, distinct = int(totals[0]), int(totals[1])
     priced = store.table(costs(table.where("kind = 0").select("key", "n"), store), "costs")
-    shared_costs = None
-    if priced.count() * 16 <= broadcast_bytes:
-        shared_costs = spark.sparkContext.broadcast(Table(priced, "cost"))
-    # Frequent words: those above the count that at most so many words exceed.
-    room = broadcast_bytes // 32
-    sizes = words.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).limit(room).collect() if distinct > room else []
-    least, used = (1, 0) if distinct <= room else (None, 0)
-    for size in sizes:
-        if used + size["words"] > room:
-            break
-        least, used = size["n"], used + size["words"]
-    frequent = words.where(F.col("n") >= F.lit(least)) if least is not None else words.limit(0)
-    shared_words = spark.sparkContext.broadcast(Table(frequent, "n"))
+    frequent_pairs, other_pairs = _frequent(priced, broadcast_bytes // 16)
+    frequent_words, other_words = _frequent(words, broadcast_bytes // 32)
+    shared_costs = spark.sparkContext.broadcast(Table(frequent_pairs, "cost"))
+    shared_words = spark.sparkContext.broadcast(Table(frequent_words, "n"))
     partial = rows.mapInArrow(_partial(shared_costs, shared_words), _PARTIAL)
-    rest = words.join(frequent.select("key"), "key", "left_anti") if least is None else words.where(F.col("n") < F.lit(least))
+    # A left join, so that words that no training text has count 0; of pairs all have a cost.
+    rest = words.limit(0) if other_words is None else other_words
     value = rest.select(F.lit(1).alias("kind"), "key", F.col("n").alias("count"), F.lit(None).cast("double").alias("cost"))
-    if shared_costs is None:
-        value = value.unionByName(priced.select(F.lit(2).alias("kind"), "key", F.lit(None).cast("long").alias("count"), "cost"))
+    if other_pairs is not None:
+        value = value.unionByName(other_pairs.select(F.lit(2).alias("kind"), "key", F.lit(None).cast("long").alias("count"), "cost"))
     # Rows of whole texts find nothing; their key is their own, so that none is common.
     partial = partial.withColumn("key", F.when(F.col("kind") == 0, F.col("_rid")).otherwise(F.col("key")))
     joined = partial.join(value, ["kind", "key"], "left")

@@ -366,6 +366,39 @@ def test_ppm(docs, empty, broadcast):
     assert ppm.scores(empty, F.lit(False)).count() == 0
 
 
+def test_ppm_shuffles_rare_pairs_only():
+    """A table of costs too large to be broadcast whole still spares its frequent pairs the join."""
+    import types
+
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict(
+        {"_rid": [0, 1], "doc_id": [5, 6], "text": ["abab" * 50, "abab" * 50 + "z"], "held_out": [False, False]}
+    )
+    block = next(iter(ppm.blocks(batch)))
+    every, times = np.unique(ppm.pairs(block)[0], return_counts=True)
+    known = ppm.Table.__new__(ppm.Table)
+    known.keys, known.values = every[times > 10], np.full((times > 10).sum(), -0.5)
+    none = ppm.Table.__new__(ppm.Table)
+    none.keys, none.values = np.zeros(0, np.uint64), np.zeros(0)
+    run = ppm._partial(types.SimpleNamespace(value=known), types.SimpleNamespace(value=none))
+    rows = [r for b in run(iter([batch])) for r in b.to_pylist()]
+    rare = {r["key"] % (1 << 64) for r in rows if r["kind"] == 2}
+    assert rare == set(every[times <= 10].tolist())
+    score = {r["_rid"]: r["score"] for r in rows if r["kind"] == 0}
+    assert score[0] == -0.5 * times[times > 10].sum() / 2
+
+
+def test_ppm_any_room(docs):
+    """Whatever part of the costs is broadcast, the rows are the same."""
+    held = remainder(F.col("doc_id"), 3) == 0
+    want = by_row(ppm.scores(docs, held).collect())
+    for room in (160, 16 * 200):
+        got = by_row(ppm.scores(docs, held, room).collect())
+        assert [g[:5] for g in got] == [w[:5] for w in want]
+        assert np.allclose([g[5:] for g in got], [w[5:] for w in want])
+
+
 def test_ppm_without_training(docs):
     got = ppm.scores(docs, F.lit(True)).collect()
     assert {r["train_tokens"] for r in got} == {0} and all(r["n_known"] == 0 for r in got)
