@@ -593,12 +593,14 @@ def test_csharp_worker_batches(corpus, spark):
     """Null, empty and undecodable contents keep their rows; steps of a batch are cut by bytes and by number."""
     import pyarrow as pa
 
+    from codelake.functions import parsing
+
     text = "using A.B;\nclass C : D\n{\n  int x, y;\n  void F(Q q) { new R(); }\n}\n"
-    run = CS._parser(("nodes", "imports", "hints"), tuple(CS.HINT_PARTS))
-    contents = [None, b"", b"class \xff { }\nclass E { }", *[text.encode()] * 300, b"//" + b"x" * CS.STEP_BYTES, text.encode()]
-    batch = pa.RecordBatch.from_pydict({"path": [str(i) for i in range(len(contents))], "file_id": ["f"] * len(contents), "content": pa.array(contents, pa.binary())})
+    run = parsing._parser({"csharp": CS.Source}, ("nodes", "imports", "hints"), None)
+    contents = [None, b"", b"class \xff { }\nclass E { }", *[text.encode()] * 300, b"//" + b"x" * parsing.STEP_BYTES, text.encode()]
+    batch = pa.RecordBatch.from_pydict({"path": [str(i) for i in range(len(contents))], "file_id": ["f"] * len(contents), "language": ["csharp"] * len(contents), "content": pa.array(contents, pa.binary())})
     made = list(run(iter([batch])))
-    assert [len(b) for b in made] == [CS.STEP_ROWS, 47, 1, 1]
+    assert [len(b) for b in made] == [parsing.STEP_ROWS, 47, 1, 1]
     rows = [r for b in made for r in b.to_pylist()]
     assert [r["path"] for r in rows] == [str(i) for i in range(len(contents))]
     assert rows[0]["nodes"] is rows[0]["imports"] is rows[0]["hints"] is None
@@ -622,7 +624,7 @@ def test_csharp_file_costs_little():
     start = time.process_time()
     for _ in range(100):
         source = Source(text).structure()
-        assert source.nodes("f") and source.hints(CS.HINT_PARTS)
+        assert source.nodes("f") and source.hints()
     assert time.process_time() - start <= 0.8 * len(source.lines) / 80
 
 
@@ -632,3 +634,22 @@ def test_patterns_as_java_reads_them():
     assert not java(r"a.b").search("a b") and java(r"a$").search("a\r\n") and not java(r"a$").search("a\n\n")
     assert java(r"(?m:^)#").search("x\x85#") and not java(r"\w").search("é") and not java(r"\bb").search("éb")
     assert java(r"[.$]\z").search("a.") and not java(r"\s").search("\xa0")
+
+
+def test_one_worker_pass_reads_all_languages(corpus):
+    """The contents of all languages pass through the workers once, and only those that are to be parsed."""
+    rows = {"a.py": "class A:\n    pass\n", "b.cs": "class B\n{\n  int x;\n}\n", "c.md": "class C:\n", "bin/d.py": "class D:\n    pass\n"}
+    parsed = content_pass(inventory(corpus(rows)))
+    assert sum("MapInArrow" in line for line in parsed._jdf.queryExecution().executedPlan().toString().splitlines()) == 1
+    got = {r.path: r.nodes and [n.name for n in r.nodes] for r in parsed.collect()}
+    assert got == {"a.py": ["A"], "b.cs": ["B", "x"], "c.md": None, "bin/d.py": None}
+
+
+def test_python_lines_as_java_reads_them(corpus):
+    text = "class A(IB, C[int]):\n\tasync def f(self) -> int:\n\n\u3000# not of the block\n\x1c\n        pass\nfrom . import x\nimport a.b as c\r\n"
+    files = corpus({"a.py": text})
+    nodes = {r.name: r for r in PY.py_declarations(files).collect()}
+    assert nodes["f"].display_name == "async f(self) -> int" and list(nodes["f"].modifiers) == ["async"]
+    assert (nodes["f"].span.end_line, nodes["A"].span.end_line, nodes["A"].has_children) == (3, 3, True)
+    assert [(r.kind, r.target_name) for r in PY.py_base_hints(files).collect()] == [("Implements", "IB"), ("Inherits", "C")]
+    assert [(r.kind, r.target, r.alias) for r in PY.py_imports(files).collect()] == [("relative-import", "", "x"), ("import", "a.b", "c")]
